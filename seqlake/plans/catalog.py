@@ -1,8 +1,10 @@
 """Registry of named queries (Spark side) and their DuckDB oracle SQL.
 
 Each query takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-whole test tables. Doubles are rounded to 6 places at the very end on both
-sides so the two engines compare equal despite summation order.
+whole test tables. Plain divisions of integers are bit-identical in both
+engines and are left as they are; doubles produced by order-dependent
+aggregation (sums, means, deviations) are rounded to 6 places explicitly, in
+the Spark code and in the SQL alike.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None, rounded: bool = True):
+def register(name: str, sql: str | None = None, rounded: bool = False):
     def deco(fn):
         def run(spark, sf_dir, _fn=fn):
             out = _fn(spark, sf_dir)
@@ -48,7 +50,8 @@ def _profile(cleaned: DataFrame, top: int = 20) -> DataFrame:
     mean = agg.join(n, "serotype").select(
         "serotype", "kmer", "n_samples", (F.col("_s") / F.col("n_samples")).alias("mean_freq"))
     w = Window.partitionBy("serotype").orderBy(F.round("mean_freq", 9).desc(), "kmer")
-    return mean.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    out = mean.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return out.withColumn("mean_freq", F.round("mean_freq", 6))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,3 +72,253 @@ register("kmer_profile_by_serotype", """
   r as (select *, row_number() over (partition by serotype order by round(mean_freq, 9) desc, kmer) as rank from m)
 select serotype, kmer, n_samples, round(mean_freq, 6) as mean_freq, rank from r where rank <= 20
 """)(flagship)
+
+
+# ------------------------------------------------------- B: scalar features --
+
+def _serotype_sql(*texts: str) -> str:
+    parts = ", ".join(f"nullif({t}, '')" for t in texts)
+    t = f"lower(concat_ws(' ', {parts}))"
+    hits = ", ".join(f"nullif(regexp_extract({t}, '{p}', 1), '')" for p in sf.SEROTYPE_PATTERNS)
+    return f"case when coalesce({hits}) is not null then concat('DENV-', coalesce({hits})) end"
+
+
+@register("serotype_from_text", f"""
+select sample_id, description, genotype, {_serotype_sql('description', 'genotype')} as inferred_serotype
+from samples""")
+def q_serotype_from_text(spark, sf_dir):
+    """B1: first of six patterns over description + genotype text."""
+    s = samples(spark, sf_dir)
+    return s.select("sample_id", "description", "genotype",
+                    sf.infer_serotype("description", "genotype").alias("inferred_serotype"))
+
+
+@register("sample_metadata", """
+select sample_id, collection_date, right(collection_date, 4) as year,
+       coalesce(contains(lower(description), 'complete genome'), false) as is_complete, genome_length
+from samples""")
+def q_sample_metadata(spark, sf_dir):
+    """B2: year = last 4 characters of the date; is_complete; genome_length."""
+    s = samples(spark, sf_dir)
+    return s.select("sample_id", "collection_date", sf.year_from_date("collection_date").alias("year"),
+                    sf.is_complete("description").alias("is_complete"), "genome_length")
+
+
+@register("gc_content", f"""
+select sample_id, genome_length, {gc_sql('sequence')} as gc_content from samples""")
+def q_gc_content(spark, sf_dir):
+    """(G+C)/length, ambiguous bases in the denominator, empty -> 0."""
+    s = samples(spark, sf_dir)
+    return s.select("sample_id", "genome_length", sf.gc_content("sequence").alias("gc_content"))
+
+
+@register("kmer_counts_skip_n", """
+select sample_id, kmer, count(*)::bigint as kmer_count, max(total)::bigint as total,
+       count(*)::double / max(total) as freq
+from (select sample_id, w as kmer, count(*) over (partition by sample_id) as total
+      from (select sample_id, substring(sequence, i, 3) as w
+            from (select sample_id, sequence, unnest(range(1, length(sequence) - 1)) as i from samples) a) b
+      where not contains(w, 'N')) c
+group by sample_id, kmer""")
+def q_kmer_counts_skip_n(spark, sf_dir):
+    """Raw windows, case kept, windows containing N dropped."""
+    return kmers.kmer_counts(samples(spark, sf_dir), k=3, mode="skip_n")
+
+
+@register("kmer_counts_strip", strip_long_sql("samples"))
+def q_kmer_counts_strip(spark, sf_dir):
+    """Uppercase, delete non-ACGT first, then count windows."""
+    return kmers.kmer_counts(samples(spark, sf_dir), k=3, mode="strip")
+
+
+@register("sequence_features_wide", """
+select s.*, r.genome_length from seqfeat s join (select sample_id, length(sequence) as genome_length from raw) r
+using (sample_id)""")
+def q_sequence_features_wide(spark, sf_dir):
+    """Id, gc, all 64 ACGT 3-mer frequencies (0-filled), genome_length."""
+    return kmers.extract_features(derived.raw_sequences(spark, sf_dir), k=3)
+
+
+@register("mutation_profile", "select * from mutation")
+def q_mutation_profile(spark, sf_dir):
+    """length_diff and mutation_density against a 10,700-base reference."""
+    return derived.mutation_profile(spark, sf_dir)
+
+
+@register("label_table", "select * from labels")
+def q_label_table(spark, sf_dir):
+    """Serotype, genotype and known_genotype = genotype is not null."""
+    return derived.label_table(spark, sf_dir)
+
+
+@register("mutation_defaults", """
+select sample_id, 0.0::double as mutation_density, 0::bigint as total_mutations,
+       (length(sequence) - 10700)::bigint as length_diff
+from raw""")
+def q_mutation_defaults(spark, sf_dir):
+    """Default mutation columns added at inference when absent."""
+    f = kmers.extract_features(derived.raw_sequences(spark, sf_dir), k=3)
+    return tables.add_mutation_defaults(f, reference_length=tables.REFERENCE_LENGTH).select(
+        "sample_id", "mutation_density", "total_mutations", "length_diff")
+
+
+@register("generated_sample_ids", """
+select doc_id, printf('SAMPLE_%04d', row_number() over (order by doc_id)) as sample_id from documents""")
+def q_generated_sample_ids(spark, sf_dir):
+    """Dense SAMPLE_%04d ids in doc_id order without a one-task window."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    return with_sample_ids(d, order_by="doc_id").select("doc_id", "sample_id")
+
+
+EXPECTED_DEMO = ["gc_content", "kmer_AAA", "kmer_ACG", "kmer_NNN", "genome_length", "total_mutations"]
+
+
+@register("aligned_features", """
+select sample_id, gc_content, kmer_AAA, kmer_ACG, 0.0::double as kmer_NNN,
+       genome_length, 0.0::double as total_mutations
+from seqfeat join (select sample_id, length(sequence) as genome_length from raw) using (sample_id)""")
+def q_aligned_features(spark, sf_dir):
+    """Align to an expected schema (missing -> 0, extras dropped, order kept)."""
+    return kmers.extract_features(derived.raw_sequences(spark, sf_dir), k=3, expected=EXPECTED_DEMO)
+
+
+@register("numeric_coercion", """
+select sample_id, coalesce(try_cast(year as double), 0.0) as year,
+       coalesce(try_cast(is_complete as double), 0.0) as is_complete,
+       coalesce(try_cast(country as double), 0.0) as country,
+       coalesce(try_cast(genome_length as double), 0.0) as genome_length
+from metadata""")
+def q_numeric_coercion(spark, sf_dir):
+    """Coerce to numbers; booleans -> 0/1, unparsable/null -> 0."""
+    m = derived.metadata(spark, sf_dir)
+    return features.coerce_numeric(m, ["year", "is_complete", "country", "genome_length"],
+                                   keep=["sample_id"])
+
+
+def _ascii_text_sql(col="text"):
+    return f"regexp_replace({col}, '[^\\x01-\\x7F]', '', 'g')"
+
+
+@register("sequence_validation", """
+select sample_id, length(c) as length, array_to_string(list_sort(list_distinct(
+         list_filter(string_split(regexp_replace(c, '[ATCGNMRWSYKVHDB]', '', 'g'), ''), lambda x: x <> ''))), '') as invalid_chars,
+       length(c) < 100 as too_short,
+       (length(c) - length(translate(c, 'NMRWSYKVHDB', '')))::bigint as ambiguous_count,
+       """ + gc_sql("c") + """ as gc_content
+from (select cast(doc_id as varchar) as sample_id,
+             upper(regexp_replace(regexp_replace(text, '[^A-Za-z\\s]', '', 'g'), '\\s+', '', 'g')) as c
+      from documents) v""")
+def q_sequence_validation(spark, sf_dir):
+    """Validation report of pasted text (letters and whitespace kept)."""
+    d = read_table(spark, sf_dir, "documents")
+    c = sf.clean_sequence(F.regexp_replace("text", r"[^A-Za-z\s]", ""))
+    v = d.select(F.col("doc_id").cast("string").alias("sample_id"), c.alias("c"))
+    return v.select("sample_id", F.length("c").alias("length"), sf.invalid_chars("c").alias("invalid_chars"),
+                    (F.length("c") < 100).alias("too_short"), sf.ambiguous_count("c").alias("ambiguous_count"),
+                    sf.gc_content("c").alias("gc_content"))
+
+
+@register("sequence_preview", f"""
+select sample_id, length(sequence) as length,
+       case when length(sequence) > 50 then concat(substring(sequence, 1, 50), '...') else sequence end as preview,
+       {gc_sql('sequence')} as gc_content
+from samples""")
+def q_sequence_preview(spark, sf_dir):
+    """Id, length, first 50 characters + '...', GC."""
+    s = samples(spark, sf_dir)
+    return s.select("sample_id", F.length("sequence").alias("length"),
+                    sf.preview("sequence", 50).alias("preview"), sf.gc_content("sequence").alias("gc_content"))
+
+
+# ------------------------------------------------------------- A: sources --
+
+@register("sequence_qc", "select sample_id, length(sequence) as genome_length from raw")
+def q_sequence_qc(spark, sf_dir):
+    """A4: keep sequences of at least min_length (100 on the test texts)."""
+    return derived.raw_sequences(spark, sf_dir).select("sample_id", F.length("sequence").alias("genome_length"))
+
+
+@register("sequence_qc_report", """
+select count(*) filter (where sequence is not null and length(sequence) >= 100) as kept,
+       count(*) filter (where not coalesce(sequence is not null and length(sequence) >= 100, false)) as skipped
+from samples""")
+def q_sequence_qc_report(spark, sf_dir):
+    """A4: kept / skipped counts."""
+    return tables.qc_report(samples(spark, sf_dir), derived.MIN_LENGTH)
+
+
+@register("text_line_ingest", """
+select doc_id, line_no,
+       case when contains(line, ',') then trim(split_part(line, ',', 1), ' \t\n\r') else printf('SAMPLE_%04d', line_no) end as sample_id,
+       seq as sequence, length(seq) as length
+from (select doc_id, line_no, line,
+             upper(regexp_replace(case when contains(line, ',') then substring(line, strpos(line, ',') + 1) else line end,
+                                  '\\s+', '', 'g')) as seq
+      from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as line_no
+            from (select doc_id, list_filter(list_transform(string_split(""" + _ascii_text_sql() + """, '\n'),
+                                                            lambda x: trim(x, ' \t\n\r')), lambda x: x <> '') as ls
+                  from documents) a) b) c
+where length(seq) > 0""")
+def q_text_line_ingest(spark, sf_dir):
+    """A5: each document read as a pasted multi-line input."""
+    from seqlake.sources.text import parse_sequence_lines
+
+    d = read_table(spark, sf_dir, "documents")
+    txt = F.regexp_replace("text", r"[^\x01-\x7F]", "")
+    return parse_sequence_lines(d.select("doc_id", txt.alias("text")), text_col="text", group_col="doc_id")
+
+
+# ---------------------------------------------------- C: joins and filters --
+
+def _merged_cols():
+    return (["sample_id", "description", "serotype", "genotype", "country", "year", "host", "genome_length",
+             "is_complete", "gc_content"] + [f"kmer_{lv}" for lv in LEVELS]
+            + ["length_diff", "mutation_density", "serotype_label", "genotype_label", "known_genotype"])
+
+
+@register("merged_tables", "select * from merged")
+def q_merged_tables(spark, sf_dir):
+    """Metadata left-joined with features, mutation profile and labels."""
+    return derived.merged(spark, sf_dir)
+
+
+@register("label_filter", "select sample_id, serotype, serotype_label from labelled")
+def q_label_filter(spark, sf_dir):
+    """Rows with a null label removed."""
+    m = relational.filter_missing_labels(derived.merged(spark, sf_dir), "serotype")
+    return m.select("sample_id", "serotype", "serotype_label")
+
+
+@register("outlier_trim", "select sample_id, genome_length from cleaned")
+def q_outlier_trim(spark, sf_dir):
+    """Keep q01 <= genome_length <= q99 (linear quantiles, inclusive)."""
+    return derived.cleaned(spark, sf_dir).select("sample_id", "genome_length")
+
+
+@register("min_class_filter", """
+, g as (select *, concat(serotype, '/', genotype) as cls from cleaned where genotype is not null)
+select sample_id, cls from g where cls in (select cls from g group by cls having count(*) >= 7)""")
+def q_min_class_filter(spark, sf_dir):
+    """C4: keep classes with >= max(2, ceil(5 / (1 - 0.2))) = 7 rows."""
+    c = derived.cleaned(spark, sf_dir).where(F.col("genotype").isNotNull())
+    c = c.withColumn("cls", F.concat_ws("/", "serotype", "genotype"))
+    return relational.filter_min_class(c, "cls").select("sample_id", "cls")
+
+
+@register("membership_filter", """
+select sample_id, genotype from metadata where not coalesce(genotype in ('src0', 'src1', 'src2'), false)""")
+def q_membership_filter(spark, sf_dir):
+    """NOT IN that keeps nulls (the pandas ~isin rule)."""
+    m = derived.metadata(spark, sf_dir)
+    return relational.filter_membership(m, "genotype", ["src0", "src1", "src2"], negate=True) \
+        .select("sample_id", "genotype")
+
+
+@register("year_numeric_filter", """
+select cast(try_cast(year as double) as bigint) as year, count(*) as n_samples
+from metadata where try_cast(year as double) is not null group by 1""")
+def q_year_numeric_filter(spark, sf_dir):
+    """C6 + I13: rows whose year parses as a number, counted per year."""
+    m = relational.numeric_filter(derived.metadata(spark, sf_dir), "year")
+    return (m.groupBy(F.col("year").try_cast("double").cast("long").alias("year"))
+             .agg(F.count(F.lit(1)).alias("n_samples")))
