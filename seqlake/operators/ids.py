@@ -43,3 +43,25 @@ def with_sample_ids(df: DataFrame, id_col: str = "sample_id", order_by=None,
     out = dense_index(df, order_by=order_by, col="_idx", start=start)
     idc = F.format_string(fmt, F.col("_idx")) if fmt else F.col("_idx")
     return out.withColumn(id_col, idc).drop("_idx")
+
+
+def prefix_sum(df: DataFrame, order_by: str, value_col: str, out_col: str = "_cum",
+               inclusive: bool = True) -> DataFrame:
+    """Running total of ``value_col`` in ``order_by`` order, over all rows.
+
+    Range-partitioned so each task sums one contiguous slice; slice offsets
+    come from a per-partition total table (bounded by the partition count).
+    Rows with equal keys get the running total in arbitrary tie order; callers
+    that need tie groups aggregate by the key first.
+    """
+    r = df.repartitionByRange(order_by).withColumn("_pid", F.spark_partition_id())
+    tot = r.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
+    off = tot.select("_pid", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
+    local = r.withColumn("_loc", F.sum(value_col).over(w))
+    out = local.join(F.broadcast(off), "_pid", "inner")
+    cum = F.col("_off") + F.col("_loc")
+    if not inclusive:
+        cum = cum - F.col(value_col)
+    return out.withColumn(out_col, cum).drop("_pid", "_off", "_loc")

@@ -322,3 +322,203 @@ def q_year_numeric_filter(spark, sf_dir):
     m = relational.numeric_filter(derived.metadata(spark, sf_dir), "year")
     return (m.groupBy(F.col("year").try_cast("double").cast("long").alias("year"))
              .agg(F.count(F.lit(1)).alias("n_samples")))
+
+
+# ----------------------------------------- F9-F11, C7, C8, G: detectors ---
+
+from seqlake.operators import metrics  # noqa: E402
+from seqlake.operators.models.centroid import fit_centroid  # noqa: E402
+from seqlake.operators.models.threshold import flag  # noqa: E402
+from seqlake.sources.fixtures import EMBEDDINGS_SQL, embedding_rows  # noqa: E402
+
+_DIST_SQL = {
+    "euclidean": "sqrt(list_sum(list_transform(range(1, len(e.features) + 1), lambda i: (e.features[i] - c.cen[i]) * (e.features[i] - c.cen[i]))))",
+    "manhattan": "list_sum(list_transform(range(1, len(e.features) + 1), lambda i: abs(e.features[i] - c.cen[i])))",
+    "cosine": ("greatest(least(1.0 - (list_sum(list_transform(range(1, len(e.features) + 1), lambda i: e.features[i] * c.cen[i]))"
+               " / (sqrt(list_sum(list_transform(e.features, lambda x: x * x))) * sqrt(list_sum(list_transform(c.cen, lambda x: x * x))))), 2.0), 0.0)"),
+}
+
+
+def _det_ctes(method: str) -> str:
+    return f"""
+, emb as ({EMBEDDINGS_SQL}),
+  cpos as (select p, avg(v) as m from (select unnest(features) as v, generate_subscripts(features, 1) as p
+                                       from emb where is_train) a group by p),
+  c as (select list(m order by p) as cen from cpos),
+  sc as (select e.vec_id, e.label, e.is_train, e.y_true, {_DIST_SQL[method]} as score from emb e, c),
+  th as (select quantile_cont(score, 0.95) as threshold from sc where is_train),
+  fl as (select sc.*, th.threshold, sc.score > th.threshold as is_novel from sc, th where not is_train)
+"""
+
+
+def _detector(spark, sf_dir, method="euclidean"):
+    e = embedding_rows(spark, sf_dir)
+    det = fit_centroid(e.where("is_train"), "features", method)
+    scored = det.score(e, "features")
+    return det, scored
+
+
+def _make_scores(method):
+    def q(spark, sf_dir):
+        _, scored = _detector(spark, sf_dir, method)
+        return scored.select("vec_id", "label", "is_train", "y_true", F.round("score", 6).alias("score"))
+    q.__doc__ = f"F9: {method} distance of every embedding to the training centroid."
+    return q
+
+
+for _m, _name in (("euclidean", "centroid_scores"), ("cosine", "centroid_scores_cosine"),
+                  ("manhattan", "centroid_scores_manhattan")):
+    register(_name, _det_ctes(_m) + "select vec_id, label, is_train, y_true, round(score, 6) as score from sc")(
+        _make_scores(_m))
+
+
+@register("novelty_threshold", _det_ctes("euclidean") + """
+select round(threshold, 6) as threshold, (select count(*) from sc where is_train) as n_train from th""")
+def q_novelty_threshold(spark, sf_dir):
+    """95th percentile (linear) of the training scores."""
+    det, scored = _detector(spark, sf_dir)
+    n = scored.where("is_train").agg(F.count(F.lit(1)).alias("n_train"))
+    return n.select(F.round(F.lit(det.threshold), 6).alias("threshold"), "n_train")
+
+
+def _flags(spark, sf_dir):
+    det, scored = _detector(spark, sf_dir)
+    test = scored.where(~F.col("is_train"))
+    return det, flag(test, "score", det.threshold).withColumn("threshold", F.lit(det.threshold))
+
+
+@register("novelty_flags", _det_ctes("euclidean") + """
+select vec_id, label, y_true, round(score, 6) as score, is_novel from fl""")
+def q_novelty_flags(spark, sf_dir):
+    """F11 + C8: held-out known rows (truth 0) and novel rows (truth 1), flagged
+    when score > threshold (strict)."""
+    _, f = _flags(spark, sf_dir)
+    return f.select("vec_id", "label", "y_true", F.round("score", 6).alias("score"), "is_novel")
+
+
+@register("alert_list", _det_ctes("euclidean") + """
+select vec_id, round(score, 6) as score from fl where is_novel order by score desc, vec_id limit 10""")
+def q_alert_list(spark, sf_dir):
+    """Flagged rows, highest score first, first 10."""
+    from seqlake.operators.relational import alert_list
+    _, f = _flags(spark, sf_dir)
+    return alert_list(f, "is_novel", "score", "vec_id", 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+_BIN_SQL = """
+  bc as (select count(*) filter (where y_true = 1 and is_novel) as tp, count(*) filter (where y_true <> 1 and is_novel) as fp,
+                count(*) filter (where y_true = 1 and not is_novel) as fn, count(*) filter (where y_true <> 1 and not is_novel) as tn from fl),
+  bm as (select (tp + tn)::double / nullif(tp + tn + fp + fn, 0) as accuracy,
+                coalesce(tp::double / nullif(tp + fp, 0), 0.0) as precision,
+                coalesce(tp::double / nullif(tp + fn, 0), 0.0) as recall from bc),
+  bm2 as (select coalesce(accuracy, 0.0) as accuracy, precision, recall,
+                 case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end as f1 from bm),
+  ranks as (select y_true, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as r from fl),
+  auc as (select case when sum(y_true) > 0 and sum(1 - y_true) > 0 then
+                   (sum(case when y_true = 1 then r else 0 end) - sum(y_true) * (sum(y_true) + 1) / 2.0)
+                   / (sum(y_true) * sum(1 - y_true)) else 0.0 end as roc_auc from ranks)
+"""
+
+
+@register("detector_binary_metrics", _det_ctes("euclidean") + "," + _BIN_SQL + """
+select round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall,
+       round(f1, 6) as f1 from bm2""")
+def q_detector_binary_metrics(spark, sf_dir):
+    """Accuracy, precision, recall, F1 of the flags (0 on empty denominators)."""
+    _, f = _flags(spark, sf_dir)
+    m = metrics.binary_metrics(f.withColumn("y_pred", F.col("is_novel").cast("int")), "y_true", "y_pred")
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@register("detector_roc_auc", _det_ctes("euclidean") + "," + _BIN_SQL + """
+select round(roc_auc, 6) as roc_auc from auc""")
+def q_detector_roc_auc(spark, sf_dir):
+    """Exact ROC-AUC of the scores, ties sharing rank."""
+    _, f = _flags(spark, sf_dir)
+    return metrics.roc_auc(f, "y_true", "score").select(F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@register("detector_evaluation", _det_ctes("euclidean") + "," + _BIN_SQL + """
+select round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall,
+       round(f1, 6) as f1, round(roc_auc, 6) as roc_auc, round((select threshold from th), 6) as threshold
+from bm2, auc""")
+def q_detector_evaluation(spark, sf_dir):
+    """The bundled detector evaluation row."""
+    det, f = _flags(spark, sf_dir)
+    m = metrics.detector_evaluation(f.withColumn("y_pred", F.col("is_novel").cast("int")), det.threshold)
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@register("prediction_summary", _det_ctes("euclidean") + """
+select count(*) as total, count(*) filter (where is_novel) as n_flagged,
+       count(distinct label) filter (where is_novel) as n_flagged_labels,
+       count(*) filter (where is_novel and y_true = 0) as known_flagged,
+       count(*) filter (where is_novel and y_true = 1) as novel_flagged,
+       round(avg(score), 6) as mean_score
+from fl""")
+def q_prediction_summary(spark, sf_dir):
+    """Totals, flagged counts, known-vs-flagged pairs of the scored rows."""
+    _, f = _flags(spark, sf_dir)
+    return f.agg(F.count(F.lit(1)).alias("total"), F.count_if("is_novel").alias("n_flagged"),
+                 F.count_distinct(F.when(F.col("is_novel"), F.col("label"))).alias("n_flagged_labels"),
+                 F.count_if(F.col("is_novel") & (F.col("y_true") == 0)).alias("known_flagged"),
+                 F.count_if(F.col("is_novel") & (F.col("y_true") == 1)).alias("novel_flagged"),
+                 F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+# ------------------------------------- G1-G4: multiclass on the text rule --
+
+_PRED_SQL = f"""
+, pr as (select serotype as y_true, coalesce({_serotype_sql('description', 'genotype')}, 'unknown') as y_pred
+         from samples where serotype is not null)
+"""
+
+
+def _text_predictions(spark, sf_dir):
+    s = samples(spark, sf_dir).where(F.col("serotype").isNotNull())
+    return s.select(F.col("serotype").alias("y_true"),
+                    F.coalesce(sf.infer_serotype("description", "genotype"), F.lit("unknown")).alias("y_pred"))
+
+
+@register("confusion_matrix", _PRED_SQL + """
+, lab as (select y_true as label from pr union select y_pred from pr)
+select a.label as y_true, b.label as y_pred, count(pr.y_true)::bigint as n
+from lab a, lab b left join pr on pr.y_true = a.label and pr.y_pred = b.label
+group by a.label, b.label""")
+def q_confusion_matrix(spark, sf_dir):
+    """Confusion counts over the label x label grid (zeros kept)."""
+    return metrics.confusion_matrix(_text_predictions(spark, sf_dir))
+
+
+_REPORT_SQL = _PRED_SQL + """
+, lab as (select y_true as label from pr union select y_pred from pr),
+  rep as (select l.label,
+            coalesce(count(*) filter (where pr.y_true = l.label and pr.y_pred = l.label)::double
+                     / nullif(count(*) filter (where pr.y_pred = l.label), 0), 0.0) as precision,
+            coalesce(count(*) filter (where pr.y_true = l.label and pr.y_pred = l.label)::double
+                     / nullif(count(*) filter (where pr.y_true = l.label), 0), 0.0) as recall,
+            count(*) filter (where pr.y_true = l.label) as support
+          from lab l, pr group by l.label),
+  rep2 as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end as f1 from rep)
+"""
+
+
+@register("per_class_report", _REPORT_SQL + """
+select label, round(precision, 6) as precision, round(recall, 6) as recall, support, round(f1, 6) as f1 from rep2""")
+def q_per_class_report(spark, sf_dir):
+    """Per-class precision / recall / F1 / support."""
+    r = metrics.per_class_report(_text_predictions(spark, sf_dir))
+    return r.select("label", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"),
+                    "support", F.round("f1", 6).alias("f1"))
+
+
+@register("classification_metrics", _REPORT_SQL + """
+select (select count(*) from pr) as n,
+       round((select avg((y_true = y_pred)::int) from pr), 6) as accuracy,
+       round(avg(f1), 6) as macro_f1, round(sum(f1 * support) / sum(support), 6) as weighted_f1,
+       round(avg(precision), 6) as macro_precision, round(avg(recall), 6) as macro_recall
+from rep2""")
+def q_classification_metrics(spark, sf_dir):
+    """Accuracy, macro and weighted F1 over the union of labels."""
+    m = metrics.classification_summary(_text_predictions(spark, sf_dir))
+    return m.select("n", *[F.round(c, 6).alias(c) for c in m.columns if c != "n"])

@@ -114,3 +114,26 @@ from (select doc_id, source,
 def with_samples(sql: str) -> str:
     """Prefix an oracle query with the ``samples`` CTE."""
     return f"with samples as ({SAMPLES_SQL})\n{sql}"
+
+
+def embedding_rows(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
+    """``embeddings`` as detector input: labels 0-7 known, 8-9 novel.
+
+    ``is_train`` = known label and md5(seed|vec_id) starting below 'd'
+    (about 13/16 of the known rows); ``y_true`` = 1 for novel labels.
+    """
+    from seqlake.operators.common import hash_key
+    from seqlake.operators.vectors import as_double_array
+
+    e = spread(read_table(spark, sf_dir, "embeddings"))
+    h = hash_key("vec_id", seed=seed)
+    return e.select("vec_id", "label", as_double_array("embedding").alias("features"),
+                    ((F.col("label") <= 7) & (F.substring(h, 1, 1) < "d")).alias("is_train"),
+                    (F.col("label") >= 8).cast("int").alias("y_true"))
+
+
+EMBEDDINGS_SQL = """
+select vec_id, label, list_transform(embedding, lambda x: x::double) as features,
+       label <= 7 and substring(md5(concat_ws('|', '42', coalesce(cast(vec_id as varchar), ''))), 1, 1) < 'd' as is_train,
+       (label >= 8)::int as y_true
+from embeddings"""
