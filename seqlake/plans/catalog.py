@@ -522,3 +522,200 @@ def q_classification_metrics(spark, sf_dir):
     """Accuracy, macro and weighted F1 over the union of labels."""
     m = metrics.classification_summary(_text_predictions(spark, sf_dir))
     return m.select("n", *[F.round(c, 6).alias(c) for c in m.columns if c != "n"])
+
+
+# ------------------------------------------------------ I: exploration ---
+
+from seqlake.operators import eda, interpret  # noqa: E402
+
+NUM_COLS = ["gc_content", "genome_length", "length_diff", "mutation_density"]
+META_COLS = ["sample_id", "description", "serotype", "genotype", "country", "year", "host",
+             "genome_length", "is_complete"]
+MERGED_COLS = (META_COLS + ["gc_content"] + [f"kmer_{lv}" for lv in LEVELS]
+               + ["length_diff", "mutation_density", "serotype_label", "genotype_label", "known_genotype"])
+
+
+@register("table_counts", """
+select (select count(*) from metadata) as n_metadata, (select count(*) from seqfeat) as n_sequence_features,
+       (select count(*) from mutation) as n_mutation_profiles, (select count(*) from labels) as n_labels,
+       (select count(*) from cleaned) as n_cleaned, """ + str(len(MERGED_COLS)) + """ as n_columns,
+       (select count(*) filter (where is_complete) from cleaned) as n_complete""")
+def q_table_counts(spark, sf_dir):
+    """Row counts of each table, cleaned rows, columns, complete samples."""
+    c = derived.cleaned(spark, sf_dir)
+    cnt = lambda d: d.agg(F.count(F.lit(1))).scalar()
+    return c.agg(F.count(F.lit(1)).alias("n_cleaned"), F.count_if("is_complete").alias("n_complete")).select(
+        cnt(derived.metadata(spark, sf_dir)).alias("n_metadata"),
+        cnt(derived.sequence_features(spark, sf_dir)).alias("n_sequence_features"),
+        cnt(derived.mutation_profile(spark, sf_dir)).alias("n_mutation_profiles"),
+        cnt(derived.label_table(spark, sf_dir)).alias("n_labels"),
+        "n_cleaned", F.lit(len(c.columns)).alias("n_columns"), "n_complete")
+
+
+@register("missing_by_column", """
+, mc as (""" + " union all ".join(
+    f"select '{c}' as \"column\", count(*) filter (where {c} is null) as missing_count, count(*) as n from metadata"
+    for c in META_COLS) + """)
+select "column", missing_count, round(missing_count * 100.0 / n, 2) as missing_pct from mc where missing_count > 0""")
+def q_missing_by_column(spark, sf_dir):
+    """Missing count and percent per metadata column (only > 0)."""
+    return eda.missing_by_column(derived.metadata(spark, sf_dir)).orderBy(F.col("missing_count").desc())
+
+
+@register("dataset_summary", f"""
+select count(*) as total_samples, {len(MERGED_COLS)} as total_features,
+       ({' + '.join(f'count(*) filter (where {c} is null)' for c in MERGED_COLS)}) as missing_values,
+       count(*) - count(distinct sample_id) - max((sample_id is null)::int) as duplicate_samples
+from cleaned""")
+def q_dataset_summary(spark, sf_dir):
+    """Rows, columns, missing cells, duplicated ids of the cleaned table."""
+    return eda.dataset_summary(derived.cleaned(spark, sf_dir))
+
+
+@register("quality_deltas", f"""
+, b as (select count(*) as n, ({' + '.join(f'count(*) filter (where {c} is null)' for c in MERGED_COLS)}) as m from merged),
+  a as (select count(*) as n, ({' + '.join(f'count(*) filter (where {c} is null)' for c in MERGED_COLS)}) as m from cleaned)
+select b.n as rows_before, a.n as rows_after, b.n - a.n as rows_removed,
+       round(b.m * 100.0 / (b.n * {len(MERGED_COLS)}), 4) as missing_pct_before,
+       round(a.m * 100.0 / (a.n * {len(MERGED_COLS)}), 4) as missing_pct_after,
+       {len(MERGED_COLS)} as features_before, {len(MERGED_COLS)} as features_after
+from a, b""")
+def q_quality_deltas(spark, sf_dir):
+    """I4: raw (merged) vs cleaned: rows removed, missing percent, feature counts."""
+    raw, cl = derived.merged(spark, sf_dir), derived.cleaned(spark, sf_dir)
+    before = raw.agg(F.struct(F.count(F.lit(1)).alias("n"), eda.total_missing(raw).alias("m")).alias("s")).scalar()
+    nb, mb = before.getField("n"), before.getField("m")
+    a = cl.agg(F.count(F.lit(1)).alias("n"), eda.total_missing(cl).alias("m"))
+    return a.select(nb.alias("rows_before"), F.col("n").alias("rows_after"), (nb - F.col("n")).alias("rows_removed"),
+                    F.round(mb * 100.0 / (nb * len(raw.columns)), 4).alias("missing_pct_before"),
+                    F.round(F.col("m") * 100.0 / (F.col("n") * len(cl.columns)), 4).alias("missing_pct_after"),
+                    F.lit(len(raw.columns)).alias("features_before"), F.lit(len(cl.columns)).alias("features_after"))
+
+
+@register("describe_numeric", " union all ".join(f"""
+select '{c}' as column, count({c}) as count, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std,
+       min({c})::double as min, round(quantile_cont({c}, 0.25), 6) as p25, round(quantile_cont({c}, 0.5), 6) as p50,
+       round(quantile_cont({c}, 0.75), 6) as p75, max({c})::double as max from cleaned""" for c in NUM_COLS).replace(
+    "select '", ", dd as (select '", 1) + ") select * from dd")
+def q_describe_numeric(spark, sf_dir):
+    """Count, mean, sample std, min, exact quartiles, max."""
+    d = eda.describe(derived.cleaned(spark, sf_dir), NUM_COLS)
+    return d.select("column", "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min",
+                    *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")], "max")
+
+
+def _hist_sql(col: str, bins: int = 50) -> str:
+    return f"""
+, mm as (select min({col})::double as lo, max({col})::double as hi from cleaned),
+  w as (select lo, hi, (hi - lo) / {bins} as width from mm),
+  hb as (select case when w.width = 0 then 0 else least(floor(({col} - w.lo) / w.width)::int, {bins - 1}) end as bin
+         from cleaned, w where {col} is not null),
+  hc as (select bin, count(*) as count from hb group by bin),
+  e as (select range::int as bin from range({bins}))
+select e.bin, round(w.lo + e.bin * w.width, 6) as lo, round(w.lo + (e.bin + 1) * w.width, 6) as hi,
+       coalesce(hc.count, 0)::bigint as count
+from e cross join w left join hc on hc.bin = e.bin"""
+
+
+def _hist(col):
+    def q(spark, sf_dir):
+        h = eda.histogram(derived.cleaned(spark, sf_dir), col, 50)
+        return h.select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "count")
+    q.__doc__ = f"I6: 50 equal-width bins of {col} (empty bins kept)."
+    return q
+
+
+register("length_histogram", _hist_sql("genome_length"))(_hist("genome_length"))
+register("gc_histogram", _hist_sql("gc_content"))(_hist("gc_content"))
+register("density_histogram", _hist_sql("mutation_density"))(_hist("mutation_density"))
+
+
+def _vc(col, top):
+    def q(spark, sf_dir):
+        return eda.value_counts(derived.cleaned(spark, sf_dir), col, top)
+    q.__doc__ = f"I7: value counts of {col}" + (f", top {top}" if top else "")
+    return q
+
+
+for _col, _top in (("serotype", 10), ("genotype", 20), ("country", None)):
+    register(f"{_col}_counts", f"""
+select {_col}, count(*) as count from cleaned where {_col} is not null group by {_col}
+order by count desc, {_col} {'limit ' + str(_top) if _top else ''}""")(_vc(_col, _top))
+
+
+@register("crosstab_serotype_genotype", """
+, d as (select serotype, genotype from cleaned where serotype is not null and genotype is not null),
+  a as (select distinct serotype from d), b as (select distinct genotype from d),
+  c as (select serotype, genotype, count(*) as count from d group by all)
+select a.serotype, b.genotype, coalesce(c.count, 0)::bigint as count
+from a cross join b left join c on c.serotype = a.serotype and c.genotype = b.genotype""")
+def q_crosstab(spark, sf_dir):
+    """I8: serotype x genotype counts, zero-filled, either null dropped."""
+    return eda.crosstab(derived.cleaned(spark, sf_dir), "serotype", "genotype")
+
+
+@register("density_by_serotype", """
+select serotype, round(avg(mutation_density), 6) as mean, round(stddev_samp(mutation_density), 6) as std,
+       count(mutation_density) as count
+from cleaned where serotype is not null group by serotype""")
+def q_density_by_serotype(spark, sf_dir):
+    """Mean / sample std / count of mutation density per serotype."""
+    g = eda.group_stats(derived.cleaned(spark, sf_dir), "serotype", "mutation_density")
+    return g.select("serotype", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "count")
+
+
+@register("length_diff_box", """
+, q as (select quantile_cont(length_diff, 0.25) as q1, quantile_cont(length_diff, 0.5) as median,
+               quantile_cont(length_diff, 0.75) as q3 from cleaned)
+select round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, round(q3 - q1, 6) as iqr,
+       round(q1 - 1.5 * (q3 - q1), 6) as lower_fence, round(q3 + 1.5 * (q3 - q1), 6) as upper_fence,
+       (select count(*) from cleaned where length_diff < q1 - 1.5 * (q3 - q1) or length_diff > q3 + 1.5 * (q3 - q1)) as n_outliers
+from q""")
+def q_length_diff_box(spark, sf_dir):
+    """Box statistics of length_diff with 1.5-IQR fences."""
+    b = eda.box_stats(derived.cleaned(spark, sf_dir), "length_diff")
+    return b.select(*[F.round(c, 6).alias(c) for c in b.columns if c != "n_outliers"], "n_outliers")
+
+
+@register("top_kmers", """
+, m as (""" + " union all ".join(f"select 'kmer_{lv}' as feature, avg(kmer_{lv}) as mean from cleaned" for lv in LEVELS) + """)
+select feature, round(mean, 6) as mean from m order by round(mean, 9) desc, feature limit 20""")
+def q_top_kmers(spark, sf_dir):
+    """Mean frequency per k-mer over the cleaned samples, top 20."""
+    m = eda.column_means(derived.cleaned(spark, sf_dir), [f"kmer_{lv}" for lv in LEVELS])
+    return m.orderBy(F.round("mean", 9).desc(), "feature").limit(20).select("feature", F.round("mean", 6).alias("mean"))
+
+
+_CORR_COLS = [f"kmer_{lv}" for lv in LEVELS[:20]]
+
+
+@register("kmer_correlation", """
+, p as (""" + " union all ".join(
+    f"select '{a}' as col_a, '{b}' as col_b, corr({a}, {b}) as corr from cleaned"
+    for a in _CORR_COLS for b in _CORR_COLS if a != b) + """)
+select col_a, col_b, round(corr, 6) as corr from p
+union all select c, c, 1.0 from (values """ + ", ".join(f"('{c}')" for c in _CORR_COLS) + """) t(c)""")
+def q_kmer_correlation(spark, sf_dir):
+    """Pearson correlation matrix of the first 20 k-mer columns."""
+    c = eda.correlation_matrix(derived.cleaned(spark, sf_dir), _CORR_COLS)
+    return c.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
+
+
+@register("samples_per_year", """
+select year, count(*) as n_samples from cleaned where year is not null group by year""")
+def q_samples_per_year(spark, sf_dir):
+    """Samples per collection year."""
+    return (derived.cleaned(spark, sf_dir).where(F.col("year").isNotNull())
+            .groupBy("year").agg(F.count(F.lit(1)).alias("n_samples")).orderBy("year"))
+
+
+@register("key_findings", """
+select count(distinct serotype) as n_serotypes, count(distinct genotype) as n_genotypes,
+       round(avg(mutation_density), 6) as mean_mutation_density, round(avg(gc_content), 6) as mean_gc_content,
+       (select serotype from cleaned where serotype is not null group by serotype order by count(*) desc, serotype limit 1) as modal_serotype
+from cleaned""")
+def q_key_findings(spark, sf_dir):
+    """Distinct label counts, modal serotype, mean density and GC."""
+    k = eda.key_findings(derived.cleaned(spark, sf_dir))
+    return k.select("n_serotypes", "n_genotypes", F.round("mean_mutation_density", 6).alias("mean_mutation_density"),
+                    F.round("mean_gc_content", 6).alias("mean_gc_content"), "modal_serotype")
