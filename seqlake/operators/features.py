@@ -104,7 +104,7 @@ def column_kinds(df: DataFrame, columns: list[str], max_levels: int = 20,
     if not numeric:
         return kinds
     aggs = [F.count(F.lit(1)).alias("_n")] + [
-        F.approx_count_distinct(F.col(c), 0.01).alias(f"a{i}") for i, c in enumerate(numeric)]
+        F.approx_count_distinct(F.col(c), 0.05).alias(f"a{i}") for i, c in enumerate(numeric)]
     row = df.agg(*aggs).first()
     n = row["_n"]
     near = [c for i, c in enumerate(numeric) if row[f"a{i}"] < 2 * max_levels]

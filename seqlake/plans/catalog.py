@@ -719,3 +719,159 @@ def q_key_findings(spark, sf_dir):
     k = eda.key_findings(derived.cleaned(spark, sf_dir))
     return k.select("n_serotypes", "n_genotypes", F.round("mean_mutation_density", 6).alias("mean_mutation_density"),
                     F.round("mean_gc_content", 6).alias("mean_gc_content"), "modal_serotype")
+
+
+# ------------------------------------------------- E: splits and samples ---
+
+_HK = hash_key_sql("sample_id")
+
+
+@register("stratified_split", f"""
+, r as (select sample_id, serotype, row_number() over (partition by serotype order by {_HK}, sample_id) as rn,
+               count(*) over (partition by serotype) as cn from cleaned)
+select sample_id, serotype, rn <= round(cn * 0.2) as is_test from r""")
+def q_stratified_split(spark, sf_dir):
+    """Per serotype, round(0.2 n) rows first in md5 order are test."""
+    c = derived.cleaned(spark, sf_dir).select("sample_id", "serotype")
+    return splits.stratified_split(c, "serotype", "sample_id", 0.2, seed=42)
+
+
+@register("cv_folds", f"""
+select sample_id, serotype, ((row_number() over (partition by serotype order by {_HK}, sample_id) - 1) % 5)::int as fold
+from cleaned""")
+def q_cv_folds(spark, sf_dir):
+    """Stratified 5-fold assignment in md5 order."""
+    c = derived.cleaned(spark, sf_dir).select("sample_id", "serotype")
+    return splits.fold_ids(c, "serotype", "sample_id", 5, seed=42)
+
+
+@register("novelty_split", f"""
+, tr as (select sample_id, genotype from cleaned where genotype = (select min(genotype) from cleaned)),
+  nv as (select sample_id, genotype from cleaned where genotype is not null and genotype <> (select min(genotype) from cleaned)),
+  kn as (select sample_id, genotype from cleaned where genotype is null
+         order by {_HK}, sample_id limit (select count(*) from nv))
+select sample_id, genotype, 'train' as role, null::int as y_true from tr
+union all select sample_id, genotype, 'test', 0 from kn
+union all select sample_id, genotype, 'test', 1 from nv""")
+def q_novelty_split(spark, sf_dir):
+    """E3 + C8: first genotype by name vs the rest; known test rows are rows in
+    neither list (null genotype), as many as the novel rows, in md5 order."""
+    c = derived.cleaned(spark, sf_dir).select("sample_id", "genotype")
+    train, test = splits.novelty_split(c, column="genotype")
+    return (train.select("sample_id", "genotype", F.lit("train").alias("role"), F.lit(None).cast("int").alias("y_true"))
+            .unionByName(test.select("sample_id", "genotype", F.lit("test").alias("role"), "y_true")))
+
+
+@register("open_set_split", f"""
+, names as (select distinct serotype from cleaned where serotype is not null order by serotype limit 2),
+  tr as (select sample_id, serotype from cleaned where serotype in (select serotype from names)),
+  nv as (select sample_id, serotype from cleaned where serotype is not null and serotype not in (select serotype from names)),
+  kn as (select sample_id, serotype from tr order by {_HK}, sample_id
+         limit least((select count(*) from nv), (select count(*) from tr) // 4))
+select sample_id, serotype, 'train' as role, null::int as y_true from tr
+union all select sample_id, serotype, 'test', 0 from kn
+union all select sample_id, serotype, 'test', 1 from nv""")
+def q_open_set_split(spark, sf_dir):
+    """E4 + C8: first two serotypes by name vs the rest; known test rows are
+    min(n_novel, n_train // 4) training rows in md5 order."""
+    c = derived.cleaned(spark, sf_dir).select("sample_id", "serotype")
+    train, test = splits.open_set_split(c, column="serotype")
+    return (train.select("sample_id", "serotype", F.lit("train").alias("role"), F.lit(None).cast("int").alias("y_true"))
+            .unionByName(test.select("sample_id", "serotype", F.lit("test").alias("role"), "y_true")))
+
+
+@register("hash_sample", f"""
+select sample_id, serotype from cleaned order by {_HK}, sample_id limit 100""")
+def q_hash_sample(spark, sf_dir):
+    """E5: a replayable bounded sample of 100 rows (top-k by md5 order)."""
+    c = derived.cleaned(spark, sf_dir).select("sample_id", "serotype")
+    return splits.hash_sample(c, 100, "sample_id", seed=42)
+
+
+# ------------------------------------------- D: features and encoding ---
+
+_NOV_COLS = ["gc_content"] + [f"kmer_{lv}" for lv in LEVELS] + ["mutation_density"]
+
+
+@register("novelty_feature_columns", "select sample_id, " + ", ".join(_NOV_COLS) + " from cleaned")
+def q_novelty_feature_columns(spark, sf_dir):
+    """Detector feature auto-detection (k-mers, GC, names containing 'mut')."""
+    c = derived.cleaned(spark, sf_dir)
+    return c.select("sample_id", *features.novelty_feature_columns(c.columns))
+
+
+_KIND_NUMERIC = ["genome_length", "gc_content"] + [f"kmer_{lv}" for lv in LEVELS] + ["length_diff", "mutation_density"]
+_KIND_OTHER = ["genotype", "country", "year", "host", "is_complete", "serotype_label", "genotype_label", "known_genotype"]
+
+
+@register("column_kinds", """
+, k as (""" + " union all ".join(
+    f"select '{c}' as \"column\", case when count(distinct {c}) < 20 and count(distinct {c}) < count(*) * 0.1 "
+    f"then 'categorical' else 'numeric' end as kind from cleaned" for c in _KIND_NUMERIC) + " union all " + " union all ".join(
+    f"select '{c}', 'categorical'" for c in _KIND_OTHER) + """)
+select "column", kind from k""")
+def q_column_kinds(spark, sf_dir):
+    """D3: numeric with < 20 distinct and < 10% of rows -> categorical."""
+    c = derived.cleaned(spark, sf_dir)
+    cols = [x for x in c.columns if x not in ("sample_id", "description", "serotype")]
+    kinds = features.column_kinds(c, cols)
+    return spark.createDataFrame([(k, v) for k, v in kinds.items()], "column string, kind string")
+
+
+@register("feature_meaning", """
+, k as (""" + " union all ".join(f"select '{c}' as feature" for c in _KIND_NUMERIC + _KIND_OTHER) + """)
+select feature, case when contains(lower(feature), 'gc_content') then 'GC Content - Overall nucleotide composition'
+                     when contains(lower(feature), 'mutation_density') then 'Mutation Density - Rate of genetic variation'
+                     when contains(lower(feature), 'kmer_') then 'k-mer frequencies - Sequence patterns'
+                     when contains(lower(feature), 'kmer') then 'k-mer pattern'
+                     when contains(lower(feature), 'mutation') then 'Mutation profile'
+                     when contains(lower(feature), 'gc') then 'GC content'
+                     else 'Other feature' end as biological_interpretation
+from k""")
+def q_feature_meaning(spark, sf_dir):
+    """H4: feature -> meaning for every candidate feature of the cleaned table."""
+    c = derived.cleaned(spark, sf_dir)
+    cols = [x for x in c.columns if x not in ("sample_id", "description", "serotype")]
+    names = spark.createDataFrame([(x,) for x in cols], "feature string")
+    return interpret.map_features(names, "feature")
+
+
+@register("one_hot_encoding", """
+select sample_id, """ + ", ".join(
+    f"coalesce((country = 'country_{i}')::int, 0) as \"country_country_{i}\"" for i in range(1, 6)) + """,
+       coalesce((host = 'Homo sapiens')::int, 0) as "host_Homo sapiens"
+from cleaned""")
+def q_one_hot_encoding(spark, sf_dir):
+    """Sorted levels, first level dropped, null -> all zeros."""
+    c = derived.cleaned(spark, sf_dir).select("sample_id", "country", "host")
+    lv = features.category_levels(c, ["country", "host"])
+    return features.one_hot(c, lv, drop_first=True)
+
+
+@register("label_encoding", """
+select sample_id, serotype, (dense_rank() over (order by coalesce(serotype, 'unknown')) - 1)::int as serotype_idx
+from metadata""")
+def q_label_encoding(spark, sf_dir):
+    """Sorted levels of the string cast -> 0..n-1 (null read as 'unknown')."""
+    m = derived.metadata(spark, sf_dir).select("sample_id", "serotype")
+    return features.label_encode(m, "serotype", out_col="serotype_idx")
+
+
+_SCALE_COLS = ["gc_content", "kmer_AAA", "kmer_CGT", "length_diff", "mutation_density"]
+
+
+@register("scaled_features", f"""
+, r as (select *, row_number() over (partition by serotype order by {_HK}, sample_id) as rn,
+               count(*) over (partition by serotype) as cn from cleaned),
+  tr as (select * from r where not (rn <= round(cn * 0.2))),
+  st as (select """ + ", ".join(f"avg({c}::double) as m_{c}, stddev_pop({c}::double) as s_{c}" for c in _SCALE_COLS) + """ from tr)
+select sample_id, """ + ", ".join(
+    f"round(({c} - m_{c}) / case when s_{c} = 0 then 1 else s_{c} end, 6) as {c}" for c in _SCALE_COLS) + """
+from cleaned, st""")
+def q_scaled_features(spark, sf_dir):
+    """Standardise with the train split's mean and population std (0 -> 1)."""
+    c = derived.cleaned(spark, sf_dir)
+    sp = splits.stratified_split(c.select("sample_id", "serotype", *_SCALE_COLS), "serotype")
+    model = features.fit_scaler(sp.where(~F.col("is_test")), _SCALE_COLS)
+    out = model.transform(c, keep=["sample_id"])
+    return out.select("sample_id", *[F.round(x, 6).alias(x) for x in _SCALE_COLS])

@@ -21,6 +21,7 @@ def get_session(master: str | None = None, app: str = "seqlake",
         b = b.master(master)
     cpus = os.cpu_count() or 8
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+          .config("spark.driver.memory", os.environ.get("SEQLAKE_DRIVER_MEMORY", "16g"))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
