@@ -194,6 +194,16 @@ class ScalerModel:
             cols.append(((x - F.lit(self.mean[c])) / F.lit(s)).alias(c))
         return df.select(*keep, *cols)
 
+    def exprs(self, inputs: dict | None = None) -> list:
+        """Scaled column expressions; ``inputs`` maps a feature to its source
+        expression (default: the column of that name)."""
+        out = []
+        for c in self.features:
+            x = (inputs or {}).get(c, F.col(c)).cast("double")
+            s = self.std[c] if self.std[c] else 1.0
+            out.append((x - F.lit(self.mean[c])) / F.lit(s))
+        return out
+
     def to_json(self) -> str:
         return json.dumps({"features": self.features, "mean": self.mean, "std": self.std})
 
@@ -249,6 +259,19 @@ class FeatureSchema:
             rows.append((i, n, kind, src, lvl))
         return spark.createDataFrame(rows, "pos int, name string, kind string, source_col string, level string")
 
+    def exprs(self, columns: list[str]) -> dict:
+        """name -> expression over the raw columns (one-hot, coerce, 0 if absent)."""
+        have = set(columns)
+        out = {}
+        for n in self.names:
+            out[n] = to_numeric(F.col(n)) if n in have and n in self.numeric else F.lit(0.0)
+        for c, lv in self.levels.items():
+            for v in lv[1:]:
+                name = f"{c}_{_level_text(v)}"
+                if c in have:
+                    out[name] = F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0))
+        return out
+
     def to_json(self) -> str:
         return json.dumps({"names": self.names, "numeric": self.numeric,
                            "levels": {k: [_level_text(v) if isinstance(v, bool) else v for v in lv]
