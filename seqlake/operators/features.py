@@ -89,33 +89,48 @@ def coerce_numeric(df: DataFrame, columns: list[str], keep: list[str] | None = N
 
 # --- D3 -----------------------------------------------------------------------
 
+def _distinct_profile(df: DataFrame, columns: list[str], exact_below: int, max_levels: int):
+    """Row count, approximate distinct counts of every column (one pass), then
+    exact sorted level sets for columns the sketch puts below ``exact_below``
+    (second pass; each set is bounded by that cut, so memory stays bounded)."""
+    row = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.approx_count_distinct(F.col(c), 0.05).alias(f"a{i}") for i, c in enumerate(columns)]).first()
+    approx = {c: row[f"a{i}"] for i, c in enumerate(columns)}
+    small = [c for c in columns if approx[c] < exact_below]
+    levels = {}
+    if small:
+        r2 = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(f"e{i}") for i, c in enumerate(small)]).first()
+        levels = {c: list(r2[f"e{i}"]) for i, c in enumerate(small)}
+    return row["_n"], approx, levels
+
+
 def column_kinds(df: DataFrame, columns: list[str], max_levels: int = 20,
                  share: float = 0.1) -> dict[str, str]:
     """Numeric columns with fewer than 20 distinct values *and* fewer than 10%
     of the row count are categorical; other numerics numeric; the rest
-    categorical.
-
-    One aggregate pass: an HLL sketch per numeric column plus a bounded
-    ``collect_set`` only for columns the sketch places near the cut.
+    categorical. Two aggregate passes in all (see ``_distinct_profile``).
     """
+    kinds, _ = _kinds_and_levels(df, columns, max_levels, share, level_bound=0)
+    return kinds
+
+
+def _kinds_and_levels(df: DataFrame, columns: list[str], max_levels: int = 20, share: float = 0.1,
+                      level_bound: int = 1000):
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in columns if isinstance(types[c], NUMERIC_TYPES)]
-    kinds = {c: "categorical" for c in columns if c not in numeric}
-    if not numeric:
-        return kinds
-    aggs = [F.count(F.lit(1)).alias("_n")] + [
-        F.approx_count_distinct(F.col(c), 0.05).alias(f"a{i}") for i, c in enumerate(numeric)]
-    row = df.agg(*aggs).first()
-    n = row["_n"]
-    near = [c for i, c in enumerate(numeric) if row[f"a{i}"] < 2 * max_levels]
-    exact = {}
-    if near:
-        r2 = df.agg(*[F.size(F.collect_set(F.col(c))).alias(f"e{i}") for i, c in enumerate(near)]).first()
-        exact = {c: r2[f"e{i}"] for i, c in enumerate(near)}
+    others = [c for c in columns if c not in numeric]
+    probe = numeric + (others if level_bound else [])
+    n, approx, levels = _distinct_profile(df, probe, max(2 * max_levels, level_bound), level_bound)
+    kinds = {c: "categorical" for c in others}
     for c in numeric:
-        nu = exact.get(c, 2 * max_levels)
+        nu = len(levels[c]) if c in levels else 2 * max_levels
         kinds[c] = "categorical" if (nu < max_levels and nu < n * share) else "numeric"
-    return kinds
+    if level_bound:
+        for c in columns:
+            if kinds[c] == "categorical" and c not in levels:
+                raise ValueError(f"{c}: more than {level_bound} levels; use sparse one-hot "
+                                 "(StringIndexer + OneHotEncoder) instead")
+    return kinds, levels
 
 
 # --- D4 / D5 ------------------------------------------------------------------
@@ -291,10 +306,10 @@ def fit_feature_schema(df: DataFrame, target: str = "serotype",
     cols = [c for c in df.columns if c not in exclude]
     if not allow_label_features:
         cols = [c for c in cols if not c.endswith(LABEL_LEAK) and c != "known_genotype"]
-    kinds = column_kinds(df, cols)
+    kinds, found = _kinds_and_levels(df, cols, level_bound=max_levels)
     cats = [c for c in cols if kinds[c] == "categorical"]
     numeric = [c for c in cols if kinds[c] == "numeric"]
-    levels = category_levels(df, cats, max_levels)
+    levels = {c: found[c] for c in cats}
     names = list(numeric)
     for c in cats:
         names += [f"{c}_{_level_text(v)}" for v in levels[c][1:]]

@@ -875,3 +875,136 @@ def q_scaled_features(spark, sf_dir):
     model = features.fit_scaler(sp.where(~F.col("is_test")), _SCALE_COLS)
     out = model.transform(c, keep=["sample_id"])
     return out.select("sample_id", *[F.round(x, 6).alias(x) for x in _SCALE_COLS])
+
+
+# ------------------------------------------------ A3: GenBank round trip ---
+
+@register("genbank_roundtrip", f"""
+select sample_id || '.1' as sample_id, description,
+       {_serotype_sql('description', "'Dengue virus'", "'Dengue virus'")} as serotype,
+       genotype, country, right(collection_date, 4) as year, host,
+       length(sequence) as genome_length,
+       coalesce(contains(lower(description), 'complete genome'), false) as is_complete
+from samples""")
+def q_genbank_roundtrip(spark, sf_dir):
+    """A3 + B1/B2: samples rendered as GenBank text, parsed back by the regex
+    ingest, metadata derived from the parsed records."""
+    from seqlake.sources import genbank
+
+    text = genbank.render_records(samples(spark, sf_dir))
+    return genbank.genbank_metadata(genbank.parse_records(text))
+
+
+# ------------------------------------- P-class: learned models (rows only) ---
+# Model outputs cannot equal another library's; these are checked by
+# properties in tests/ and by row counts here. Sizes follow the original
+# defaults except where noted.
+
+from seqlake.operators.models.autoencoder import fit_autoencoder  # noqa: E402
+from seqlake.operators.models.classify import cross_validate, fit_classifier, select_best  # noqa: E402
+from seqlake.operators.models.iforest import fit_isolation_forest  # noqa: E402
+from seqlake.operators.models.ocsvm import fit_oneclass_svm  # noqa: E402
+
+
+def _task1_frames(spark, sf_dir):
+    c = derived.cleaned(spark, sf_dir)
+    sp = splits.stratified_split(relational.filter_min_class(c, "serotype"), "serotype")
+    schema = features.fit_feature_schema(sp.where(~F.col("is_test")).drop("is_test"), target="serotype",
+                                         exclude=["sample_id", "description", "sequence"])
+    X = features.prepare_features(sp, schema, keep=["sample_id", "serotype", "is_test"])
+    scaler = features.fit_scaler(X.where(~F.col("is_test")), schema.names)
+    S = scaler.transform(X, keep=["sample_id", "serotype", "is_test"])
+    return schema, S
+
+
+@register("prepared_features")
+def q_prepared_features(spark, sf_dir):
+    """Frozen schema (kinds, one-hot levels, order) applied to every row."""
+    _, S = _task1_frames(spark, sf_dir)
+    return S
+
+
+@register("random_forest_predictions")
+def q_random_forest_predictions(spark, sf_dir):
+    """F1 + F12: balanced random forest (100 trees) fit on the train split,
+    predicted label and confidence for the test split."""
+    schema, S = _task1_frames(spark, sf_dir)
+    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest")
+    return clf.predict(S.where(F.col("is_test")), keep=["sample_id", "serotype"])
+
+
+@register("gbt_predictions")
+def q_gbt_predictions(spark, sf_dir):
+    """F2 + F12: one-vs-rest boosted trees (depth 6, rate 0.1; 20 rounds here
+    to bound the check's run time, 100 in the training plan)."""
+    schema, S = _task1_frames(spark, sf_dir)
+    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "gbt_ovr", gbt_iter=20)
+    return clf.predict(S.where(F.col("is_test")), keep=["sample_id", "serotype"])
+
+
+@register("cv_model_selection")
+def q_cv_model_selection(spark, sf_dir):
+    """5-fold macro-F1 per model, mean and population std, best first
+    (forest 30 trees / boosting 10 rounds here to bound the check's run time)."""
+    schema, S = _task1_frames(spark, sf_dir)
+    cv = cross_validate(S.where(~F.col("is_test")), schema.names, "serotype", folds=5,
+                        rf_trees=30, gbt_iter=10)
+    return select_best(cv)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """H1 + H4: top 20 forest importances with their meaning."""
+    schema, S = _task1_frames(spark, sf_dir)
+    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest")
+    return interpret.map_features(interpret.top_importances(clf.importances(), spark, 20))
+
+
+def _detector_frames(spark, sf_dir):
+    e = embedding_rows(spark, sf_dir)
+    return e.where("is_train"), e
+
+
+@register("isolation_forest_scores")
+def q_isolation_forest_scores(spark, sf_dir):
+    """F4 + F5 + F10 + F11: 100 trees on psi=256 hash samples; 95th-percentile flag."""
+    train, e = _detector_frames(spark, sf_dir)
+    from seqlake.operators.models.threshold import percentile_threshold
+
+    m = fit_isolation_forest(train, "features", "vec_id", n_trees=100)
+    t = percentile_threshold(m.score(train), "score", 95.0)
+    return flag(m.score(e), "score", t).select("vec_id", "label", "y_true", "score", "is_novel")
+
+
+@register("oneclass_svm_scores")
+def q_oneclass_svm_scores(spark, sf_dir):
+    """RBF one-class SVM (nu 0.1, gamma 'scale') via random Fourier features."""
+    train, e = _detector_frames(spark, sf_dir)
+    m = fit_oneclass_svm(train, "features", nu=0.1, steps=60)
+    return m.score(e, "features").select("vec_id", "label", "y_true", "score",
+                                         (F.col("score") > 0).alias("is_outlier"))
+
+
+@register("autoencoder_errors")
+def q_autoencoder_errors(spark, sf_dir):
+    """F7 + F8: two-stage ReLU autoencoder (64-32-32 / 32-64-d), reconstruction
+    error and 95th-percentile flag (60 full-batch Adam steps per stage here)."""
+    train, e = _detector_frames(spark, sf_dir)
+    m = fit_autoencoder(train, "features", steps=60)
+    s = m.score(e, "features")
+    return flag(s, "reconstruction_error", m.threshold, "is_potential_new").select(
+        "vec_id", "label", "y_true", "reconstruction_error", "is_potential_new")
+
+
+@register("shapley_attributions")
+def q_shapley_attributions(spark, sf_dir):
+    """H2 + H3: sampled Shapley values of the forest's first-class probability
+    for 100 hash-sampled rows against 50 background rows; mean |value| top 20."""
+    from seqlake.operators.models.shapley import sampled_shapley
+
+    schema, S = _task1_frames(spark, sf_dir)
+    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest", rf_trees=30)
+    rows = splits.hash_sample(S, 100, seed=42)
+    bg = splits.hash_sample(S.where(~F.col("is_test")), 50, seed=7)
+    attr = sampled_shapley(clf, rows, bg, n_permutations=8)
+    return interpret.attribution_summary(attr, 20)

@@ -41,6 +41,18 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    mutation_profile(spark, sf_dir), label_table(spark, sf_dir))
 
 
+_CLEANED: dict[tuple[str, str], DataFrame] = {}
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = relational.filter_missing_labels(merged(spark, sf_dir), "serotype")
-    return relational.filter_outliers(m, "genome_length", 0.01, 0.99)
+    """J1 output, written once per application like the original's cleaned
+    table (reliable checkpoint in ``spark.checkpoint.dir``); every later
+    aggregate, split and model fit reads it instead of recounting k-mers."""
+    from seqlake.session import ensure_checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CLEANED:
+        ensure_checkpoint_dir(spark)
+        m = relational.filter_missing_labels(merged(spark, sf_dir), "serotype")
+        _CLEANED[key] = relational.filter_outliers(m, "genome_length", 0.01, 0.99).checkpoint(eager=True)
+    return _CLEANED[key]
