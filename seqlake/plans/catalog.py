@@ -988,9 +988,10 @@ def q_oneclass_svm_scores(spark, sf_dir):
 @register("autoencoder_errors")
 def q_autoencoder_errors(spark, sf_dir):
     """F7 + F8: two-stage ReLU autoencoder (64-32-32 / 32-64-d), reconstruction
-    error and 95th-percentile flag (60 full-batch Adam steps per stage here)."""
+    error and 95th-percentile flag (60 Adam steps per stage, 5 local steps per
+    weight average: 12 Spark jobs per stage)."""
     train, e = _detector_frames(spark, sf_dir)
-    m = fit_autoencoder(train, "features", steps=60)
+    m = fit_autoencoder(train, "features", steps=60, local_steps=5)
     s = m.score(e, "features")
     return flag(s, "reconstruction_error", m.threshold, "is_potential_new").select(
         "vec_id", "label", "y_true", "reconstruction_error", "is_potential_new")
@@ -1008,3 +1009,45 @@ def q_shapley_attributions(spark, sf_dir):
     bg = splits.hash_sample(S.where(~F.col("is_test")), 50, seed=7)
     attr = sampled_shapley(clf, rows, bg, n_permutations=8)
     return interpret.attribution_summary(attr, 20)
+
+
+@register("interpretation_report")
+def q_interpretation_report(spark, sf_dir):
+    """H5: importance and attribution sections with meanings, one tidy table."""
+    from seqlake.operators.models.shapley import sampled_shapley
+
+    schema, S = _task1_frames(spark, sf_dir)
+    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest", rf_trees=30)
+    imp = interpret.top_importances(clf.importances(), spark, 20)
+    attr = sampled_shapley(clf, splits.hash_sample(S, 20, seed=42),
+                           splits.hash_sample(S.where(~F.col("is_test")), 10, seed=7), n_permutations=4)
+    return interpret.interpretation_report(imp, attr, 20)
+
+
+def _trained(spark, sf_dir):
+    from seqlake.plans.training import train_all
+
+    return train_all(derived.cleaned(spark, sf_dir), tasks=(1, 2, 3), cv_folds=3, rf_trees=30,
+                     kinds=("random_forest",), n_trees=100, ae_steps=40)
+
+
+@register("training_summary")
+def q_training_summary(spark, sf_dir):
+    """The three tasks trained from the cleaned table; one metrics row per
+    task (task 1 uses the forest only and 3 folds here to bound run time)."""
+    res = _trained(spark, sf_dir)
+    t1 = res.task1_metrics.select(F.lit("task1_classification").alias("task"), "accuracy",
+                                  F.col("macro_f1").alias("f1"), F.lit(None).cast("double").alias("roc_auc"))
+    t2 = res.task2_metrics.select(F.lit("task2_novelty").alias("task"), "accuracy", "f1", "roc_auc")
+    t3 = res.task3_metrics.select(F.lit("task3_open_set").alias("task"), "accuracy", "f1", "roc_auc")
+    return t1.unionByName(t2).unionByName(t3)
+
+
+@register("inference_from_sequences")
+def q_inference_from_sequences(spark, sf_dir):
+    """Raw sequences -> features -> mutation defaults -> all three
+    scorers in one narrow plan, one row per sample."""
+    from seqlake.plans.inference import infer_from_sequences
+
+    res = _trained(spark, sf_dir)
+    return infer_from_sequences(res, derived.raw_sequences(spark, sf_dir))

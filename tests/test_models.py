@@ -72,3 +72,10 @@ def test_centroid_detector(spark):
         fit_centroid(df, method="chebyshev")
     flagged = det.predict(df).where("is_novel").count()
     assert 0 < flagged <= 16
+
+
+def test_autoencoder_local_steps_loss_falls(spark):
+    df = _blob(spark, n=200)
+    m = fit_autoencoder(df.repartition(4), steps=40, local_steps=5, hidden_layers=(8, 4), encoding_dim=4)
+    enc_hist = m.history[: len(m.history) // 2]
+    assert enc_hist[-1] < enc_hist[0]

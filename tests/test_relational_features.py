@@ -81,3 +81,15 @@ def test_label_encoding_sorted(spark):
     got = {r["y"]: r["y_idx"] for r in features.label_encode(df, "y", out_col="y_idx").select(
         F.col("y"), "y_idx").collect()}
     assert got == {"a": 0, "b": 1, None: 2}
+
+
+def test_feature_groups_rules():
+    cols = ["sample_id", "gc_content", "kmer_ACG", "mutation_density", "length_diff", "NS1_x", "e_score",
+            "year", "host", "genome_length", "serotype_label"]
+    g = features.group_features(cols)
+    assert g["X_seq"] == ["gc_content", "kmer_ACG"]
+    assert g["X_mut"] == ["mutation_density", "length_diff"]
+    assert "NS1_x" in g["X_prot"] and "e_score" in g["X_prot"] and "sample_id" in g["X_prot"]  # the 'e_' quirk
+    assert g["X_meta"] == ["year", "host", "genome_length"]
+    assert features.features_for_task(["gc_content", "kmer_ACG", "year"], g, "novelty") == ["gc_content", "kmer_ACG"]
+    assert features.novelty_feature_columns(cols) == ["gc_content", "kmer_ACG", "mutation_density"]

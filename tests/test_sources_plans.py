@@ -133,3 +133,23 @@ def test_classifier_shapley_and_plans(spark):
     assert res.task1_metrics.count() == 1
     out = infer_from_sequences(res, derived.raw_sequences(spark, sf))
     assert out.columns == OUTPUT_COLUMNS and out.count() == derived.raw_sequences(spark, sf).count()
+
+
+def test_streaming_scoring_available_now(spark):
+    from seqlake.plans import derived
+    from seqlake.plans.training import train_all
+    from seqlake.streaming.scoring import start_scoring
+
+    sf = "/root/testdata/sf0.001"
+    c = derived.cleaned(spark, sf)
+    res = train_all(c, tasks=(2,), n_trees=5)
+    d = tempfile.mkdtemp(prefix="stream-")
+    inp, out, ck = (os.path.join(d, x) for x in ("in", "out", "ck"))
+    os.makedirs(inp)
+    with open(os.path.join(inp, "a.csv"), "w") as f:
+        f.write("sample_id,sequence\nS1,ACGTACGTAAAC\n,GGGCCCAAATTT\n")
+    q = start_scoring(spark, res, inp, out, ck, tasks=(2,))
+    q.awaitTermination(120)
+    got = spark.read.parquet(out).collect()
+    assert sorted(r["sample_id"] for r in got) == ["B0_SAMPLE_0001", "S1"]
+    assert all(r["anomaly_score"] is not None for r in got)
