@@ -76,13 +76,28 @@ def group_stats(df: DataFrame, by: str, col: str) -> DataFrame:
               .orderBy(F.col("mean").desc(), F.col(by)))
 
 
-def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75% (exact, linear), max per column."""
+def _quartiles(x, mode: str, accuracy: int = 100_000):
+    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    if mode == "exact":
+        return F.percentile(x, probs)
+    if mode == "approx":
+        return F.percentile_approx(x, probs, accuracy)
+    raise ValueError(mode)
+
+
+def describe(df: DataFrame, cols: list[str], mode: str = "exact") -> DataFrame:
+    """count, mean, sample std, min, 25/50/75%, max per column.
+
+    ``exact`` interpolates linearly like the original but its final merge holds
+    one entry per distinct value in a single task: right for lengths and
+    counts, not for a continuous column over billions of rows, where
+    ``approx`` (a bounded quantile sketch, not interpolated) is the choice.
+    """
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
+                 F.min(x).alias(f"lo{i}"), _quartiles(x, mode).alias(f"q{i}"),
                  F.max(x).alias(f"hi{i}")]
     one = df.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(
@@ -113,10 +128,11 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     return edges.join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def box_stats(df: DataFrame, col: str) -> DataFrame:
-    """q1, median, q3, IQR, 1.5-IQR fences and the count outside them."""
+def box_stats(df: DataFrame, col: str, mode: str = "exact") -> DataFrame:
+    """q1, median, q3, IQR, 1.5-IQR fences and the count outside them
+    (``mode`` as in :func:`describe`)."""
     x = F.col(col).cast("double")
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first()["q"]
+    q = df.agg(_quartiles(x, mode).alias("q")).first()["q"]
     if q is None:
         return df.sparkSession.createDataFrame([], "q1 double, median double, q3 double, iqr double, "
                                                    "lower_fence double, upper_fence double, n_outliers long")

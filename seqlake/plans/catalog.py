@@ -906,15 +906,24 @@ from seqlake.operators.models.iforest import fit_isolation_forest  # noqa: E402
 from seqlake.operators.models.ocsvm import fit_oneclass_svm  # noqa: E402
 
 
+_TASK1: dict = {}
+
+
 def _task1_frames(spark, sf_dir):
-    c = derived.cleaned(spark, sf_dir)
-    sp = splits.stratified_split(relational.filter_min_class(c, "serotype"), "serotype")
-    schema = features.fit_feature_schema(sp.where(~F.col("is_test")).drop("is_test"), target="serotype",
-                                         exclude=["sample_id", "description", "sequence"])
-    X = features.prepare_features(sp, schema, keep=["sample_id", "serotype", "is_test"])
-    scaler = features.fit_scaler(X.where(~F.col("is_test")), schema.names)
-    S = scaler.transform(X, keep=["sample_id", "serotype", "is_test"])
-    return schema, S
+    """Class-size filter, stratified split, frozen schema and scaler fit on the
+    train part; the scaled table is checkpointed once per application because
+    every model query (and each of their passes) reads it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TASK1:
+        c = derived.cleaned(spark, sf_dir)
+        sp = splits.stratified_split(relational.filter_min_class(c, "serotype"), "serotype").checkpoint(eager=True)
+        schema = features.fit_feature_schema(sp.where(~F.col("is_test")).drop("is_test"), target="serotype",
+                                             exclude=["sample_id", "description", "sequence"])
+        X = features.prepare_features(sp, schema, keep=["sample_id", "serotype", "is_test"])
+        scaler = features.fit_scaler(X.where(~F.col("is_test")), schema.names)
+        S = scaler.transform(X, keep=["sample_id", "serotype", "is_test"]).checkpoint(eager=True)
+        _TASK1[key] = (schema, S)
+    return _TASK1[key]
 
 
 @register("prepared_features")
@@ -1051,3 +1060,29 @@ def q_inference_from_sequences(spark, sf_dir):
 
     res = _trained(spark, sf_dir)
     return infer_from_sequences(res, derived.raw_sequences(spark, sf_dir))
+
+
+# ------------------------------------------ A1 + A6 + J1 from written files ---
+
+@register("table_set_roundtrip", """
+select sample_id, serotype, genome_length, gc_content, kmer_AAA, kmer_TTT, mutation_density,
+       serotype_label, known_genotype from cleaned""")
+def q_table_set_roundtrip(spark, sf_dir):
+    """A6 -> A1 -> J1: the derived tables written as CSV under the shared
+    checkpoint folder, loaded back as a table set (explicit schemas, header
+    read for the wide table) and cleaned."""
+    import uuid
+
+    from seqlake.plans.cleaning import clean_tables
+    from seqlake.session import ensure_checkpoint_dir
+    from seqlake.sources.tables import load_table_set, write_table
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tableset-{uuid.uuid4().hex}"
+    for name, df in (("sample_metadata", derived.metadata(spark, sf_dir)),
+                     ("sequence_features", derived.sequence_features(spark, sf_dir)),
+                     ("mutation_profile", derived.mutation_profile(spark, sf_dir)),
+                     ("label_table", derived.label_table(spark, sf_dir))):
+        write_table(df, f"{base}/{name}.csv", fmt="csv")
+    res = clean_tables(load_table_set(spark, base, "csv"), "serotype")
+    return res.cleaned.select("sample_id", "serotype", "genome_length", "gc_content", "kmer_AAA", "kmer_TTT",
+                              "mutation_density", "serotype_label", "known_genotype")

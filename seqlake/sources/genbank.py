@@ -70,12 +70,13 @@ def render_records(df: DataFrame) -> DataFrame:
 
     seq = F.lower(F.coalesce(F.col("sequence"), F.lit("")))
     n = F.length(seq)
-    lines = F.transform(
-        F.sequence(F.lit(0), F.greatest((n - 1) / 60, F.lit(0)).cast("int")),
-        lambda i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "),
-                           F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)),
-                                                    lambda j: F.substring(seq, i * 60 + j * 10 + 1, 10)), " ")))
-    origin = F.array_join(lines, "\n")
+    # cut into 60-base lines with one linear regex pass (substring offsets into
+    # a long UTF-8 string would rescan it from the start for every line)
+    lines = F.split(F.regexp_replace(seq, "(.{60})", "$1\n"), "\n")
+    lines = F.filter(lines, lambda l, i: (l != "") | (i == 0))
+    fmt = F.transform(lines, lambda l, i: F.concat(
+        F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), F.regexp_replace(l, "(.{10})(?=.)", "$1 ")))
+    origin = F.array_join(fmt, "\n")
     text = F.concat(
         F.lit("LOCUS       "), F.col("sample_id"), F.lit(" "), n.cast("string"), F.lit(" bp    RNA     linear   VRL\n"),
         F.lit("DEFINITION  "), F.col("description"), F.lit(".\n"),

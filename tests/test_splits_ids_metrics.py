@@ -98,3 +98,17 @@ def test_binary_metrics_zero_denominators(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "y_true int, y_pred int")
     r = metrics.binary_metrics(df).first()
     assert (r["precision"], r["recall"], r["f1"], r["accuracy"]) == (0.0, 0.0, 0.0, 1.0)
+
+
+def test_describe_and_box_modes(spark):
+    from seqlake.operators import eda
+
+    df = spark.range(1, 101).select(F.col("id").cast("double").alias("x"))
+    ex = eda.describe(df, ["x"]).first()
+    ap = eda.describe(df, ["x"], mode="approx").first()
+    assert (ex["p25"], ex["p50"], ex["p75"]) == (25.75, 50.5, 75.25)
+    assert abs(ap["p50"] - 50.5) <= 1.0
+    b = eda.box_stats(df, "x").first()
+    assert b["iqr"] == 49.5 and b["n_outliers"] == 0
+    h = eda.histogram(df, "x", 10).collect()
+    assert sum(r["count"] for r in h) == 100 and h[-1]["count"] == 10
