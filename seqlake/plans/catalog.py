@@ -1033,11 +1033,20 @@ def q_interpretation_report(spark, sf_dir):
     return interpret.interpretation_report(imp, attr, 20)
 
 
+_TRAINED: dict = {}
+
+
 def _trained(spark, sf_dir):
+    """Models of the three tasks, trained once per application and shared by
+    the training-summary and inference queries."""
     from seqlake.plans.training import train_all
 
-    return train_all(derived.cleaned(spark, sf_dir), tasks=(1, 2, 3), cv_folds=3, rf_trees=30,
-                     kinds=("random_forest",), n_trees=100, ae_steps=40)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = train_all(derived.cleaned(spark, sf_dir), tasks=(1, 2, 3), cv_folds=3, rf_trees=30,
+                                  kinds=("random_forest",), n_trees=100, ae_steps=40,
+                                  ae_local_steps=5)
+    return _TRAINED[key]
 
 
 @register("training_summary")

@@ -49,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     target = conf_dir or fallback
     if target is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS, object store) on a cluster")
         import tempfile
         target = tempfile.mkdtemp(prefix="seqlake-ckpt-")
     sc.setCheckpointDir(target)
