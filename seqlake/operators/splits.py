@@ -73,12 +73,20 @@ def hash_head(df: DataFrame, n: int, id_col: str = "sample_id", seed=42) -> Data
     return hash_rank(df, None, id_col, seed).where(F.col("_rank") <= n).drop("_rank")
 
 
-def _names(df: DataFrame, column: str) -> list:
-    """Sorted distinct non-null values (driver-side; bounded by the class count)."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()
+def _names(df: DataFrame, column: str, limit: int = 3) -> list:
+    """The first ``limit`` distinct non-null values by name (a bounded top-k)."""
+    rows = (df.where(F.col(column).isNotNull()).select(column).distinct()
+              .orderBy(column).limit(limit).collect())
     return [r[0] for r in rows]
 
 
+def _rest(df: DataFrame, column: str, train_values) -> DataFrame:
+    """Rows with a non-null value outside ``train_values`` (no value list needed)."""
+    from seqlake.operators.relational import filter_membership
+
+    return filter_membership(df.where(F.col(column).isNotNull()), column, train_values, negate=True)
+
+
 def novelty_split(df: DataFrame, train_values=None, test_values=None, column: str = "genotype",
                   id_col: str = "sample_id", seed=42, truth_col: str = "y_true"):
     """Return ``(train, test)``; test carries 0 (known) / 1 (novel) truth.
@@ -89,12 +97,18 @@ def novelty_split(df: DataFrame, train_values=None, test_values=None, column: st
     """
     from seqlake.operators.relational import filter_membership, union_with_truth
 
-    if train_values is None:
-        names = _names(df, column)
+    default = train_values is None
+    if default:
+        names = _names(df, column, 2)
         if len(names) < 2:
             raise ValueError(f"need at least two {column} values")
-        train_values, test_values = names[:1], names[1:]
+        train_values = names[:1]
     train = filter_membership(df, column, train_values)
+    if default:  # every other named value is novel; known rows are the unnamed ones
+        novel = _rest(df, column, train_values)
+        n_novel = novel.count()
+        known = hash_head(df.where(F.col(column).isNull()), n_novel, id_col, seed)
+        return train, union_with_truth(known, novel, truth_col)
     if test_values:
         novel = filter_membership(df, column, test_values)
         rest = filter_membership(filter_membership(df, column, train_values, negate=True),
@@ -112,14 +126,15 @@ def open_set_split(df: DataFrame, train_values=None, test_values=None, column: s
     train rows first in hash order. Defaults: first two values by name vs rest."""
     from seqlake.operators.relational import filter_membership, union_with_truth
 
-    if train_values is None:
-        names = _names(df, column)
+    default = train_values is None
+    if default:
+        names = _names(df, column, 3)
         if len(names) < 2:
             raise ValueError(f"need at least two {column} values")
-        train_values, test_values = names[:2], names[2:]
+        train_values = names[:2]
     train = filter_membership(df, column, train_values)
-    if test_values:
-        novel = filter_membership(df, column, test_values)
+    if (default and len(names) >= 3) or (not default and test_values):
+        novel = _rest(df, column, train_values) if default else filter_membership(df, column, test_values)
         n = min(novel.count(), train.count() // 4)
         known = hash_head(train, n, id_col, seed)
         return train, union_with_truth(known, novel, truth_col)
