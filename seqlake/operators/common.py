@@ -1,4 +1,4 @@
-"""Small shared helpers: bounded broadcast, hash order, numeric rounding."""
+"""Small shared helpers: bounded broadcast and the replayable hash order."""
 
 from __future__ import annotations
 
@@ -31,15 +31,3 @@ def hash_key_sql(*cols, seed: int | str = 42) -> str:
     """DuckDB text of :func:`hash_key`."""
     parts = [f"'{seed}'"] + [f"coalesce(cast({c} as varchar), '')" for c in cols]
     return "md5(concat_ws('|', " + ", ".join(parts) + "))"
-
-
-def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double/float column (for engine-independent comparison)."""
-    out = []
-    for f in df.schema.fields:
-        t = f.dataType.simpleString()
-        if t in ("double", "float"):
-            out.append(F.round(F.col(f.name).cast("double"), places).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions import sequence as sf
 from seqlake.operators import features, kmers, relational, splits, tables
-from seqlake.operators.common import hash_key_sql, round_doubles
+from seqlake.operators.common import hash_key_sql
 from seqlake.operators.ids import with_sample_ids
 from seqlake.plans import derived
 from seqlake.plans.oracle_views import LEVELS, gc_sql, oracle, strip_long_sql
@@ -26,14 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None, rounded: bool = False):
+def register(name: str, sql: str | None = None):
     def deco(fn):
-        def run(spark, sf_dir, _fn=fn):
-            out = _fn(spark, sf_dir)
-            return round_doubles(out) if rounded else out
-        run.__name__ = fn.__name__
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = oracle(sql)
         return fn
