@@ -55,7 +55,11 @@ def stratified_split(df: DataFrame, label: str, id_col: str = "sample_id",
 
 def fold_ids(df: DataFrame, label: str | None, id_col: str = "sample_id", k: int = 5,
              seed=42, col: str = "fold") -> DataFrame:
-    """Stratified fold id = (rank in class - 1) mod k; plain k-fold if label is None."""
+    """Stratified fold id = (rank in class - 1) mod k; plain k-fold (rank over
+    all rows) if ``label`` is None or any class has fewer than k rows."""
+    if label is not None:
+        small = class_counts(df, label).where(F.col("_class_n") < k).limit(1).count() > 0
+        label = None if small else label
     r = hash_rank(df, label, id_col, seed)
     return r.withColumn(col, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 

@@ -112,3 +112,11 @@ def test_describe_and_box_modes(spark):
     assert b["iqr"] == 49.5 and b["n_outliers"] == 0
     h = eda.histogram(df, "x", 10).collect()
     assert sum(r["count"] for r in h) == 100 and h[-1]["count"] == 10
+
+
+def test_folds_fall_back_to_plain_kfold(spark):
+    rows = [(f"id{i}", "big") for i in range(20)] + [("tiny0", "small"), ("tiny1", "small")]
+    df = spark.createDataFrame(rows, "sample_id string, y string")
+    f = splits.fold_ids(df, "y", k=5)
+    sizes = sorted(r["count"] for r in f.groupBy("fold").count().collect())
+    assert sum(sizes) == 22 and max(sizes) - min(sizes) <= 1
