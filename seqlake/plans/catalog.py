@@ -20,7 +20,7 @@ from seqlake.operators.common import hash_key_sql
 from seqlake.operators.ids import with_sample_ids
 from seqlake.plans import derived
 from seqlake.plans.oracle_views import LEVELS, gc_sql, oracle, strip_long_sql
-from seqlake.sources.fixtures import read_table, samples
+from seqlake.sources.fixtures import read_table, samples, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -205,7 +205,7 @@ from (select cast(doc_id as varchar) as sample_id,
       from documents) v""")
 def q_sequence_validation(spark, sf_dir):
     """Validation report of pasted text (letters and whitespace kept)."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     c = sf.clean_sequence(F.regexp_replace("text", r"[^A-Za-z\s]", ""))
     v = d.select(F.col("doc_id").cast("string").alias("sample_id"), c.alias("c"))
     return v.select("sample_id", F.length("c").alias("length"), sf.invalid_chars("c").alias("invalid_chars"),
@@ -258,7 +258,7 @@ def q_text_line_ingest(spark, sf_dir):
     """A5: each document read as a pasted multi-line input."""
     from seqlake.sources.text import parse_sequence_lines
 
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     txt = F.regexp_replace("text", r"[^\x01-\x7F]", "")
     return parse_sequence_lines(d.select("doc_id", txt.alias("text")), text_col="text", group_col="doc_id")
 
