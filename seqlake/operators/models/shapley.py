@@ -23,15 +23,20 @@ from pyspark.sql import types as T
 
 
 def sampled_shapley(classifier, rows: DataFrame, background: DataFrame, id_col: str = "sample_id",
-                    n_permutations: int = 16, class_index: int = 0, seed: int = 42) -> DataFrame:
-    """``id_col, feature, attribution`` for P(class ``class_index``)."""
+                    n_permutations: int = 16, class_index: int = 0, seed: int = 42,
+                    max_background: int = 1000) -> DataFrame:
+    """``id_col, feature, attribution`` for P(class ``class_index``).
+
+    The background sample is brought to the driver, so it is capped at
+    ``max_background`` rows (pass a hash sample, as the interpretation plan does).
+    """
     from seqlake.functions.sequence import to_numeric
 
     feats = list(classifier.features)
     d = len(feats)
     spark = rows.sparkSession
     num = lambda df, keep: df.select(*keep, F.array(*[to_numeric(F.col(c)) for c in feats]).alias("_x"))
-    bg = [np.asarray(r["_x"], np.float64) for r in num(background, []).collect()]  # bounded sample
+    bg = [np.asarray(r["_x"], np.float64) for r in num(background, []).limit(max_background).collect()]
     if not bg:
         raise ValueError("empty background")
     bgm = np.stack(bg)
