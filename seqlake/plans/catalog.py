@@ -911,7 +911,9 @@ def _task1_frames(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TASK1:
         c = derived.cleaned(spark, sf_dir)
-        sp = splits.stratified_split(relational.filter_min_class(c, "serotype"), "serotype").checkpoint(eager=True)
+        from seqlake.session import materialize
+
+        sp = materialize(splits.stratified_split(relational.filter_min_class(c, "serotype"), "serotype"), "split")
         schema = features.fit_feature_schema(sp.where(~F.col("is_test")).drop("is_test"), target="serotype",
                                              exclude=["sample_id", "description", "sequence"])
         X = features.prepare_features(sp, schema, keep=["sample_id", "serotype", "is_test"])

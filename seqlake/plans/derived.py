@@ -45,18 +45,17 @@ _CLEANED: dict[tuple[str, str], DataFrame] = {}
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1 output over a merged table written once per application (reliable
-    checkpoint in ``spark.checkpoint.dir``), like the original's saved
+    """J1 output over a merged table written once per application (Parquet
+    under ``spark.checkpoint.dir``), like the original's saved
     cleaned table; later aggregates, splits and fits read it instead of
     recounting k-mers."""
-    from seqlake.session import ensure_checkpoint_dir
+    from seqlake.session import materialize
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CLEANED:
-        ensure_checkpoint_dir(spark)
         # write the merged table once; the quantile action and every later
         # query read that copy, and the two filters stay lazy on top of it
-        m = merged(spark, sf_dir).checkpoint(eager=True)
+        m = materialize(merged(spark, sf_dir), "merged")
         m = relational.filter_missing_labels(m, "serotype")
         _CLEANED[key] = relational.filter_outliers(m, "genome_length", 0.01, 0.99)
     return _CLEANED[key]

@@ -61,3 +61,20 @@ def cut_lineage(df):
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Unlike an RDD checkpoint, the re-read table keeps column pruning and filter
+    pushdown (``ReadSchema`` / ``PushedFilters``), so later queries that need
+    two columns do not deserialise whole rows. The folder is the cluster's
+    ``spark.checkpoint.dir``, which survives executor loss.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -39,16 +39,15 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     It stands in for a stored sample table: the derivation (lower, regex and
     translate over every text) runs once, spread over all cores, and the result
-    is written by a reliable ``checkpoint()`` into the cluster's
-    ``spark.checkpoint.dir`` (it survives executor loss), so later scans read
-    plain columns instead of re-deriving them.
+    is written as Parquet under the cluster's ``spark.checkpoint.dir`` (it
+    survives executor loss), so later scans read plain, prunable columns
+    instead of re-deriving them.
     """
-    from seqlake.session import ensure_checkpoint_dir
+    from seqlake.session import materialize
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MATERIALIZED:
-        ensure_checkpoint_dir(spark)
-        _MATERIALIZED[key] = derive_samples(spark, sf_dir).checkpoint(eager=True)
+        _MATERIALIZED[key] = materialize(derive_samples(spark, sf_dir), "samples")
     return _MATERIALIZED[key]
 
 
