@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(spark: SparkSession, name: str) -> str:
+    """Path of a tokenizer file: the folder set in ``spark.seqlake.tokenizers``, else that of the public files."""
+    folder = spark.conf.get("spark.seqlake.tokenizers", None)
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 @query
 def op5_hilbert_sharding(spark, sf_dir):
     from seqlake.llm.hilbert import shard_report
@@ -71,3 +81,17 @@ select doc_id, size, source_size, target, source,
        else 0 end as bigint) as taken
 from timed, cut
 """
+
+
+@query
+def op3_sentencepiece(spark, sf_dir):
+    from seqlake.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_file(spark, "piece_bpe_32k.model"))
+
+
+@query
+def op9_arrow_token_files(spark, sf_dir):
+    from seqlake.llm.tokenfiles import documents, write
+
+    return documents(write(table(spark, sf_dir, "documents"), tokenizer_file(spark, "word_bpe_49k.json")))

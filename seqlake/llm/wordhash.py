@@ -76,12 +76,17 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     first[offsets] = True  # a row's first byte never continues the row before
     starts = np.flatnonzero(word & (first[:n] | np.concatenate(([True], ~word[:-1]))))
     ends = np.flatnonzero(word & (first[1:] | np.concatenate((~word[1:], [True])))) + 1
+    return span_hashes(low, starts, ends), np.searchsorted(starts, offsets), starts, ends
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span (equal spans, equal hashes)."""
+    n = len(data)
     power, inverse = _power_tables(n)
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    h = mix((total[ends] - total[starts]) * inverse[starts])
-    return h, np.searchsorted(starts, offsets), starts, ends
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts])
 
 
 def shingles(h: np.ndarray, bounds: np.ndarray, k: int = 5) -> "list[np.ndarray]":
@@ -99,7 +104,7 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int = 5) -> "list[np.ndarray]
         elif m:
             acc = np.zeros(1, dtype=np.uint64)
             for j in range(m):
-                acc += h[a + j] * mult[j]
+                acc += h[a + j:a + j + 1] * mult[j]
             yield mix(acc + np.uint64(m))
         else:
             yield np.zeros(0, dtype=np.uint64)
