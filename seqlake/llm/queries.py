@@ -95,3 +95,10 @@ def op9_arrow_token_files(spark, sf_dir):
     from seqlake.llm.tokenfiles import documents, write
 
     return documents(write(table(spark, sf_dir, "documents"), tokenizer_file(spark, "word_bpe_49k.json")))
+
+
+@query
+def op8_tag_path_text(spark, sf_dir):
+    from seqlake.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
