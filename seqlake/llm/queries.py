@@ -102,3 +102,17 @@ def op8_tag_path_text(spark, sf_dir):
     from seqlake.llm.htmltext import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_ngram_jaccard(spark, sf_dir):
+    from seqlake.llm.jaccardjoin import groups
+
+    return groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_pstable_neardup(spark, sf_dir):
+    from seqlake.llm.pstable import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
