@@ -116,3 +116,17 @@ def op7_pstable_neardup(spark, sf_dir):
     from seqlake.llm.pstable import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_simhash(spark, sf_dir):
+    from seqlake.llm.simhash import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_disclosure_pii(spark, sf_dir):
+    from seqlake.llm.disclosure import report
+
+    return report(table(spark, sf_dir, "documents"))
