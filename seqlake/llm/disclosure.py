@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,6 +79,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _union(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The spans merged into disjoint ones, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _context(text: str, start: int, end: int, taken: list[tuple[int, int]]):
     """Words around ``text[start:end]``, none inside a base span: ``(term, start, end)``."""
     reach = 400  # characters looked at on either side for CONTEXT words
@@ -88,7 +100,8 @@ def _context(text: str, start: int, end: int, taken: list[tuple[int, int]]):
         if len(right) == CONTEXT:
             break
     for m in left + right:
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+        i = bisect_left(taken, (m.end(),)) - 1  # the last span that starts before the word ends
+        if i < 0 or taken[i][1] <= m.start():
             yield m.group().casefold(), m.start(), m.end()
 
 
@@ -109,7 +122,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             for x in batch.column(1).to_pylist():
                 x = x or ""
                 found = base_spans(x)
-                taken = [(a, b) for _, a, b in found]
+                taken = _union(found)
                 keys.append(_key(x))
                 spans.append([{"k": k, "s": a, "e": b} for k, a, b in found])
                 near.append([{"entity": _key(f"{k}:{x[a:b]}"), "term": _key(w), "s": s, "e": e}

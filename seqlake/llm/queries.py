@@ -130,3 +130,10 @@ def op4_disclosure_pii(spark, sf_dir):
     from seqlake.llm.disclosure import report
 
     return report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ordinal_quality(spark, sf_dir):
+    from seqlake.llm.ordinal import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
