@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, MAX_LABELS, STEPS, RATE, L2, KEEP = 18, 10_000, 200, 0.05, 3e-6, 0.5
+BITS, MAX_LABELS, STEPS, RATE, L2, KEEP = 18, 10_000, 150, 0.05, 1e-3, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s.,;:'\"()-]+")
 _known: dict[str, int] = {}
