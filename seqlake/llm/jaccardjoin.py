@@ -35,7 +35,9 @@ from seqlake.session import materialize
 SKETCH_BITS = 20
 SLICES = 64
 FRAGMENTS = 4
-HUB_ROUNDS = 2
+HUB_ROUNDS, HUBS = 2, 2
+FILTER_BITS = 24
+_CELL = (1 << FILTER_BITS) - 1
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -113,37 +115,74 @@ def _prefixes(rows: DataFrame, id_type: str, order, num: int, den: int) -> DataF
     return rows.mapInArrow(batches, f"doc_id {id_type}, c long, n long, prefix array<long>")
 
 
-def _segments(rows: DataFrame, order) -> DataFrame:
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """Bitmap of fixed size over hashes of ``rep``: false positives only cost work, none is missed."""
+
+    def batches(it):
+        bits = np.zeros(1 << FILTER_BITS, np.uint8)
+        for batch in it:
+            bits[batch.column(0).to_numpy() & _CELL] = 1
+        for i, part in enumerate(np.packbits(bits).reshape(SLICES, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
+                                                 names=["slice", "bits"])
+
+    def either(key, pdf):
+        parts = [np.frombuffer(zlib.decompress(b), np.uint8) for b in pdf["bits"]]
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.bitwise_or.reduce(parts).tobytes()]})
+
+    parts = ids.select(F.xxhash64("rep").alias("h")).mapInArrow(batches, "slice int, bits binary")
+    out = np.zeros((SLICES, (1 << FILTER_BITS) // 8 // SLICES), np.uint8)
+    for row in parts.groupBy("slice").applyInPandas(either, "slice int, bits binary").collect():  # SLICES rows
+        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(out.reshape(-1)).astype(bool)
+
+
+def _segments(rows: DataFrame, order, ids: DataFrame) -> DataFrame:
+    """``c, f, seg``: the sets of (at least) the rows whose id is in ``ids(rep)``, cut into fragments.
+
+    A class may come more than once; its segments are equal then.
+    """
+    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(_wanted(ids)))
+
     def batches(it):
-        fragment = order.value[1]
+        fragment, chosen = order.value[1], np.unpackbits(wanted.value).astype(bool)
         for batch in it:
-            c, n, f, seg = [], [], [], []
+            batch = batch.filter(pa.array(chosen[batch.column(2).to_numpy() & _CELL]))
+            c, f, seg = [], [], []
             for _, key, s in _sets(batch.column(1)):
                 part = fragment[(s & _MASK).astype(np.int64)]
                 for k in np.unique(part).tolist():
                     c.append(key)
-                    n.append(len(s))
                     f.append(k)
                     seg.append(s[part == k].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(f, pa.int32()), pa.array(seg, pa.list_(pa.int64()))],
-                names=["c", "n", "f", "seg"])
+                [pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], names=["c", "f", "seg"])
 
-    return rows.mapInArrow(batches, "c long, n long, f int, seg array<long>")
+    return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(batches, "c long, f int, seg array<long>")
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, rows: DataFrame, order, firsts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``a, b, na, nb`` that reach the threshold: overlaps per fragment, summed per pair."""
-    left = segments.select(F.col("c").alias("a"), "f", F.col("seg").alias("x"))
-    right = segments.select(F.col("c").alias("b"), "f", F.col("seg").alias("y"))
-    part = pairs.join(left, "a").join(right, ["b", "f"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("k"))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-    return total.filter(F.col("k") * den >= (F.col("na") + F.col("nb") - F.col("k")) * num).select("a", "b")
+    name = firsts.select("k", "rc", "rep")
+    pairs = pairs.join(name.select(F.col("k").alias("a"), F.col("rc").alias("ca"), F.col("rep").alias("ra")), "a")
+    pairs = materialize(pairs.join(name.select(F.col("k").alias("b"), F.col("rc").alias("cb"), F.col("rep").alias("rb")), "b"),
+                        "jaccard-pairs")
+    ends = pairs.select(F.col("ra").alias("rep")).union(pairs.select(F.col("rb").alias("rep"))).distinct()
+    segments = materialize(_segments(rows, order, ends), "jaccard-segments")
+    left = segments.select(F.col("c").alias("ca"), "f", F.col("seg").alias("x"))
+    hubs = pairs.select(F.col("cb").alias("_c")).distinct()
+    right = segments.join(hubs, segments["c"] == hubs["_c"], "left_semi").select(F.col("c").alias("cb"), "f", F.col("seg").alias("y"))
+    # pairs are small (two ids a row): Spark broadcasts them below its size threshold and shuffles the segments above
+    part = left.join(pairs, "ca").join(right, ["cb", "f"]).select(
+        "a", "b", "na", "nb", "f", F.size(F.array_intersect("x", "y")).cast("long").alias("n"))
+    part = part.groupBy("a", "b", "na", "nb", "f").agg(F.max("n").alias("n"))
+    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
+    return total.filter(F.col("n") * den >= (F.col("na") + F.col("nb") - F.col("n")) * num).select("a", "b")
 
 
 def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(doc_id, n, c per row; links a, b between classes; node, component of linked classes)``."""
+    """``(doc_id, n, k per row; links a, b between classes; node, component of linked classes)``; ``k`` numbers classes."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], docs[text])
@@ -151,40 +190,44 @@ def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4
     members = scan.filter("slice is null").select("doc_id", "n", "c")
     order = spark.sparkContext.broadcast(_order(scan))
     firsts = members.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")).withColumnRenamed("c", "rc")
+    firsts = materialize(firsts.withColumn("k", F.monotonically_increasing_id()), "jaccard-classes")
+    members = members.join(firsts.select("rc", "k"), members["c"] == F.col("rc"), "left").select("doc_id", "n", "k")
 
     pre = _prefixes(rows, id_type, order, num, den)
     pre = pre.join(firsts, (pre["c"] == firsts["rc"]) & pre["doc_id"].eqNullSafe(firsts["rep"]))
-    tokens = pre.select("c", "n", F.explode("prefix").alias("tok"))
+    tokens = pre.select("k", "n", F.explode("prefix").alias("tok"))
     same = Window.partitionBy("tok")
     # an n-gram occurs once per class and only in its rare end, so no n-gram holds a large share of these rows
-    shared = tokens.withColumn("m", F.count(F.lit(1)).over(same)).filter("m > 1").drop("m")
-    shared = materialize(shared, "jaccard-shared")
-
-    wanted = shared.select(F.col("c").alias("rc")).distinct().join(firsts, "rc").select(F.col("rep")).distinct()
-    some = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["rep"]), "left_semi")
-    segments = _segments(some, order).dropDuplicates(["c", "f"])
-    segments = materialize(segments, "jaccard-segments")
+    shared = tokens.withColumn("m", F.count(F.lit(1)).over(same)).filter("m > 1")
+    shared = materialize(shared.select("tok", "k", "n", F.col("k").alias("comp")), "jaccard-shared")
 
     fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     band = F.floor(F.log("n") / math.log(den / num)).alias("band")
-    links = None
+    links, open_ = None, shared
     for r in range(HUB_ROUNDS):
-        grouped = shared.withColumn("band", band)
-        pick = F.struct(F.xxhash64("c", F.pmod("tok", F.lit(2)), F.lit(r)).alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"))
-        hubs = grouped.groupBy("tok", "band").agg(F.min(pick).alias("hub")).select("tok", "band", "hub.b", "hub.nb")
-        pairs = grouped.join(hubs, ["tok", "band"]).select(F.col("c").alias("a"), "b", F.col("n").alias("na"), "nb")
-        pairs = pairs.filter("a != b").filter(fits).distinct()
-        found = _linked(pairs, segments, num, den)
+        grouped = open_.withColumn("band", band)
+        pick = F.struct(F.xxhash64("k", F.pmod("tok", F.lit(2)), F.lit(r)).alias("h"), F.col("k").alias("b"),
+                        F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        hubs = grouped.groupBy("tok", "band").agg(F.min(pick).alias("hub")).select("tok", "band", "hub.b", "hub.nb", "hub.cb")
+        pairs = grouped.join(hubs, ["tok", "band"]).select(F.col("k").alias("a"), "b", F.col("n").alias("na"), "nb", "comp", "cb")
+        pairs = pairs.filter("a != b and comp != cb").filter(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("hits"))
+        # these rounds only shorten the last one: each class tries its likeliest hubs
+        best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("hits"), "b"))
+        pairs = pairs.filter(F.col("hits") * 50 >= F.least("na", "nb")).withColumn("r", best).filter(F.col("r") <= HUBS)
+        found = _linked(pairs.drop("r", "hits"), rows, order, firsts, num, den)
         links = materialize(found if links is None else links.union(found), "jaccard-links")
-    comp = components(links)
-    named = shared.join(comp, shared["c"] == comp["node"], "left").select(
-        "tok", "c", "n", F.coalesce("component", "c").alias("comp"))
-    named = named.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).filter("lo != hi")
-    named = materialize(named.select("tok", "c", "n", "comp"), "jaccard-open")
-    x = named.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = named.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = x.join(y, "tok").filter("a < b and ca != cb").filter(fits).select("a", "b", "na", "nb").distinct()
-    links = materialize(links.union(_linked(rest, segments, num, den)), "jaccard-links")
+        comp = components(links)
+        named = shared.drop("comp").join(comp, F.col("k") == F.col("node"), "left").select(
+            "tok", "k", "n", F.coalesce("component", "k").alias("comp"))
+        named = named.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).filter("lo != hi")
+        open_ = materialize(named.select("tok", "k", "n", "comp"), "jaccard-open")
+    x = open_.select("tok", F.col("k").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    y = open_.select("tok", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    rest = x.join(y, "tok").filter("a < b and ca != cb").filter(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("hits"))
+    # beyond its rare end a set of n has ceil(t n) - 1 n-grams: with the shared ones, they bound the overlap
+    tail = F.ceil(F.greatest("na", "nb") * num / den) - 1
+    rest = rest.filter((F.col("hits") + tail) * (num + den) >= (F.col("na") + F.col("nb")) * num).drop("hits")
+    links = materialize(links.union(_linked(rest, rows, order, firsts, num, den)), "jaccard-links")
     return members, links, components(links)
 
 
@@ -192,9 +235,9 @@ def groups(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4) -> D
     """``doc_id, n_shingles, component_id`` per row: the smallest id reachable by links of Jaccard ``num / den`` or more."""
     members, _, comp = join_classes(docs, text, num, den)
     comp = materialize(comp, "jaccard-components")
-    m = members.join(comp, members["c"] == comp["node"], "left").withColumn("g", F.coalesce("component", "c"))
-    lows = m.filter("n > 0").groupBy(F.col("g").alias("k")).agg(F.min("doc_id").alias("low"))
-    out = m.join(lows, m["g"] == lows["k"], "left")
+    m = members.join(comp, members["k"] == comp["node"], "left").withColumn("g", F.coalesce("component", "k"))
+    lows = m.filter("n > 0").groupBy(F.col("g").alias("low_g")).agg(F.min("doc_id").alias("low"))
+    out = m.join(lows, m["g"] == lows["low_g"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
