@@ -156,18 +156,18 @@ def column_means(df: DataFrame, cols: list[str], top: int | None = None) -> Data
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair (long form, both orders, diagonal 1).
 
-    Uses ``pyspark.ml.stat.Correlation`` (one distributed tree-aggregate of
-    the column moments); the d x d result is reshaped on the driver, bounded
-    by the number of columns. Rows with a null in any column are skipped.
+    Pairwise complete: a row counts for every pair of columns that it has. All
+    pairs are aggregates of one scan; the result has one row per pair of columns.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double") for c in cols]))
-    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-    rows = [(a, b, 1.0 if a == b else float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, corr double")
+    one = x.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs])
+    out = [(a, b, F.lit(1.0) if i == j else F.col(f"r{min(i, j)}_{max(i, j)}"))
+           for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr")) for a, b, v in out]))
+    return one.select(cells.alias("r")).select("r.*")
 
 
 def key_findings(df: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@
 range-partitioned and sorted inside partitions, each row's position inside its
 partition comes from ``monotonically_increasing_id`` (partition id in the top
 bits), and partition offsets come from a per-partition count table whose size
-is bounded by the number of partitions.
+is bounded by the number of partitions. Counts and rows must come from one and the
+same layout, so the tagged rows are written to the shared folder first: a range
+shuffle evaluated twice may draw other bounds.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.session import materialize
+
 _LOW = (1 << 33) - 1
 
 
@@ -28,6 +32,7 @@ def dense_index(df: DataFrame, order_by=None, col: str = "_idx", start: int = 1,
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     tagged = (tagged.withColumn("_pid", F.shiftright("_mid", 33))
                     .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW))))
+    tagged = materialize(tagged, "index")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
@@ -54,7 +59,7 @@ def prefix_sum(df: DataFrame, order_by: str, value_col: str, out_col: str = "_cu
     Rows with equal keys get the running total in arbitrary tie order; callers
     that need tie groups aggregate by the key first.
     """
-    r = df.repartitionByRange(order_by).withColumn("_pid", F.spark_partition_id())
+    r = materialize(df.repartitionByRange(order_by).withColumn("_pid", F.spark_partition_id()), "prefix")
     tot = r.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
     off = tot.select("_pid", F.coalesce(F.sum("_t").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

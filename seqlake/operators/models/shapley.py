@@ -21,36 +21,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqlake.operators.ids import dense_index
+
 
 def sampled_shapley(classifier, rows: DataFrame, background: DataFrame, id_col: str = "sample_id",
-                    n_permutations: int = 16, class_index: int = 0, seed: int = 42,
-                    max_background: int = 1000) -> DataFrame:
+                    n_permutations: int = 16, class_index: int = 0, seed: int = 42) -> DataFrame:
     """``id_col, feature, attribution`` for P(class ``class_index``).
 
-    The background sample is brought to the driver, so it is capped at
-    ``max_background`` rows (pass a hash sample, as the interpretation plan does).
+    Background rows are numbered in content-hash order; the permutations of a row start at a
+    place given by the row's hash and take the background rows that follow, so all of
+    them take part over the rows, and neither side passes through the driver.
     """
     from seqlake.functions.sequence import to_numeric
 
     feats = list(classifier.features)
     d = len(feats)
-    spark = rows.sparkSession
     num = lambda df, keep: df.select(*keep, F.array(*[to_numeric(F.col(c)) for c in feats]).alias("_x"))
-    bg = [np.asarray(r["_x"], np.float64) for r in num(background, []).limit(max_background).collect()]
-    if not bg:
+    bg = dense_index(num(background, []).withColumn("_hash", F.xxhash64("_x")), order_by=["_hash"], col="_bi", start=0)
+    size = bg.count()
+    if not size:
         raise ValueError("empty background")
-    bgm = np.stack(bg)
     x = num(rows, [id_col]).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    x = x.withColumn("_bi", F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)) + F.col("_j"), F.lit(size)))
+    x = x.join(bg.select("_bi", F.col("_x").alias("_z")), "_bi").drop("_bi")
     id_type = rows.schema[id_col].dataType.simpleString()
 
     def coalitions(batches):
         for pdf in batches:
             out_id, out_j, out_k, out_f, out_v = [], [], [], [], []
-            for rid, xv, j in zip(pdf[id_col], pdf["_x"], pdf["_j"]):
+            for rid, xv, zv, j in zip(pdf[id_col], pdf["_x"], pdf["_z"], pdf["_j"]):
                 key = zlib.crc32(f"{rid}|{int(j)}|{seed}".encode())  # stable across processes
                 rng = np.random.default_rng([seed, int(j), key])
                 perm = rng.permutation(d)
-                z = bgm[int(j) % len(bgm)].copy()
+                z = np.array(zv, np.float64)
                 xv = np.asarray(xv, np.float64)
                 out_id.append(rid); out_j.append(j); out_k.append(0); out_f.append(-1); out_v.append(z.copy())  # noqa: E702
                 for k, f in enumerate(perm, start=1):

@@ -25,8 +25,9 @@ def hash_rank(df: DataFrame, by: str | None, id_col: str, seed=42, col: str = "_
     h = h.withColumn("_b", F.substring("_h", 1, hex_digits))
     hist = h.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = hist.select("_g", "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    j = h.join(offs, ["_g", "_b"], "inner")
+    offs = hist.select(F.col("_g").alias("_og"), F.col("_b").alias("_ob"),
+                       F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    j = h.join(offs, F.col("_g").eqNullSafe(F.col("_og")) & (F.col("_b") == F.col("_ob")), "inner").drop("_og", "_ob")
     wr = Window.partitionBy("_g", "_b").orderBy("_h", F.col(id_col).cast("string"))
     out = j.withColumn(col, F.col("_off") + F.row_number().over(wr))
     return out.drop("_g", "_h", "_b", "_off")
@@ -48,7 +49,9 @@ def stratified_split(df: DataFrame, label: str, id_col: str = "sample_id",
         n = df.count()
         r = hash_rank(df, None, id_col, seed)
         return r.withColumn(col, F.col("_rank") <= F.lit(round(test_size * n))).drop("_rank")
-    r = hash_rank(df, label, id_col, seed).join(counts, label, "inner")
+    counts = counts.withColumnRenamed(label, "_class")
+    r = hash_rank(df, label, id_col, seed)
+    r = r.join(counts, F.col(label).eqNullSafe(F.col("_class")), "inner").drop("_class")
     quota = F.round(F.col("_class_n") * F.lit(test_size))
     return r.withColumn(col, F.col("_rank") <= quota).drop("_rank", "_class_n")
 

@@ -120,3 +120,28 @@ def test_folds_fall_back_to_plain_kfold(spark):
     f = splits.fold_ids(df, "y", k=5)
     sizes = sorted(r["count"] for r in f.groupBy("fold").count().collect())
     assert sum(sizes) == 22 and max(sizes) - min(sizes) <= 1
+
+
+def test_index_and_prefix_sum_lose_no_rows_over_many_partitions(spark):
+    from seqlake.operators.ids import dense_index, prefix_sum
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = 300_000
+        df = spark.range(n).select(F.xxhash64("id").alias("key"), (F.col("id") % 7).alias("v"),
+                                   F.repeat(F.md5(F.col("id").cast("string")), 4).alias("wide"))
+        ids = dense_index(df, order_by="key").agg(F.count("_idx"), F.countDistinct("_idx"), F.min("_idx"), F.max("_idx")).first()
+        assert tuple(ids) == (n, n, 1, n)
+        total = sum(i % 7 for i in range(n))
+        got = prefix_sum(df, "key", "v").agg(F.count("_cum"), F.max("_cum")).first()
+        assert tuple(got) == (n, total)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_split_keeps_rows_without_class(spark):
+    from seqlake.operators.splits import stratified_split
+
+    df = spark.createDataFrame([(f"s{i}", None if i % 3 else "a") for i in range(60)], "sample_id string, label string")
+    assert stratified_split(df, "label").count() == 60
