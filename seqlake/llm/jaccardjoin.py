@@ -7,9 +7,11 @@ first ``n - ceil(t n) + 1`` of each, so only those are shuffled to find candidat
 candidate's overlap is counted fragment by fragment and summed.
 
 Equal sets are one class. Links inside large groups are found without all pairs: two
-rounds link every member to few hubs of its n-gram, then only pairs whose members are
-still in different components are compared, so no component is split and the
-work stays near linear in a group that hangs together.
+rounds link every member to few hubs of its n-gram (first the class whose rare end is most
+widely shared, the centre of a group of edited copies), then only pairs whose members are
+still in different components are compared, so no component is split. Of these, a pair
+meets only at n-grams that leave both enough n-grams behind them to reach the
+threshold; the first one that two linked sets share always does.
 
 Edge cases: null, blank and empty texts have no n-grams and link with nothing; fewer than
 five words are one n-gram; repeated rows and repeated ids share their class; a null id
@@ -195,18 +197,21 @@ def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4
 
     pre = _prefixes(rows, id_type, order, num, den)
     pre = pre.join(firsts, (pre["c"] == firsts["rc"]) & pre["doc_id"].eqNullSafe(firsts["rep"]))
-    tokens = pre.select("k", "n", F.explode("prefix").alias("tok"))
+    tokens = pre.select("k", "n", F.posexplode("prefix").alias("at", "tok"))
     same = Window.partitionBy("tok")
     # an n-gram occurs once per class and only in its rare end, so no n-gram holds a large share of these rows
     shared = tokens.withColumn("m", F.count(F.lit(1)).over(same)).filter("m > 1")
-    shared = materialize(shared.select("tok", "k", "n", F.col("k").alias("comp")), "jaccard-shared")
+    ends = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    central = (F.sum("m").over(Window.partitionBy("k")) / ends).alias("central")
+    shared = materialize(shared.select("tok", "k", "n", "at", central, F.col("k").alias("comp")), "jaccard-shared")
 
     fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     band = F.floor(F.log("n") / math.log(den / num)).alias("band")
     links, open_ = None, shared
     for r in range(HUB_ROUNDS):
         grouped = open_.withColumn("band", band)
-        pick = F.struct(F.xxhash64("k", F.pmod("tok", F.lit(2)), F.lit(r)).alias("h"), F.col("k").alias("b"),
+        first = F.xxhash64("k", F.pmod("tok", F.lit(2)), F.lit(r)) if r else -F.col("central")
+        pick = F.struct(first.alias("h"), F.col("k").alias("b"),
                         F.col("n").alias("nb"), F.col("comp").alias("cb"))
         hubs = grouped.groupBy("tok", "band").agg(F.min(pick).alias("hub")).select("tok", "band", "hub.b", "hub.nb", "hub.cb")
         pairs = grouped.join(hubs, ["tok", "band"]).select(F.col("k").alias("a"), "b", F.col("n").alias("na"), "nb", "comp", "cb")
@@ -218,15 +223,16 @@ def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4
         links = materialize(found if links is None else links.union(found), "jaccard-links")
         comp = components(links)
         named = shared.drop("comp").join(comp, F.col("k") == F.col("node"), "left").select(
-            "tok", "k", "n", F.coalesce("component", "k").alias("comp"))
+            "tok", "k", "n", "at", "central", F.coalesce("component", "k").alias("comp"))
         named = named.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).filter("lo != hi")
-        open_ = materialize(named.select("tok", "k", "n", "comp"), "jaccard-open")
-    x = open_.select("tok", F.col("k").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = open_.select("tok", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = x.join(y, "tok").filter("a < b and ca != cb").filter(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("hits"))
-    # beyond its rare end a set of n has ceil(t n) - 1 n-grams: with the shared ones, they bound the overlap
-    tail = F.ceil(F.greatest("na", "nb") * num / den) - 1
-    rest = rest.filter((F.col("hits") + tail) * (num + den) >= (F.col("na") + F.col("nb")) * num).drop("hits")
+        open_ = materialize(named.select("tok", "k", "n", "at", "central", "comp"), "jaccard-open")
+    # (num + den) * overlap >= num * (na + nb) is the threshold; the first shared n-gram has the whole overlap at or behind it
+    x = open_.filter(f"(n - at) * {num + den} >= 2 * n * {num}").select(
+        "tok", F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("comp").alias("ca"))
+    y = open_.select("tok", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("comp").alias("cb"))
+    behind = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (num + den) >= (F.col("na") + F.col("nb")) * num
+    rest = x.join(y, "tok").filter("ca != cb and (na < nb or na = nb and a < b)").filter(fits).filter(behind)
+    rest = rest.select("a", "b", "na", "nb").distinct()
     links = materialize(links.union(_linked(rest, rows, order, firsts, num, den)), "jaccard-links")
     return members, links, components(links)
 
