@@ -7,8 +7,6 @@ aggregate with ``explode(array(struct...))`` rather than by scanning again.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,16 +53,16 @@ def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     return out.limit(top) if top else out
 
 
-def crosstab(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> DataFrame:
-    """Long-form crosstab, rows with either value null dropped, zeros filled."""
+def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Long-form crosstab, rows with either value null dropped, zeros filled.
+
+    Each level of ``a`` carries the level list of ``b`` and explodes it; the
+    zero-filled grid is the result itself, at any number of levels.
+    """
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     counts = d.groupBy(a, b).agg(F.count(F.lit(1)).alias("count"))
-    la = [r[0] for r in d.select(a).distinct().limit(max_levels + 1).collect()]
-    lb = [r[0] for r in d.select(b).distinct().limit(max_levels + 1).collect()]
-    if len(la) > max_levels or len(lb) > max_levels:
-        raise ValueError("too many levels for a dense crosstab")
-    grid = df.sparkSession.createDataFrame(list(itertools.product(la, lb)),
-                                           d.select(a, b).schema)
+    levels = counts.agg(F.collect_set(b).alias("l")).scalar()
+    grid = counts.select(a).distinct().withColumn("_levels", levels).select(a, F.explode("_levels").alias(b))
     return grid.join(counts, [a, b], "left").select(a, b, F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 

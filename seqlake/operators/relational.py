@@ -97,19 +97,13 @@ def filter_min_class(df: DataFrame, label: str, min_count: int | None = None,
     return df.join(bounded_broadcast(keep), label, "left_semi")
 
 
-def filter_membership(df: DataFrame, column: str, values, negate: bool = False,
-                      max_inline: int = 1000) -> DataFrame:
+def filter_membership(df: DataFrame, column: str, values, negate: bool = False) -> DataFrame:
     """``column IN values``; with ``negate`` keeps nulls (pandas ``~isin``).
 
-    Long lists become a broadcast semi/anti join (the list size is known).
+    The list is the caller's literal; Spark turns it into a hash-set lookup at any length.
     """
-    values = list(values)
-    if len(values) <= max_inline:
-        m = F.coalesce(F.col(column).isin(values), F.lit(False))
-        return df.where(~m if negate else m)
-    spark = df.sparkSession
-    vals = spark.createDataFrame([(v,) for v in values], [column]).distinct()
-    return df.join(F.broadcast(vals), column, "left_anti" if negate else "left_semi")
+    m = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+    return df.where(~m if negate else m)
 
 
 def numeric_filter(df: DataFrame, column: str) -> DataFrame:

@@ -190,10 +190,6 @@ def q_numeric_coercion(spark, sf_dir):
                                    keep=["sample_id"])
 
 
-def _ascii_text_sql(col="text"):
-    return f"regexp_replace({col}, '[^\\x01-\\x7F]', '', 'g')"
-
-
 @register("sequence_validation", """
 select sample_id, length(c) as length, array_to_string(list_sort(list_distinct(
          list_filter(string_split(regexp_replace(c, '[ATCGNMRWSYKVHDB]', '', 'g'), ''), lambda x: x <> ''))), '') as invalid_chars,
@@ -201,12 +197,12 @@ select sample_id, length(c) as length, array_to_string(list_sort(list_distinct(
        (length(c) - length(translate(c, 'NMRWSYKVHDB', '')))::bigint as ambiguous_count,
        """ + gc_sql("c") + """ as gc_content
 from (select cast(doc_id as varchar) as sample_id,
-             upper(regexp_replace(regexp_replace(text, '[^A-Za-z\\s]', '', 'g'), '\\s+', '', 'g')) as c
+             upper(replace(regexp_replace(text, '\\s+', '', 'g'), 'ß', 'SS')) as c  -- full upper case of ß
       from documents) v""")
 def q_sequence_validation(spark, sf_dir):
-    """Validation report of pasted text (letters and whitespace kept)."""
+    """Validation report of the whole pasted text."""
     d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    c = sf.clean_sequence(F.regexp_replace("text", r"[^A-Za-z\s]", ""))
+    c = sf.clean_sequence("text")
     v = d.select(F.col("doc_id").cast("string").alias("sample_id"), c.alias("c"))
     return v.select("sample_id", F.length("c").alias("length"), sf.invalid_chars("c").alias("invalid_chars"),
                     (F.length("c") < 100).alias("too_short"), sf.ambiguous_count("c").alias("ambiguous_count"),
@@ -247,10 +243,10 @@ select doc_id, line_no,
        case when contains(line, ',') then trim(split_part(line, ',', 1), ' \t\n\r') else printf('SAMPLE_%04d', line_no) end as sample_id,
        seq as sequence, length(seq) as length
 from (select doc_id, line_no, line,
-             upper(regexp_replace(case when contains(line, ',') then substring(line, strpos(line, ',') + 1) else line end,
-                                  '\\s+', '', 'g')) as seq
+             upper(replace(regexp_replace(case when contains(line, ',') then substring(line, strpos(line, ',') + 1) else line end,
+                                  '\\s+', '', 'g'), 'ß', 'SS')) as seq
       from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as line_no
-            from (select doc_id, list_filter(list_transform(string_split(""" + _ascii_text_sql() + """, '\n'),
+            from (select doc_id, list_filter(list_transform(string_split(text, '\n'),
                                                             lambda x: trim(x, ' \t\n\r')), lambda x: x <> '') as ls
                   from documents) a) b) c
 where length(seq) > 0""")
@@ -259,8 +255,7 @@ def q_text_line_ingest(spark, sf_dir):
     from seqlake.sources.text import parse_sequence_lines
 
     d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    txt = F.regexp_replace("text", r"[^\x01-\x7F]", "")
-    return parse_sequence_lines(d.select("doc_id", txt.alias("text")), text_col="text", group_col="doc_id")
+    return parse_sequence_lines(d, text_col="text", group_col="doc_id")
 
 
 # ---------------------------------------------------- C: joins and filters --
