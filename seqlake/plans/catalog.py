@@ -633,17 +633,33 @@ select {_col}, count(*) as count from cleaned where {_col} is not null group by
 order by count desc, {_col} {'limit ' + str(_top) if _top else ''}""")(_vc(_col, _top))
 
 
-@register("crosstab_serotype_genotype", """
-, d as (select serotype, genotype from cleaned where serotype is not null and genotype is not null),
-  a as (select distinct serotype from d), b as (select distinct genotype from d),
-  c as (select serotype, genotype, count(*) as count from d group by all)
-select a.serotype, b.genotype, coalesce(c.count, 0)::bigint as count
-from a cross join b left join c on c.serotype = a.serotype and c.genotype = b.genotype""")
+def _crosstab_sql(a, b, where="true"):
+    return f"""
+, d as (select {a}, {b} from cleaned where {a} is not null and {b} is not null and {where}),
+  a as (select distinct {a} from d), b as (select distinct {b} from d),
+  c as (select {a}, {b}, count(*) as count from d group by all)
+select a.{a}, b.{b}, coalesce(c.count, 0)::bigint as count
+from a cross join b left join c on c.{a} = a.{a} and c.{b} = b.{b}"""
+
+
+@register("crosstab_serotype_genotype", _crosstab_sql("serotype", "genotype"))
 def q_crosstab(spark, sf_dir):
     """I8: serotype x genotype counts, zero-filled, either null dropped."""
     return eda.crosstab(derived.cleaned(spark, sf_dir), "serotype", "genotype")
 
 
+@register("crosstab_country_serotype", _crosstab_sql("country", "serotype"))
+def q_crosstab_country(spark, sf_dir):
+    """I8: country x serotype counts."""
+    return eda.crosstab(derived.cleaned(spark, sf_dir), "country", "serotype")
+
+
+@register("crosstab_year_serotype", _crosstab_sql("year", "serotype", "try_cast(year as double) is not null"))
+def q_crosstab_year(spark, sf_dir):
+    """I8: year x serotype counts, numeric years only."""
+    return eda.crosstab(relational.numeric_filter(derived.cleaned(spark, sf_dir), "year"), "year", "serotype")
+
+
 @register("density_by_serotype", """
 select serotype, round(avg(mutation_density), 6) as mean, round(stddev_samp(mutation_density), 6) as std,
        count(mutation_density) as count

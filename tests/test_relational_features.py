@@ -93,3 +93,23 @@ def test_feature_groups_rules():
     assert g["X_meta"] == ["year", "host", "genome_length"]
     assert features.features_for_task(["gc_content", "kmer_ACG", "year"], g, "novelty") == ["gc_content", "kmer_ACG"]
     assert features.novelty_feature_columns(cols) == ["gc_content", "kmer_ACG", "mutation_density"]
+
+
+def test_long_membership_list_keeps_column_order(spark):
+    from seqlake.operators.relational import filter_membership
+
+    df = spark.createDataFrame([("a", "1", 1), ("b", None, 2), ("c", "x", 3)], "sample_id string, g string, n int")
+    values = [str(i) for i in range(1001)]
+    inside, outside = filter_membership(df, "g", values), filter_membership(df, "g", values, negate=True)
+    assert inside.columns == outside.columns == df.columns
+    assert [r.sample_id for r in inside.collect()] == ["a"]
+    assert sorted(r.sample_id for r in outside.collect()) == ["b", "c"]
+
+
+def test_crosstab_has_no_level_limit(spark):
+    from seqlake.operators.eda import crosstab
+
+    df = spark.range(1500).selectExpr("cast(id as string) as a", "cast(id % 2 as string) as b")
+    out = crosstab(df.union(spark.createDataFrame([(None, "0"), ("0", None)], "a string, b string")), "a", "b")
+    assert out.count() == 3000 and out.where("count = 1").count() == 1500 and out.where("count = 0").count() == 1500
+    assert crosstab(df.where("a = 'none'"), "a", "b").count() == 0
