@@ -247,7 +247,17 @@ def groups(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4) -> D
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    kept = groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_k"]), "left_semi").dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of each group: smallest id (null last), then smallest text digest; rows without words stay as they are.
+
+    Rows of one id and one text are alike to the join; of these the smallest row stays.
+    """
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                   F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("text"))
+    rows = docs.filter(worded)
+    found = groups(rows.select(key.alias("doc_id"), text), text)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    # grouped first: copies of one row are merged before they meet in one task
+    rows = rows.groupBy(key.alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return rows.join(kept, "_key", "left_semi").select("_row.*").unionByName(docs.filter(~worded))

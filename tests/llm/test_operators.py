@@ -59,6 +59,18 @@ def test_one_document_of_each_group_stays(spark, docs_of):
     assert kept == [1, 4, 5, 6, 7, 9]
 
 
+def test_unrelated_texts_of_one_id_stay(spark, docs_of):
+    from seqlake.llm.jaccardjoin import keep_one
+
+    rows = _rows() + [(None, "another text of a null id", "b"), (None, " ".join(BASE), "c"), (None, "no id HERE at all", "c"),
+                      (10, "a second text of id ten", "b"), (10, "a second text of id ten", "b"), (4, None, "b"), (None, "", "a")]
+    kept = Counter((r.doc_id, r.text) for r in keep_one(docs_of(rows)).collect())
+    want = Counter((i, t) for i, t, _ in rows if i in (1, 4, 5, 6, 7, 9))
+    want += Counter([(10, rows[9][1]), (10, "a second text of id ten"), (None, "another text of a null id"), (None, "")])
+    alike = {k for k in kept if k[1] and k[1].lower() == "no id here at all"}
+    assert len(alike) == 1 and kept == want + Counter(alike)
+
+
 def test_near_vectors_equal_brute_force(spark):
     from seqlake.llm.pstable import near_duplicates
 
