@@ -36,7 +36,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, (n + 1).bit_length())
     if size not in _powers:
         if size > 8 * RUN_BYTES:  # a single huge document: not kept
-            return tuple(np.cumprod(np.concatenate(([1], np.full(n, b, dtype=np.uint64))).astype(np.uint64))
+            return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, dtype=np.uint64))))
                          for b in (_BASE, _INVERSE))
         _powers[size] = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, dtype=np.uint64))))
                               for b in (_BASE, _INVERSE))

@@ -71,6 +71,24 @@ def test_unrelated_texts_of_one_id_stay(spark, docs_of):
     assert len(alike) == 1 and kept == want + Counter(alike)
 
 
+def test_words_of_a_huge_text_equal_brute_force():
+    import pyarrow as pa
+
+    from seqlake.llm import wordhash
+
+    w = [f"{i % 20_000}".rjust(800, "x") for i in range(21_500)]
+    huge = " ".join(w)
+    assert len(huge) > 16 << 20
+    hashed = []
+    for text in (huge, " ".join(w[:20])):
+        (_, _, data, off), = wordhash.runs(pa.array([text]))
+        h, bounds, _, _ = wordhash.words(data, off)
+        hashed.append((h, next(wordhash.shingles(h, bounds))))
+    assert len(hashed[0][1]) == len(_set(huge)) and len(np.unique(hashed[0][0])) == 20_000
+    assert (hashed[0][0][:20] == hashed[1][0]).all() and (hashed[0][0][20_000:] == hashed[0][0][:1_500]).all()
+    assert np.isin(hashed[1][1], hashed[0][1]).all()
+
+
 def test_near_vectors_equal_brute_force(spark):
     from seqlake.llm.pstable import near_duplicates
 
