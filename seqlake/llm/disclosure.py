@@ -109,33 +109,44 @@ def _key(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def _text_key(column):
+    return F.unhex(F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256))
+
+
+def _once(docs: DataFrame, scanned: DataFrame, text: str) -> DataFrame:
+    """``txt, x``: each distinct text once. Only texts that have copies are grouped; the others stay where they are."""
+    copied = scanned.groupBy("txt").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("txt")
+    copied = materialize(copied, "pii-copied")
+    rows = docs.select(_text_key(docs[text]).alias("txt"), docs[text].alias("x"))
+    return rows.join(copied, "txt", "left_anti").union(rows.join(copied, "txt", "left_semi").dropDuplicates(["txt"]))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, txt, base, ctx``: text key, base spans, and ``(entity, term, start, end)`` beside them."""
-    rows = docs.select(docs["doc_id"], docs[text])
+    rows = docs.select(docs["doc_id"], docs[text], _text_key(docs[text]))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
     ctx = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
     def batches(it):
         for batch in it:
-            keys, spans, near = [], [], []
+            spans, near = [], []
             for x in batch.column(1).to_pylist():
                 x = x or ""
                 found = base_spans(x)
                 taken = _union(found)
-                keys.append(_key(x))
                 spans.append([{"k": k, "s": a, "e": b} for k, a, b in found])
                 near.append([{"entity": _key(f"{k}:{x[a:b]}"), "term": _key(w), "s": s, "e": e}
                              for k, a, b in found for w, s, e in _context(x, a, b, taken)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(near, pa.list_(ctx))],
+                [batch.column(0), batch.column(2), pa.array(spans, pa.list_(span)), pa.array(near, pa.list_(ctx))],
                 names=["doc_id", "txt", "base", "ctx"])
 
-    return rows.mapInArrow(batches, f"doc_id {doc_type}, txt long, base array<struct<k:int,s:int,e:int>>, "
+    return rows.mapInArrow(batches, f"doc_id {doc_type}, txt binary, base array<struct<k:int,s:int,e:int>>, "
                                     "ctx array<struct<entity:long,term:long,s:int,e:int>>")
 
 
-def _term_documents(docs: DataFrame, candidates: DataFrame, text: str) -> DataFrame:
+def _term_documents(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     """``term, df``: in how many distinct texts each candidate term occurs (counts leave a task per batch)."""
 
     def batches(it):
@@ -150,21 +161,20 @@ def _term_documents(docs: DataFrame, candidates: DataFrame, text: str) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
                                              names=["term", "df"])
 
-    counts = docs.select(docs[text]).mapInArrow(batches, "term long, df long")
+    counts = texts.select("x").mapInArrow(batches, "term long, df long")
     return counts.join(candidates, "term", "left_semi").groupBy("term").agg(
         F.sum("df").alias("df"))
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text", threshold: float = THRESHOLD,
                min_support: int = MIN_SUPPORT) -> DataFrame:
-    """``entity, term`` pairs above the disclosure threshold. A term's df counts rows, copies included:
-    that can only lower its PMI, never flag a term that distinct texts would not."""
+    """``entity, term`` pairs above the disclosure threshold; all counts are of distinct texts."""
     near = scanned.select("txt", F.explode("ctx").alias("c")).select("txt", "c.entity", "c.term").distinct()
     joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_support)
     joint = materialize(joint, "pii-joint")
     entity_df = near.select("txt", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("edf"))
-    term_df = _term_documents(docs, joint.select("term").distinct(), text)
-    n = scanned.agg(F.count(F.lit(1)).alias("n")).select(F.col("n").cast("double").alias("n")).first()[0]
+    term_df = _term_documents(_once(docs, scanned, text), joint.select("term").distinct())
+    n = float(scanned.select("txt").distinct().count())
     j = joint.join(entity_df, "entity").join(term_df, "term")
     pmi = F.log2(F.col("both") * F.lit(n) / (F.col("edf") * F.col("df")))
     ic = -F.log2(F.col("edf") / F.lit(n))
@@ -201,7 +211,7 @@ def report(docs: DataFrame, text: str = "text") -> DataFrame:
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span generalised (base kinds) or removed (terms); ``n_chars`` follows the new text.
 
-    Documents that hold disclosing terms meet them by the key of their text; the patterns
+    Documents that hold disclosing terms meet them by the digest of their text; the patterns
     are found again in the text at hand. Overlapping spans become one, named by the first.
     """
     scanned = materialize(scan(docs, text), "pii-scan")
@@ -209,10 +219,8 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     near = scanned.select("txt", F.explode("ctx").alias("c")).select("txt", "c.*").distinct()
     extra = near.join(flagged, ["entity", "term"], "left_semi").groupBy("txt").agg(
         F.collect_set(F.struct("s", "e")).alias("_terms"))
-    extra = scanned.select("doc_id", "txt").distinct().join(extra, "txt").select(
-        F.col("doc_id").alias("_id"), F.col("txt").alias("_txt"), "_terms")
-    extra = extra.groupBy("_id").agg(F.collect_list(F.struct("_txt", "_terms")).alias("_found"))
-    joined = docs.drop("_id", "_found").join(extra, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    extra = materialize(extra.withColumnRenamed("txt", "_txt"), "pii-terms")
+    joined = docs.withColumn("_txt", _text_key(docs[text])).join(extra, "_txt", "left").select(*docs.columns, "_terms")
     at = joined.columns.index(text)
 
     def batches(it):
@@ -232,8 +240,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
 def _rewrite(x: str, found) -> str:
     cuts = [(a, b, KINDS[k]) for k, a, b in base_spans(x)]
     if found:
-        key = _key(x)
-        cuts += [(t["s"], t["e"], "term") for f in found if f["_txt"] == key for t in f["_terms"]]
+        cuts += [(t["s"], t["e"], "term") for t in found]
     if not cuts:
         return x
     out, at = [], 0

@@ -164,6 +164,18 @@ def test_disclosing_terms_are_found_and_removed(spark, docs_of):
     assert clean[900] is None and clean[100] == rows[5][1] and len(clean) == len(rows)
 
 
+def test_copies_do_not_hide_a_disclosing_term(spark, docs_of):
+    from seqlake.llm.disclosure import report, sanitise
+
+    rows = [(i, f"common words about Zorblax owner bob@mail.com write soon part{i}", "a") for i in range(4)]
+    rows += [(1000 + i, rows[0][1], "a") for i in range(300)]
+    rows += [(2000 + i, f"common words about write soon owner {i} of other things kind{i}", "a") for i in range(200)]
+    out = {r.doc_id: r.spans for r in report(docs_of(rows)).collect()}
+    at = rows[0][1].index("Zorblax")
+    assert len(out) == len(rows) and all(f"term:{at}:{at + 7}" in s for i, s in out.items() if i < 2000)
+    assert not any("Zorblax" in r.text for r in sanitise(docs_of(rows)).collect())
+
+
 def test_ordinal_grades_held_out(spark):
     from seqlake.llm.ordinal import keep, quality_report
 
