@@ -1,13 +1,17 @@
 """Personal data: pattern spans, and terms that give protected entities away by co-occurrence.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Every distinct base
-value is a protected entity. The words within ``CONTEXT`` words of an entity are its context
-terms. Over the whole corpus, a term discloses an entity when observing it leaves little doubt:
+value is a protected entity. All words (letters and digits, two or more) of a text outside its
+base spans are terms. Over the whole corpus, a term discloses an entity when observing it leaves little doubt:
 ``PMI(term, entity) >= THRESHOLD * IC(entity)``, where IC is ``-log2`` of the share of documents with the
 entity and PMI the log ratio of their joint share to the product of shares, both over
 documents. A term also has to be seen with the entity in ``MIN_SUPPORT`` documents of different
 texts, so chance neighbours of a rare entity and copies of one text do not count.
-Disclosing terms beside their entity become spans of the kind ``term``.
+Every occurrence of a disclosing term in a text that holds its entity becomes a span of the kind ``term``.
+
+Joint counts are taken only for entities in ``MIN_SUPPORT`` distinct texts, as no other can reach
+the support. They are summed per task before they are shuffled by entity and term, so a very
+common entity is spread over its terms.
 
 ``sanitise`` generalises base spans to their kind (``[EMAIL]`` ...) and removes disclosing terms
 (``[TERM]``).
@@ -23,13 +27,16 @@ import hashlib
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlake.llm.jaccardjoin import CELL, bitmap
 from seqlake.session import materialize
 
-CONTEXT, THRESHOLD, MIN_SUPPORT = 4, 0.9, 3
+THRESHOLD, MIN_SUPPORT = 0.9, 3
+PAIRS = 1 << 20  # entity-term pairs that a task holds at a time
 KINDS = ["email", "ip", "card", "phone", "term"]
 # fixed values: the patterns of the contract
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,7 +44,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-WORD = re.compile(r"[^\W\d_]{2,}")
+WORD = re.compile(r"[^\W_]{2,}")
 _DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -90,16 +97,9 @@ def _union(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _context(text: str, start: int, end: int, taken: list[tuple[int, int]]):
-    """Words around ``text[start:end]``, none inside a base span: ``(term, start, end)``."""
-    reach = 400  # characters looked at on either side for CONTEXT words
-    left = [m for m in WORD.finditer(text, max(0, start - reach), start)][-CONTEXT:]
-    right = []
-    for m in WORD.finditer(text, end, min(len(text), end + reach)):
-        right.append(m)
-        if len(right) == CONTEXT:
-            break
-    for m in left + right:
+def _terms(text: str, taken: list[tuple[int, int]]):
+    """All words of ``text``, none inside a base span: ``(term, start, end)``."""
+    for m in WORD.finditer(text):
         i = bisect_left(taken, (m.end(),)) - 1  # the last span that starts before the word ends
         if i < 0 or taken[i][1] <= m.start():
             yield m.group().casefold(), m.start(), m.end()
@@ -122,28 +122,81 @@ def _once(docs: DataFrame, scanned: DataFrame, text: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, txt, base, ctx``: text key, base spans, and ``(entity, term, start, end)`` beside them."""
+    """``doc_id, txt, base, entities``: text key, base spans, and the distinct entities in them."""
     rows = docs.select(docs["doc_id"], docs[text], _text_key(docs[text]))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
-    ctx = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
     def batches(it):
         for batch in it:
-            spans, near = [], []
+            spans, entities = [], []
             for x in batch.column(1).to_pylist():
                 x = x or ""
                 found = base_spans(x)
-                taken = _union(found)
                 spans.append([{"k": k, "s": a, "e": b} for k, a, b in found])
-                near.append([{"entity": _key(f"{k}:{x[a:b]}"), "term": _key(w), "s": s, "e": e}
-                             for k, a, b in found for w, s, e in _context(x, a, b, taken)])
+                entities.append(list({_key(f"{k}:{x[a:b]}") for k, a, b in found}))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.int64()))],
+                names=["doc_id", "txt", "base", "entities"])
+
+    return rows.mapInArrow(batches, f"doc_id {doc_type}, txt binary, base array<struct<k:int,s:int,e:int>>, entities array<long>")
+
+
+def _pair_counts(held: DataFrame) -> DataFrame:
+    """``entity, term, both``: distinct texts that hold both, from rows ``x, entities``; summed per task first."""
+
+    def summed(es, ts):
+        t = pa.table({"entity": np.concatenate(es), "term": np.concatenate(ts)}).group_by(["entity", "term"]).aggregate([([], "count_all")])
+        return t.select(["entity", "term", "count_all"]).rename_columns(["entity", "term", "both"]).combine_chunks().to_batches()
+
+    def batches(it):
+        es, ts, n = [], [], 0
+        for batch in it:
+            for x, entities in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                terms = np.array(list({_key(w) for w in {w for w, _, _ in _terms(x, _union(base_spans(x)))}}), np.int64)
+                step = max(1, PAIRS // max(1, len(terms)))
+                for i in range(0, len(entities) if len(terms) else 0, step):
+                    part = np.array(entities[i:i + step], np.int64)
+                    es.append(np.repeat(part, len(terms)))
+                    ts.append(np.tile(terms, len(part)))
+                    n += len(es[-1])
+                    if n >= PAIRS:
+                        yield from summed(es, ts)
+                        es, ts, n = [], [], 0
+        if n:
+            yield from summed(es, ts)
+
+    pairs = held.select("x", "entities").mapInArrow(batches, "entity long, term long, both long")
+    return pairs.groupBy("entity", "term").agg(F.sum("both").alias("both"))
+
+
+def _occurrences(held: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``txt, terms``: spans of all occurrences of the flagged terms of a text's entities."""
+    bits = held.sparkSession.sparkContext.broadcast(
+        np.packbits(bitmap(flagged.select(F.col("entity").bitwiseXOR(F.col("term"))))))
+    at = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+    def batches(it):
+        chosen = np.unpackbits(bits.value).astype(bool)
+        names = ["txt", "entity", "term", "at"]
+        for batch in it:
+            rows = []
+            for txt, x, entities in zip(*(c.to_pylist() for c in batch.columns)):
+                places: dict[str, list] = {}
+                for w, a, b in _terms(x, _union(base_spans(x))):
+                    places.setdefault(w, []).append({"s": a, "e": b})
+                words = list(places)
+                terms = np.array([_key(w) for w in words], np.int64)
+                for e in entities:
+                    rows += [(txt, e, int(terms[i]), places[words[i]]) for i in np.flatnonzero(chosen[(terms ^ np.int64(e)) & CELL])]
+            cols = zip(*rows) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(spans, pa.list_(span)), pa.array(near, pa.list_(ctx))],
-                names=["doc_id", "txt", "base", "ctx"])
+                [pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), at))], names=names)
 
-    return rows.mapInArrow(batches, f"doc_id {doc_type}, txt binary, base array<struct<k:int,s:int,e:int>>, "
-                                    "ctx array<struct<entity:long,term:long,s:int,e:int>>")
+    found = held.select("txt", "x", "entities").mapInArrow(
+        batches, "txt binary, entity long, term long, at array<struct<s:int,e:int>>")
+    found = found.join(flagged, ["entity", "term"], "left_semi").select("txt", F.explode("at").alias("p"))
+    return found.groupBy("txt").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("k"), "p.s", "p.e"))).alias("terms"))
 
 
 def _term_documents(texts: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -167,28 +220,34 @@ def _term_documents(texts: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text", threshold: float = THRESHOLD,
-               min_support: int = MIN_SUPPORT) -> DataFrame:
-    """``entity, term`` pairs above the disclosure threshold; all counts are of distinct texts."""
-    near = scanned.select("txt", F.explode("ctx").alias("c")).select("txt", "c.entity", "c.term").distinct()
-    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_support)
-    joint = materialize(joint, "pii-joint")
-    entity_df = near.select("txt", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("edf"))
-    term_df = _term_documents(_once(docs, scanned, text), joint.select("term").distinct())
+               min_support: int = MIN_SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """``entity, term`` pairs above the disclosure threshold, all counts of distinct texts; and the texts
+    ``txt, x, entities`` with the entities that reach the support."""
+    texts = _once(docs, scanned, text)
+    pairs = scanned.select("txt", F.explode("entities").alias("entity")).distinct()
+    entity_df = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("edf")).filter(F.col("edf") >= min_support)
+    entity_df = materialize(entity_df, "pii-entities")
+    holders = pairs.join(entity_df, "entity", "left_semi").groupBy("txt").agg(F.collect_set("entity").alias("entities"))
+    held = texts.join(materialize(holders, "pii-holders"), "txt")
+    joint = materialize(_pair_counts(held).filter(F.col("both") >= min_support), "pii-joint")
+    term_df = _term_documents(texts, joint.select("term").distinct())
     n = float(scanned.select("txt").distinct().count())
     j = joint.join(entity_df, "entity").join(term_df, "term")
     pmi = F.log2(F.col("both") * F.lit(n) / (F.col("edf") * F.col("df")))
     ic = -F.log2(F.col("edf") / F.lit(n))
-    return j.filter((ic > 0) & (pmi >= threshold * ic)).select("entity", "term")
+    return j.filter((ic > 0) & (pmi >= threshold * ic)).select("entity", "term"), held
+
+
+def _term_spans(docs: DataFrame, scanned: DataFrame, text: str) -> DataFrame:
+    """``txt, terms``: the spans of disclosing terms per distinct text that has any."""
+    flagged, held = disclosing(docs, scanned, text)
+    return materialize(_occurrences(held, materialize(flagged, "pii-flagged")), "pii-terms")
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, txt, base, terms`` per row: base spans and the spans of disclosing terms."""
     scanned = materialize(scan(docs, text), "pii-scan")
-    flagged = disclosing(docs, scanned, text)
-    near = scanned.select("txt", F.explode("ctx").alias("c")).select("txt", "c.*").distinct()
-    extra = near.join(flagged, ["entity", "term"], "left_semi").groupBy("txt").agg(
-        F.array_sort(F.collect_set(F.struct(F.lit(4).alias("k"), "s", "e"))).alias("terms"))
-    return scanned.select("doc_id", "txt", "base").join(extra, "txt", "left")
+    return scanned.select("doc_id", "txt", "base").join(_term_spans(docs, scanned, text), "txt", "left")
 
 
 def report(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -215,11 +274,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     are found again in the text at hand. Overlapping spans become one, named by the first.
     """
     scanned = materialize(scan(docs, text), "pii-scan")
-    flagged = disclosing(docs, scanned, text)
-    near = scanned.select("txt", F.explode("ctx").alias("c")).select("txt", "c.*").distinct()
-    extra = near.join(flagged, ["entity", "term"], "left_semi").groupBy("txt").agg(
-        F.collect_set(F.struct("s", "e")).alias("_terms"))
-    extra = materialize(extra.withColumnRenamed("txt", "_txt"), "pii-terms")
+    extra = _term_spans(docs, scanned, text).select(F.col("txt").alias("_txt"), F.col("terms").alias("_terms"))
     joined = docs.withColumn("_txt", _text_key(docs[text])).join(extra, "_txt", "left").select(*docs.columns, "_terms")
     at = joined.columns.index(text)
 

@@ -39,7 +39,7 @@ SLICES = 64
 FRAGMENTS = 4
 HUB_ROUNDS, HUBS = 2, 2
 FILTER_BITS = 24
-_CELL = (1 << FILTER_BITS) - 1
+CELL = (1 << FILTER_BITS) - 1
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -117,13 +117,13 @@ def _prefixes(rows: DataFrame, id_type: str, order, num: int, den: int) -> DataF
     return rows.mapInArrow(batches, f"doc_id {id_type}, c long, n long, prefix array<long>")
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size over hashes of ``rep``: false positives only cost work, none is missed."""
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bitmap of fixed size over the one long column: false positives only cost work, none is missed."""
 
     def batches(it):
         bits = np.zeros(1 << FILTER_BITS, np.uint8)
         for batch in it:
-            bits[batch.column(0).to_numpy() & _CELL] = 1
+            bits[batch.column(0).to_numpy() & CELL] = 1
         for i, part in enumerate(np.packbits(bits).reshape(SLICES, -1)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
@@ -133,7 +133,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
         parts = [np.frombuffer(zlib.decompress(b), np.uint8) for b in pdf["bits"]]
         return pd.DataFrame({"slice": [key[0]], "bits": [np.bitwise_or.reduce(parts).tobytes()]})
 
-    parts = ids.select(F.xxhash64("rep").alias("h")).mapInArrow(batches, "slice int, bits binary")
+    parts = hashes.mapInArrow(batches, "slice int, bits binary")
     out = np.zeros((SLICES, (1 << FILTER_BITS) // 8 // SLICES), np.uint8)
     for row in parts.groupBy("slice").applyInPandas(either, "slice int, bits binary").collect():  # SLICES rows
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
@@ -145,12 +145,12 @@ def _segments(rows: DataFrame, order, ids: DataFrame) -> DataFrame:
 
     A class may come more than once; its segments are equal then.
     """
-    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(_wanted(ids)))
+    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap(ids.select(F.xxhash64("rep")))))
 
     def batches(it):
         fragment, chosen = order.value[1], np.unpackbits(wanted.value).astype(bool)
         for batch in it:
-            batch = batch.filter(pa.array(chosen[batch.column(2).to_numpy() & _CELL]))
+            batch = batch.filter(pa.array(chosen[batch.column(2).to_numpy() & CELL]))
             c, f, seg = [], [], []
             for _, key, s in _sets(batch.column(1)):
                 part = fragment[(s & _MASK).astype(np.int64)]

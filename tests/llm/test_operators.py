@@ -176,6 +176,24 @@ def test_copies_do_not_hide_a_disclosing_term(spark, docs_of):
     assert not any("Zorblax" in r.text for r in sanitise(docs_of(rows)).collect())
 
 
+def test_terms_anywhere_in_a_text_with_their_entity(spark, docs_of):
+    from seqlake.llm.disclosure import report, sanitise
+
+    filler = " ".join(f"common{'abcdefghijklmnopqrst'[k]} words" for k in range(20))
+    rows = [(i, f"File Qvex77 opened {filler} owner bob@mail.com write {filler} signed user4711 for QVEX77 part{i}", "a") for i in range(4)]
+    rows += [(50, "user4711 in a text without the address", "b"), (None, rows[0][1], "c")]
+    rows += [(100 + i, f"file opened {filler} owner write signed for part kind{i}", "a") for i in range(200)]
+    out = Counter((r.doc_id, r.spans) for r in report(docs_of(rows)).collect())
+    want = Counter()
+    for i, t, _ in rows:
+        found = [("email", *m.span()) for m in re.finditer(r"bob@mail\.com", t)]
+        found += [("term", *m.span()) for m in re.finditer(r"(?i)qvex77|user4711", t) if found]
+        want[(i, ",".join(f"{k}:{a}:{b}" for k, a, b in found))] += 1
+    assert out == want
+    clean = [r.text for r in sanitise(docs_of(rows)).filter("doc_id < 50 or doc_id is null").collect()]
+    assert len(clean) == 5 and all(t.count("[TERM]") == 3 and t.count("[EMAIL]") == 1 for t in clean)
+
+
 def test_ordinal_grades_held_out(spark):
     from seqlake.llm.ordinal import keep, quality_report
 
