@@ -1,18 +1,20 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is read once into elements and text nodes. Script, style, navigation, form, aside and
-footer elements, and elements whose class, id or role names an advert, notice, sidebar or
-comment thread, are left out from the start. Over the rest:
+footer elements and hidden ones are left out from the start. Elements whose class, id or role names an advert,
+notice, sidebar or comment thread are hinted unless they hold most of the content. Over the rest:
 
 1. text length and punctuation are summed per root-to-leaf tag path and divided by the
    path's number of text nodes (the two tag-path ratios);
 2. the two are fused into one value per path, given to each text node, and smoothed along the page;
-3. text nodes at or above the standard deviation of these values are content;
-4. the deepest container that holds most of the content is the article; where an ``article`` or ``main``
+3. text nodes at or above the standard deviation of these values are content; a hinted path's ratio is
+   weighed by ``HINT_WEIGHT``, and its nodes must reach the bound and the mean unsmoothed too;
+4. the lowest common ancestor of all content nodes is the article's container; where an ``article`` or ``main``
    element lies on its way to the root, that one.
 
-The article's blocks come out whole: its short blocks (headings, list items) stay although their
-own path scores low, except blocks that are links only.
+The container's blocks come out whole: its short blocks (headings, list items) stay although their
+own path scores low, except blocks that are links only and hinted nodes below the bound. Headings right
+before the container stay.
 
 White space (of Unicode) within a block becomes one space; ``br`` is white space; blocks are joined by two newlines.
 
@@ -61,26 +63,28 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 KERNEL = np.array([0.05, 0.25, 0.4, 0.25, 0.05])
-SHARE = 0.7  # of the content that the article's container must hold
+HINT_WEIGHT = 0.1
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _left_out(tag: str, attributes: str, inside: bool) -> bool:
+def _left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the element is left out for its name or as hidden, and whether its names hint at boilerplate."""
     if tag in LEFT_OUT or tag == "header" and not inside:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    hint = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
+                return True, False
             continue
         words = {w.lower() for w in WORD.findall(value)}
-        if words & HINTS or not inside and words & OUTSIDE_HINTS:
-            return True
-    return False
+        hint = hint or bool(words & HINTS or not inside and words & OUTSIDE_HINTS)
+    return False, hint
 
 
 class Page:
@@ -88,19 +92,22 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.tag, self.out, self.inside, self.path = [-1], [""], [False], [False], [0]
-        self.paths: dict[tuple[int, str], int] = {}
+        self.hint = [False]
+        self.paths: dict[tuple[int, str, bool], int] = {}
         self.nodes: list[tuple[int, int, int, int]] = []
-        self.blocks: list[list[str]] = [[]]
+        self.blocks: list[list[tuple[int, str]]] = [[]]  # node (-1: white space) and text
         self.block_at: list[int] = [0]
         self._read(html)
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
         p = stack[-1]
         inside = self.inside[p]
-        key = (self.path[p], tag)
+        out, hint = _left_out(tag, attributes, inside)
+        key = (self.path[p], tag, hint)
         self.parent.append(p)
         self.tag.append(tag)
-        self.out.append(self.out[p] or _left_out(tag, attributes, inside))
+        self.out.append(self.out[p] or out)
+        self.hint.append(hint)
         self.inside.append(inside or tag in ("article", "main"))
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
         stack.append(len(self.tag) - 1)
@@ -127,9 +134,9 @@ class Page:
         words = (unescape(raw) if "&" in raw else raw)
         if words and not words.isspace():
             self.nodes.append((element, len(self.blocks) - 1, len(words), len(PUNCTUATION.findall(words))))
-            self.blocks[-1].append(words)
+            self.blocks[-1].append((len(self.nodes) - 1, words))
         elif words and self.blocks[-1]:
-            self.blocks[-1].append(" ")
+            self.blocks[-1].append((-1, " "))
 
     def _read(self, html: str) -> None:
         stack, at, end = [0], 0, len(html)
@@ -182,8 +189,22 @@ class Page:
             else:
                 self._open(stack, tag, m[3])
 
-    def content(self) -> np.ndarray:
-        """Which text nodes are content, by their smoothed, fused tag-path ratio."""
+    def _hinted(self, on: np.ndarray) -> np.ndarray:
+        """Which text nodes lie in a hinted element that holds at most half of the content ``on``, or no part of the landmarks."""
+        weight, marked = [0] * len(self.tag), [0] * len(self.tag)
+        for (element, _, length, _), c in zip(self.nodes, on):
+            weight[element] += length if c else 0
+            marked[element] += length if self.inside[element] else 0
+        for e in range(len(self.tag) - 1, 0, -1):
+            weight[self.parent[e]] += weight[e]
+            marked[self.parent[e]] += marked[e]
+        hinted = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            hinted[e] = hinted[self.parent[e]] or self.hint[e] and (2 * weight[e] <= weight[0] or marked[e] == 0 < marked[0])
+        return np.array([hinted[e] for e, _, _, _ in self.nodes])
+
+    def content(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which text nodes are content, by their smoothed, fused tag-path ratio; which lie in hinted elements."""
         path = np.array([self.path[e] for e, _, _, _ in self.nodes])
         length = np.array([n for _, _, n, _ in self.nodes], dtype=float)
         marks = np.array([p for _, _, _, p in self.nodes], dtype=float)
@@ -191,30 +212,35 @@ class Page:
         text_ratio = np.bincount(path, length)[path] / count[path]
         mark_ratio = np.bincount(path, marks)[path] / count[path]
         fused = text_ratio * (1.0 + mark_ratio)
-        padded = np.pad(fused, 2, mode="edge")
-        smooth = np.convolve(padded, KERNEL, mode="valid")
-        return smooth >= min(smooth.std(), smooth.max())
-
-    def article(self) -> int:
-        """The element that holds the article."""
-        weight: dict[int, float] = defaultdict(float)
-        children = defaultdict(list)
-        total = 0.0
-        for (element, _, length, _), on in zip(self.nodes, self.content()):
-            if on:
-                total += length
-                while element >= 0:
-                    weight[element] += length
+
+        def above(ratio):
+            smooth = np.convolve(np.pad(ratio, 2, mode="edge"), KERNEL, mode="valid")
+            bound = min(smooth.std(), smooth.max())
+            return smooth >= bound, ratio >= max(bound, smooth.mean())
+
+        hinted = self._hinted(above(fused)[0])
+        if not hinted.any():
+            return above(fused)[0], hinted
+        smooth, own = above(np.where(hinted, HINT_WEIGHT * fused, fused))
+        return smooth & (own | ~hinted), hinted
+
+    def article(self, on: np.ndarray) -> int:
+        """The element that holds the article: the lowest container above all content nodes, or its landmark."""
+        at = None
+        for (element, _, _, _), c in zip(self.nodes, on):
+            if not c:
+                continue
+            if at is None:
+                at = element
+                continue
+            while at != element:  # a parent has the smaller number
+                if at > element:
+                    at = self.parent[at]
+                else:
                     element = self.parent[element]
-        for e in weight:
-            if e:
-                children[self.parent[e]].append(e)
-        at = 0
-        while True:
-            best = max(children[at], key=weight.__getitem__, default=None)
-            if best is None or weight[best] < SHARE * total or self.tag[best] not in CONTAINER:
-                break
-            at = best
+        at = at or 0
+        while at and self.tag[at] not in CONTAINER:
+            at = self.parent[at]
         for names in (("article",), ("main",)):
             e = at
             while e > 0:
@@ -223,10 +249,16 @@ class Page:
                 e = self.parent[e]
         return at
 
+    def _heading(self, element: int) -> bool:
+        while element > 0 and self.tag[element] not in HEADINGS:
+            element = self.parent[element]
+        return element > 0
+
     def text(self) -> str:
         if not self.nodes:
             return ""
-        root = self.article()
+        on, hinted = self.content()
+        root = self.article(on)
         inside = [False] * len(self.tag)
         inside[root] = True
         for e in range(root + 1, len(self.tag)):
@@ -235,8 +267,13 @@ class Page:
         size: dict[int, int] = defaultdict(int)
         kept: set[int] = set()
         marks: dict[int, int] = defaultdict(int)
-        for element, block, length, punctuation in self.nodes:
-            if not inside[element]:
+        stays = [inside[e] and bool(c or not h) for (e, _, _, _), c, h in zip(self.nodes, on, hinted)]
+        for i in range(next((i for i, n in enumerate(self.nodes) if inside[n[0]]), 0) - 1, -1, -1):
+            if hinted[i] or not self._heading(self.nodes[i][0]):
+                break
+            stays[i] = True
+        for (element, block, length, punctuation), stay in zip(self.nodes, stays):
+            if not stay:
                 continue
             kept.add(block)
             size[block] += length
@@ -251,7 +288,7 @@ class Page:
         for b in sorted(kept):
             if linked[b] == size[b] and not marks[b] and self.tag[self.block_at[b]] in ("li", "ul", "ol", "td", "div"):
                 continue
-            out.append(" ".join("".join(self.blocks[b]).split()))
+            out.append(" ".join("".join(x for i, x in self.blocks[b] if i < 0 or stays[i]).split()))
         return "\n\n".join(x for x in out if x)
 
 

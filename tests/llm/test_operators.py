@@ -251,6 +251,25 @@ def test_main_text_of_pages(spark):
     assert out[1].n_chars == len(out[1].text) and out[2].text == "" and out[3].n_chars == 0
 
 
+def test_all_sections_of_an_article_come_out():
+    from seqlake.llm.htmltext import main_text
+
+    def prose(name, n):
+        return "".join(f"<p>{name} {i} of the text, long enough to count as prose, with commas and more words.</p>" for i in range(n))
+
+    menu = "<ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul>"
+    lead = f"{menu}<div class=content><h1>The title</h1><div class=lead>{prose('Lead', 1)}</div><div class=text>{prose('Body', 9)}</div></div>"
+    text = main_text(lead)
+    assert text.startswith("The title\n\nLead 0") and text.count("Body") == 9 and "Home" not in text
+    for tag in ("div", "article", "section"):
+        text = main_text(f"{menu}<div><{tag}>{prose('First', 9)}</{tag}><{tag}>{prose('Second', 3)}</{tag}></div>")
+        assert text.count("First") == 9 and text.count("Second") == 3
+    assert main_text(f"{menu}<div class='notice reply'>{prose('Hinted', 9)}</div>").count("Hinted") == 9
+    text = main_text(f"<div>{prose('Body', 9)}<div class=share>Share this</div>{prose('More', 3)}</div>")
+    assert text.count("Body") == 9 and text.count("More") == 3 and "Share" not in text
+    assert main_text(f"<div><h1>The title</h1><div>{prose('Body', 9)}</div></div>").startswith("The title")
+
+
 def test_pipeline_keeps_columns_and_counts(spark):
     from corpus_pipeline import STAGES, run
 
