@@ -952,20 +952,17 @@ def q_random_forest_predictions(spark, sf_dir):
 
 @register("gbt_predictions")
 def q_gbt_predictions(spark, sf_dir):
-    """F2 + F12: one-vs-rest boosted trees (depth 6, rate 0.1; 20 rounds here
-    to bound the check's run time, 100 in the training plan)."""
+    """F2 + F12: one-vs-rest boosted trees (depth 6, rate 0.1, 100 rounds)."""
     schema, S = _task1_frames(spark, sf_dir)
-    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "gbt_ovr", gbt_iter=20)
+    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "gbt_ovr")
     return clf.predict(S.where(F.col("is_test")), keep=["sample_id", "serotype"])
 
 
 @register("cv_model_selection")
 def q_cv_model_selection(spark, sf_dir):
-    """5-fold macro-F1 per model, mean and population std, best first
-    (forest 30 trees / boosting 10 rounds here to bound the check's run time)."""
+    """5-fold macro-F1 per model, mean and population std, best first."""
     schema, S = _task1_frames(spark, sf_dir)
-    cv = cross_validate(S.where(~F.col("is_test")), schema.names, "serotype", folds=5,
-                        rf_trees=30, gbt_iter=10)
+    cv = cross_validate(S.where(~F.col("is_test")), schema.names, "serotype", folds=5)
     return select_best(cv)
 
 
@@ -997,7 +994,7 @@ def q_isolation_forest_scores(spark, sf_dir):
 def q_oneclass_svm_scores(spark, sf_dir):
     """RBF one-class SVM (nu 0.1, gamma 'scale') via random Fourier features."""
     train, e = _detector_frames(spark, sf_dir)
-    m = fit_oneclass_svm(train, "features", nu=0.1, steps=60)
+    m = fit_oneclass_svm(train, "features", nu=0.1)
     return m.score(e, "features").select("vec_id", "label", "y_true", "score",
                                          (F.col("score") > 0).alias("is_outlier"))
 
@@ -1005,10 +1002,10 @@ def q_oneclass_svm_scores(spark, sf_dir):
 @register("autoencoder_errors")
 def q_autoencoder_errors(spark, sf_dir):
     """F7 + F8: two-stage ReLU autoencoder (64-32-32 / 32-64-d), reconstruction
-    error and 95th-percentile flag (60 Adam steps per stage, 5 local steps per
-    weight average: 12 Spark jobs per stage)."""
+    error and 95th-percentile flag (500 Adam steps per stage, 5 local steps per
+    weight average: 100 Spark jobs per stage)."""
     train, e = _detector_frames(spark, sf_dir)
-    m = fit_autoencoder(train, "features", steps=60, local_steps=5)
+    m = fit_autoencoder(train, "features", steps=500, local_steps=5)
     s = m.score(e, "features")
     return flag(s, "reconstruction_error", m.threshold, "is_potential_new").select(
         "vec_id", "label", "y_true", "reconstruction_error", "is_potential_new")
@@ -1021,10 +1018,10 @@ def q_shapley_attributions(spark, sf_dir):
     from seqlake.operators.models.shapley import sampled_shapley
 
     schema, S = _task1_frames(spark, sf_dir)
-    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest", rf_trees=30)
+    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest")
     rows = splits.hash_sample(S, 100, seed=42)
     bg = splits.hash_sample(S.where(~F.col("is_test")), 50, seed=7)
-    attr = sampled_shapley(clf, rows, bg, n_permutations=8)
+    attr = sampled_shapley(clf, rows, bg)
     return interpret.attribution_summary(attr, 20)
 
 
@@ -1034,10 +1031,10 @@ def q_interpretation_report(spark, sf_dir):
     from seqlake.operators.models.shapley import sampled_shapley
 
     schema, S = _task1_frames(spark, sf_dir)
-    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest", rf_trees=30)
+    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest")
     imp = interpret.top_importances(clf.importances(), spark, 20)
-    attr = sampled_shapley(clf, splits.hash_sample(S, 20, seed=42),
-                           splits.hash_sample(S.where(~F.col("is_test")), 10, seed=7), n_permutations=4)
+    attr = sampled_shapley(clf, splits.hash_sample(S, 100, seed=42),
+                           splits.hash_sample(S.where(~F.col("is_test")), 50, seed=7))
     return interpret.interpretation_report(imp, attr, 20)
 
 
@@ -1051,16 +1048,14 @@ def _trained(spark, sf_dir):
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
-        _TRAINED[key] = train_all(derived.cleaned(spark, sf_dir), tasks=(1, 2, 3), cv_folds=3, rf_trees=30,
-                                  kinds=("random_forest",), n_trees=100, ae_steps=40,
-                                  ae_local_steps=5)
+        _TRAINED[key] = train_all(derived.cleaned(spark, sf_dir), tasks=(1, 2, 3), ae_steps=500, ae_local_steps=5)
     return _TRAINED[key]
 
 
 @register("training_summary")
 def q_training_summary(spark, sf_dir):
     """The three tasks trained from the cleaned table; one metrics row per
-    task (task 1 uses the forest only and 3 folds here to bound run time)."""
+    task."""
     res = _trained(spark, sf_dir)
     t1 = res.task1_metrics.select(F.lit("task1_classification").alias("task"), "accuracy",
                                   F.col("macro_f1").alias("f1"), F.lit(None).cast("double").alias("roc_auc"))
