@@ -80,11 +80,16 @@ def _levels(rows: DataFrame, col: str, bits: int) -> DataFrame:
     return d.select(f"_{col}", q.cast("int").alias(f"_q_{col}"))
 
 
-def curve_rank(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, int]:
-    """Rows with ``doc_id, size, text_crc32, lang, source, curve, rank`` (dense from 0), and their number."""
+def curve_rank(docs: DataFrame, bits: int = BITS, whole: bool = False) -> tuple[DataFrame, int]:
+    """Rows with ``doc_id, size, text_crc32, lang, source, curve, rank`` (dense from 0), and their number.
+
+    ``whole`` also carries each row of ``docs`` itself, as ``_row``.
+    """
+    row = ["_row"] if whole else []
+    docs = docs.withColumn("_row", F.struct(*docs.columns)) if whole else docs
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"))
+                       F.crc32(text.cast("binary")).alias("text_crc32"), *row)
     rows = materialize(rows, "hilbert-rows")
     for c in ("lang", "source"):
         rows = rows.join(_levels(rows, c, bits), F.col(c).eqNullSafe(F.col(f"_{c}")), "left").drop(f"_{c}")
@@ -92,7 +97,7 @@ def curve_rank(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, int]:
     slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SLICE_BITS)
     rows = rows.select("doc_id", "size", "text_crc32", "lang", "source",
                        hilbert_index([F.col("_q_lang"), F.col("_q_source"), length], bits).alias("curve"),
-                       slot.alias("_slice"))
+                       slot.alias("_slice"), *row)
     rows = materialize(rows, "hilbert-curve")
     counts = rows.groupBy("curve", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     # per curve index at most 2**SLICE_BITS rows; over curve indexes at most 2**(3 * bits) rows
@@ -108,12 +113,12 @@ def curve_rank(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, int]:
     return ranked.withColumn("rank", F.col("_off") + F.col("_rn") - 1).drop("_off", "_rn", "_slice"), n
 
 
-def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, bits: int = BITS, whole: bool = False) -> DataFrame:
     """Cut the curve order into ``shards`` runs whose row counts are at most one apart.
 
     Row ``r`` of ``n`` goes to shard ``floor(r * shards / n)``; its slot counts from the run's first row.
     """
-    ranked, n = curve_rank(docs, bits)
+    ranked, n = curve_rank(docs, bits, whole)
     s = F.expr(f"cast(rank * {int(shards)} div {max(n, 1)} as int)")
     start = F.expr(f"(cast(shard as bigint) * {max(n, 1)} + {int(shards) - 1}) div {int(shards)}")
     return ranked.withColumn("shard", s).withColumn("slot", F.col("rank") - start)
@@ -121,11 +126,9 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, bits: int = BITS) -> None:
     """Write the documents with their shard as one directory per shard, rows in curve order."""
-    plan = shard(docs, shards, bits).select("doc_id", "text_crc32", "size", "shard", "slot", "curve")
-    keyed = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    rows = keyed.join(plan.dropDuplicates(["doc_id", "text_crc32"]).drop("size"), ["doc_id", "text_crc32"])
+    rows = shard(docs, shards, bits, whole=True).select("_row.*", "shard", "slot", "curve")
     rows = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    rows.drop("text_crc32").write.mode("overwrite").partitionBy("shard").parquet(path)
+    rows.write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def shard_report(docs: DataFrame, shards: int = 16) -> DataFrame:

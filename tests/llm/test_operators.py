@@ -270,6 +270,19 @@ def test_all_sections_of_an_article_come_out():
     assert main_text(f"<div><h1>The title</h1><div>{prose('Body', 9)}</div></div>").startswith("The title")
 
 
+def test_shard_files_hold_every_row_once(spark, tmp_path):
+    from seqlake.llm.hilbert import write_shards
+
+    rows = [(i % 5 or None, f"text {i % 7}" if i % 3 else None, "en", "a" if i % 2 else None) for i in range(50)] + [(1, "text 1", "en", "a")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    write_shards(df, str(tmp_path / "shards"), 4)
+    out = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in out) == Counter(rows)
+    for k in range(4):
+        slots = sorted(r.slot for r in out if r.shard == k)
+        assert slots == list(range(len(slots))) and len(slots) in (13, 14)
+
+
 def test_pipeline_keeps_columns_and_counts(spark):
     from corpus_pipeline import STAGES, run
 
