@@ -137,3 +137,10 @@ def op1_ordinal_quality(spark, sf_dir):
     from seqlake.llm.ordinal import quality_report
 
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_bidiagonal_whitening(spark, sf_dir):
+    from seqlake.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
