@@ -144,3 +144,10 @@ def op13_bidiagonal_whitening(spark, sf_dir):
     from seqlake.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_suffix_dawg_repair(spark, sf_dir):
+    from seqlake.llm.turnrepair import damage_report
+
+    return damage_report(table(spark, sf_dir, "conversations"))
