@@ -151,3 +151,10 @@ def op12_suffix_dawg_repair(spark, sf_dir):
     from seqlake.llm.turnrepair import damage_report
 
     return damage_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_phrase_automata_dedup(spark, sf_dir):
+    from seqlake.llm.repeats import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents"))

@@ -8,10 +8,13 @@ longer document is a run of its own), which bounds the scratch arrays.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 RUN_BYTES = 2 << 20
+LONG = 64
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -80,13 +83,20 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span (equal spans, equal hashes)."""
+    """64-bit hash of each byte span (equal spans, equal hashes).
+
+    Spans up to ``LONG`` bytes get a polynomial modulo 2^64; there, different long spans of a
+    regular build meet (a Thue-Morse word and its complement from 1,024 bytes on), so longer ones get blake2b.
+    """
     n = len(data)
     power, inverse = _power_tables(n)
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+    h = mix((total[ends] - total[starts]) * inverse[starts])
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(h: np.ndarray, bounds: np.ndarray, k: int = 5) -> "list[np.ndarray]":
