@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqlake.operators.quantiles import quantiles
+
 _FLOATS = (T.FloatType, T.DoubleType)
 
 
@@ -74,35 +76,35 @@ def group_stats(df: DataFrame, by: str, col: str) -> DataFrame:
               .orderBy(F.col("mean").desc(), F.col(by)))
 
 
-def _quartiles(x, mode: str, accuracy: int = 100_000):
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+def _quartiles(df: DataFrame, cols: list[str], mode: str, accuracy: int = 100_000) -> list[list[float] | None]:
+    """25, 50 and 75 % per column: exact and interpolated in bounded memory, or one sketch pass (``approx``)."""
     if mode == "exact":
-        return F.percentile(x, probs)
+        return quantiles(df, cols, [0.25, 0.5, 0.75])
     if mode == "approx":
-        return F.percentile_approx(x, probs, accuracy)
+        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        return list(df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first())
     raise ValueError(mode)
 
 
 def describe(df: DataFrame, cols: list[str], mode: str = "exact") -> DataFrame:
     """count, mean, sample std, min, 25/50/75%, max per column.
 
-    ``exact`` interpolates linearly like the original but its final merge holds
-    one entry per distinct value in a single task: right for lengths and
-    counts, not for a continuous column over billions of rows, where
-    ``approx`` (a bounded quantile sketch, not interpolated) is the choice.
+    ``exact`` quartiles are interpolated linearly like the original's and found
+    first, in a few passes of bounded memory; they enter the one-row aggregate as literals.
     """
+    quartiles = _quartiles(df, cols, mode)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), _quartiles(x, mode).alias(f"q{i}"),
-                 F.max(x).alias(f"hi{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     one = df.agg(*aggs)
+    lit = lambda v: F.lit(None if v is None else float(v)).cast("double")
     rows = F.explode(F.array(*[F.struct(
         F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
-        F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
-        F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"), F.col(f"hi{i}").alias("max"))
-        for i, c in enumerate(cols)])).alias("r")
+        F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
+        *[lit(q[j] if q else None).alias(name) for j, name in enumerate(("p25", "p50", "p75"))], F.col(f"hi{i}").alias("max"))
+        for i, (c, q) in enumerate(zip(cols, quartiles))])).alias("r")
     return one.select(rows).select("r.*")
 
 
@@ -130,7 +132,7 @@ def box_stats(df: DataFrame, col: str, mode: str = "exact") -> DataFrame:
     """q1, median, q3, IQR, 1.5-IQR fences and the count outside them
     (``mode`` as in :func:`describe`)."""
     x = F.col(col).cast("double")
-    q = df.agg(_quartiles(x, mode).alias("q")).first()["q"]
+    q = _quartiles(df, [col], mode)[0]
     if q is None:
         return df.sparkSession.createDataFrame([], "q1 double, median double, q3 double, iqr double, "
                                                    "lower_fence double, upper_fence double, n_outliers long")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.operators.models.distributed import batch_matrix, sum_over_partitions
+from seqlake.operators.models.threshold import percentile_threshold
 
 
 def scale_gamma(df: DataFrame, vec_col: str) -> tuple[float, int]:
@@ -92,7 +93,7 @@ def fit_oneclass_svm(train: DataFrame, vec_col: str = "features", nu: float = 0.
         # for a fixed w the optimal rho is the nu-quantile of the training
         # margins: set it exactly with one aggregate (the nu-property holds)
         margins = model.score(data, vec_col, "_neg_margin")
-        model.rho = -float(margins.agg(F.percentile("_neg_margin", F.lit(1.0 - nu))).first()[0]) + model.rho
+        model.rho = -percentile_threshold(margins, "_neg_margin", 100.0 * (1.0 - nu)) + model.rho
     finally:
         data.unpersist()
     return model

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlake.operators.quantiles import quantiles
+
 
 def percentile_threshold(df: DataFrame, score_col: str, percentile: float = 95.0,
                          mode: str = "exact", accuracy: int = 1_000_000) -> float:
-    """Linear-interpolated percentile of the scores (one-row aggregate action).
+    """Linear-interpolated percentile of the scores.
 
-    ``exact`` keeps a value->count map per task; use ``approx`` (a bounded
-    sketch, not interpolated) for very many distinct scores.
+    ``exact`` narrows to the wanted rank in bounded memory (:mod:`seqlake.operators.quantiles`);
+    ``approx`` is one pass of a sketch, not interpolated.
     """
-    x = F.col(score_col).cast("double")
     p = percentile / 100.0
-    agg = F.percentile(x, F.lit(p)) if mode == "exact" else F.percentile_approx(x, F.lit(p), accuracy)
-    v = df.select(agg.alias("t")).first()["t"]
+    if mode == "exact":
+        found = quantiles(df, [score_col], [p])[0]
+        v = found[0] if found else None
+    else:
+        v = df.select(F.percentile_approx(F.col(score_col).cast("double"), F.lit(p), accuracy).alias("t")).first()["t"]
     if v is None:
         raise ValueError("no scores to threshold")
     return float(v)

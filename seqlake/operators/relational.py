@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.operators.common import bounded_broadcast
+from seqlake.operators.quantiles import quantiles
 
 MERGE_SUFFIXES = {"sequence_features": "_seq", "mutation_profile": "_mut", "labels": "_label"}
 
@@ -47,38 +48,34 @@ def filter_missing_labels(df: DataFrame, label_column: str = "serotype") -> Data
 
 
 def quantile_bounds(df: DataFrame, column: str, lower: float = 0.01, upper: float = 0.99,
-                    mode: str = "exact", accuracy: int = 1_000_000) -> DataFrame:
-    """One-row frame ``lo, hi`` of linear-interpolated quantiles.
+                    mode: str = "exact", accuracy: int = 1_000_000) -> tuple[float, float] | None:
+    """``(lo, hi)``, linear-interpolated quantiles, or None without a value.
 
-    ``exact`` keeps a value->count map per task (size = distinct values, fine
-    for lengths and counts); ``approx`` uses the bounded-memory sketch for
-    continuous columns at very large scale.
+    ``exact`` narrows to the ranks in bounded memory; ``approx`` is one pass of a sketch.
     """
-    x = F.col(column).cast("double")
     if mode == "exact":
-        q = F.percentile(x, F.array(F.lit(lower), F.lit(upper)))
+        found = quantiles(df, [column], [lower, upper])[0]
     elif mode == "approx":
-        q = F.percentile_approx(x, F.array(F.lit(lower), F.lit(upper)), accuracy)
+        found = df.select(F.percentile_approx(F.col(column).cast("double"), F.array(F.lit(lower), F.lit(upper)), accuracy)).first()[0]
     else:
         raise ValueError(mode)
-    return df.select(q.alias("_q")).select(F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
+    return (float(found[0]), float(found[1])) if found else None
 
 
 def filter_outliers(df: DataFrame, column: str = "genome_length", lower: float = 0.01,
                     upper: float = 0.99, mode: str = "exact") -> DataFrame:
     """Keep ``q_lower <= x <= q_upper`` (inclusive); nulls dropped; no-op if absent.
 
-    The bounds are one aggregate action returning one row; the filter then
-    uses literals, so it reaches the Parquet scan (row-group skipping) when
-    the column is stored.
+    The bounds are found first; the filter then uses literals, so it reaches the
+    Parquet scan (row-group skipping) when the column is stored.
     """
     if column not in df.columns:
         return df
-    row = quantile_bounds(df, column, lower, upper, mode).first()
-    if row is None or row["lo"] is None:
+    bounds = quantile_bounds(df, column, lower, upper, mode)
+    if bounds is None:
         return df.where(F.lit(False))
     x = F.col(column).cast("double")
-    return df.where((x >= F.lit(row["lo"])) & (x <= F.lit(row["hi"])))
+    return df.where((x >= F.lit(bounds[0])) & (x <= F.lit(bounds[1])))
 
 
 def min_class_size(cv_folds: int = 5, test_size: float = 0.2) -> int:
