@@ -1,8 +1,9 @@
 """k-mer frequency features (long and wide) and inference-time extraction.
 
 Plan shape: k-mers are counted per input row (as the original does, record by
-record), so no shuffle is needed at all — a narrow ``mapInPandas`` stage whose
-per-row work is a vectorised numpy count. Measured at sf0.1 (18M windows) the
+record), so no shuffle is needed at all. The long form is a narrow ``mapInPandas``
+stage, the wide form one Arrow column function that Catalyst can prune; per-row
+work is a vectorised numpy count. Measured at sf0.1 (18M windows) the
 exploded-window SQL form (explode + substring + hash aggregate) took ~51 s on
 8 cores versus ~0.6 s here, and it also needed a shuffle on (sample, k-mer).
 
@@ -15,9 +16,9 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqlake.functions.sequence import gc_content
 
@@ -159,45 +160,50 @@ def kmer_counts(df: DataFrame, k: int = 3, mode: str = "strip",
 
 # ---------------------------------------------------------------- wide form
 
+def kmer_vector(seq, levels: list[str], k: int = 3, mode: str = "strip") -> Column:
+    """Frequencies of ``levels`` in one sequence as ``array<double>`` (0.0 when absent).
+
+    An Arrow column function, not a plan stage: Catalyst drops it from any plan
+    that uses none of its values, together with the sequence column it reads.
+    """
+    pos = {lv: i for i, lv in enumerate(levels)}
+    strip_map = None
+    if mode == "strip" and k <= 10:
+        strip_map = np.array([pos.get(lv, -1) for lv in kmer_levels(k)], np.int64)
+    width = len(levels)
+
+    @F.arrow_udf("array<double>")
+    def frequencies(seqs: pa.Array) -> pa.Array:
+        out = np.zeros((len(seqs), width), np.float64)
+        for r, text in enumerate(seqs.to_pylist()):
+            if strip_map is not None:
+                idx, cnt, tot = count_strip(text, k)
+                if tot:
+                    tgt = strip_map[idx]
+                    ok = tgt >= 0
+                    out[r, tgt[ok]] = cnt[ok] / tot
+            else:
+                km, cnt, tot = count_skip_n(text, k) if mode == "skip_n" else _strip_as_strings(text, k)
+                for word, c in zip(km, cnt):
+                    j = pos.get(word)
+                    if j is not None:
+                        out[r, j] = c / tot
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, max(width, 1), dtype=np.int32)[:len(seqs) + 1], out.ravel())
+
+    return frequencies(F.col(seq) if isinstance(seq, str) else seq)
+
+
 def kmer_wide_counts(df: DataFrame, levels: list[str], k: int = 3, mode: str = "strip",
                      seq_col: str = "sequence", prefix: str = "kmer_",
                      keep: list[str] | None = None) -> DataFrame:
     """Per row: ``keep`` columns + one frequency column per level (0.0 when absent).
 
-    Narrow: one ``mapInPandas`` stage, no shuffle, output width fixed by ``levels``.
+    Narrow, output width fixed by ``levels``; the vector is computed once per row,
+    and not at all where no frequency is used.
     """
     keep = [c for c in (keep or df.columns) if c != seq_col]
-    pos = {lv: i for i, lv in enumerate(levels)}
-    strip_map = None
-    if mode == "strip" and k <= 10:
-        full = kmer_levels(k)
-        strip_map = np.array([pos.get(lv, -1) for lv in full], np.int64)
-    fields = [df.schema[c] for c in keep] + [
-        T.StructField(f"{prefix}{lv}", T.DoubleType(), False) for lv in levels]
-    schema = T.StructType(fields)
-
-    def run(batches):
-        for pdf in batches:
-            out = np.zeros((len(pdf), len(levels)), np.float64)
-            for r, seq in enumerate(pdf[seq_col].tolist()):
-                if mode == "strip" and strip_map is not None:
-                    idx, cnt, tot = count_strip(seq, k)
-                    if tot:
-                        tgt = strip_map[idx]
-                        ok = tgt >= 0
-                        out[r, tgt[ok]] = cnt[ok] / tot
-                else:
-                    km, cnt, tot = (count_skip_n(seq, k) if mode == "skip_n" else
-                                    _strip_as_strings(seq, k))
-                    for s, c in zip(km, cnt):
-                        j = pos.get(s)
-                        if j is not None:
-                            out[r, j] = c / tot
-            res = pdf[keep].copy()
-            wide = pd.DataFrame(out, columns=[f"{prefix}{lv}" for lv in levels], index=pdf.index)
-            yield pd.concat([res, wide], axis=1)
-
-    return df.select(*keep, seq_col).mapInPandas(run, schema)
+    vec = df.select(*keep, kmer_vector(seq_col, levels, k, mode).alias("_kmers"))
+    return vec.select(*keep, *[F.col("_kmers")[i].alias(f"{prefix}{lv}") for i, lv in enumerate(levels)])
 
 
 def _strip_as_strings(seq, k):
