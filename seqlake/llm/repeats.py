@@ -43,6 +43,7 @@ from seqlake.session import materialize
 WINDOW, GRAM = 20, 5
 REACH = WINDOW - GRAM + 1  # shingles per window
 SHARD, HOT = 4_000, 20_000
+STEP = 4_000  # rows of an Arrow batch sent on
 NOTHING = hashlib.sha256(b"").hexdigest()
 _MULT = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(GRAM)]
 
@@ -169,20 +170,35 @@ def shared_seeds(seeds: DataFrame) -> DataFrame:
     return j.select("h", "t", "lo", "m", F.coalesce("en", "n").alias("n")).filter("n > 1")
 
 
+def _lists(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``(first entry of each row, and the end; flat arrays of the fields)`` of a column of lists of structs."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten()
+    ends = np.cumsum(np.concatenate(([0], column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    return ends, [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
+
+
 def _segments(texts: DataFrame) -> DataFrame:
     """``h, n, no, at, m, words``: the stretch of each shared seed's windows, of ``texts(no, z, spots)``."""
 
     def cut(batches):
         grow = zstandard.ZstdDecompressor()
         for batch in batches:
-            for no, z, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = grow.decompress(z).split(b" ")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["h"] for s in spots], pa.int64()), pa.array([s["n"] for s in spots], pa.int64()),
-                     pa.array([no] * len(spots), pa.int64()), pa.array([s["lo"] for s in spots], pa.int32()),
-                     pa.array([s["m"] for s in spots], pa.int32()),
-                     pa.array([b" ".join(words[s["lo"]:s["lo"] + s["m"] + WINDOW - 1]) for s in spots], pa.binary())],
-                    names=["h", "n", "no", "at", "m", "words"])
+            bounds, (h, n, lo, m) = _lists(batch.column(2), ("h", "n", "lo", "m"))
+            nos = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(bounds))
+            pieces: list[bytes] = []
+            at = 0
+            for r in range(batch.num_rows):
+                words = grow.decompress(batch.column(1)[r].as_py()).split(b" ")
+                for i in range(bounds[r], bounds[r + 1]):
+                    pieces.append(b" ".join(words[lo[i]:lo[i] + m[i] + WINDOW - 1]))
+                    if len(pieces) == STEP or i + 1 == bounds[-1]:
+                        to = at + len(pieces)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h[at:to]), pa.array(n[at:to]), pa.array(nos[at:to]), pa.array(lo[at:to], pa.int32()),
+                             pa.array(m[at:to], pa.int32()), pa.array(pieces, pa.binary())], names=["h", "n", "no", "at", "m", "words"])
+                        pieces, at = [], to
 
     return texts.select("no", "z", "spots").mapInArrow(cut, "h long, n long, no long, at int, m int, words binary")
 
@@ -194,14 +210,15 @@ def _hot_phrases(hot: DataFrame) -> DataFrame:
         for batch in batches:
             hs, ns, nos, ats, ms, segs = (batch.column(i).to_pylist() for i in range(6))
             out = []
-            for h, n, no, at, m, seg in zip(hs, ns, nos, ats, ms, segs):
+            for j, (h, n, no, at, m, seg) in enumerate(zip(hs, ns, nos, ats, ms, segs), 1):
                 w = seg.split(b" ")
                 out.extend((h, n, no, at + i, b" ".join(w[i:i + WINDOW])) for i in range(m))
-            for s in range(0, len(out), 10_000):
-                c = list(zip(*out[s:s + 10_000]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()),
-                     pa.array(c[4], pa.binary())], names=["h", "n", "no", "at", "words"])
+                if len(out) >= STEP or j == len(hs):
+                    c = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()),
+                         pa.array(c[4], pa.binary())], names=["h", "n", "no", "at", "words"])
+                    out = []
 
     each = hot.mapInArrow(windows, "h long, n long, no long, at int, words binary")
     place = F.struct("no", "at")
@@ -333,11 +350,13 @@ def _kept(texts: DataFrame) -> DataFrame:
         grow = zstandard.ZstdDecompressor()
         for batch in it:
             digests, removed, hashes = batch.column(0), [], []
-            for z, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = grow.decompress(z).split(b" ")
+            bounds, (a, b) = _lists(batch.column(2), ("a", "b"))
+            for r in range(batch.num_rows):
+                words = grow.decompress(batch.column(1)[r].as_py()).split(b" ")
+                mine = slice(bounds[r], bounds[r + 1])
                 gone = np.zeros(len(words) + 1, np.int64)
-                np.add.at(gone, [r["a"] for r in ranges], 1)
-                np.add.at(gone, [r["b"] for r in ranges], -1)
+                np.add.at(gone, a[mine], 1)
+                np.add.at(gone, b[mine], -1)
                 stay = np.cumsum(gone[:-1]) == 0
                 removed.append(len(words) - int(stay.sum()))
                 hashes.append(hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(stay).tolist()])).hexdigest())
