@@ -19,6 +19,7 @@ from seqlake.functions.sequence import to_numeric
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
+# fixed values: names that the rules look for, and columns that no detector uses
 META_FEATURES = ["year", "country", "region", "host", "genome_length"]
 PROTEIN_MARKERS = ["protein", "e_", "ns1", "ns3", "ns5"]
 DETECTOR_EXCLUDE = ["sample_id", "description", "serotype", "genotype", "country", "year",
@@ -28,32 +29,42 @@ LABEL_LEAK = ("_label",)
 
 # --- D1 ---------------------------------------------------------------------
 
+# group, how a name matches, word; a group holds a name that meets any of its rules
+GROUP_RULES = [("X_seq", "starts", "kmer_"), ("X_seq", "is", "gc_content"), ("X_mut", "holds", "mut"), ("X_mut", "holds", "length_diff"),
+               *[("X_prot", "holds", w) for w in PROTEIN_MARKERS], *[("X_meta", "is", w) for w in META_FEATURES]]
+DETECTOR_RULES = [("X", "starts", "kmer_"), ("X", "is", "gc_content"), ("X", "holds", "mut")]
+_MATCH = {"starts": lambda name, word: name.startswith(word), "is": lambda name, word: name == word,
+          "holds": lambda name, word: word in name.lower()}
+
+
+def _matching(columns: list[str], rules: list[tuple[str, str, str]]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {group: [] for group, _, _ in rules}
+    for c in columns:
+        for group in {g for g, how, word in rules if _MATCH[how](c, word)}:
+            out[group].append(c)
+    return out
+
+
 def group_features(columns: list[str]) -> dict[str, list[str]]:
     """Name-rule groups (may overlap): X_seq, X_mut, X_prot, X_meta."""
-    low = {c: c.lower() for c in columns}
-    return {
-        "X_seq": [c for c in columns if c.startswith("kmer_") or c == "gc_content"],
-        "X_mut": [c for c in columns if "mutation" in low[c] or "mut" in low[c]
-                  or "length_diff" in low[c]],
-        "X_prot": [c for c in columns if any(m in low[c] for m in PROTEIN_MARKERS)],
-        "X_meta": [c for c in columns if c in META_FEATURES],
-    }
+    return _matching(columns, GROUP_RULES)
 
 
 def features_for_task(feature_names: list[str], groups: dict[str, list[str]],
-                      task: str = "all") -> list[str]:
-    """``novelty``: names containing any X_seq/X_mut name; other tasks: all."""
-    if task == "novelty":
-        seq_mut = groups.get("X_seq", []) + groups.get("X_mut", [])
-        return [f for f in feature_names if any(x in f for x in seq_mut)]
-    return list(feature_names)
+                      task: str = "all", strict_names: bool = False) -> list[str]:
+    """``novelty``: names containing any X_seq/X_mut name; other tasks: all.
+
+    With ``strict_names`` only the names themselves count, not names that contain one.
+    """
+    if task != "novelty":
+        return list(feature_names)
+    wanted = [*groups.get("X_seq", []), *groups.get("X_mut", [])]
+    return [f for f in feature_names if (f in wanted if strict_names else any(w in f for w in wanted))]
 
 
 def novelty_feature_columns(columns: list[str]) -> list[str]:
-    """Detector auto-detect: kmer_*, gc_content, names containing mutation/mut."""
-    cols = [c for c in columns if c.startswith("kmer_") or c == "gc_content"
-            or "mutation" in c.lower() or "mut" in c.lower()]
-    return [c for c in cols if c not in DETECTOR_EXCLUDE]
+    """Detector auto-detect: k-mers, GC content and names of mutation features."""
+    return [c for c in _matching(columns, DETECTOR_RULES)["X"] if c not in DETECTOR_EXCLUDE]
 
 
 def open_set_feature_columns(columns: list[str], allow_label_features: bool = False) -> list[str]:
@@ -125,11 +136,6 @@ def _kinds_and_levels(df: DataFrame, columns: list[str], max_levels: int = 20, s
     for c in numeric:
         nu = len(levels[c]) if c in levels else 2 * max_levels
         kinds[c] = "categorical" if (nu < max_levels and nu < n * share) else "numeric"
-    if level_bound:
-        for c in columns:
-            if kinds[c] == "categorical" and c not in levels:
-                raise ValueError(f"{c}: more than {level_bound} levels; use sparse one-hot "
-                                 "(StringIndexer + OneHotEncoder) instead")
     return kinds, levels
 
 
@@ -142,15 +148,17 @@ def _level_text(v) -> str:
 
 
 def category_levels(df: DataFrame, columns: list[str], max_levels: int = 1000) -> dict[str, list]:
-    """Sorted distinct non-null levels per column, with a checked size bound."""
+    """Sorted distinct non-null levels of the columns narrow enough for a table column each.
+
+    A column of more than ``max_levels`` levels is left out, as it is in ``one_hot``; ``seqlake.operators.sparse``
+    encodes any number of levels.
+    """
     out = {}
     for c in columns:
         rows = (df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c)
                   .limit(max_levels + 1).collect())
-        if len(rows) > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels; use sparse one-hot "
-                             "(StringIndexer + OneHotEncoder) instead")
-        out[c] = [r[0] for r in rows]
+        if len(rows) <= max_levels:
+            out[c] = [r[0] for r in rows]
     return out
 
 
@@ -258,10 +266,19 @@ def scale_features(train: DataFrame, features: list[str], test: DataFrame | None
 
 @dataclass
 class FeatureSchema:
-    """Frozen feature schema: order, kinds, one-hot levels, source columns."""
+    """Frozen feature schema: order, kinds, one-hot levels, source columns.
+
+    ``wide`` columns have too many levels for a table column each; a ``SparseEncoder`` over ``numeric`` and
+    ``categorical`` holds all features of such a table.
+    """
     names: list[str]
     numeric: list[str]
     levels: dict[str, list]
+    wide: list[str] = field(default_factory=list)
+
+    @property
+    def categorical(self) -> list[str]:
+        return [*self.levels, *self.wide]
 
     def frame(self, spark) -> DataFrame:
         rows = []
@@ -290,18 +307,18 @@ class FeatureSchema:
     def to_json(self) -> str:
         return json.dumps({"names": self.names, "numeric": self.numeric,
                            "levels": {k: [_level_text(v) if isinstance(v, bool) else v for v in lv]
-                                      for k, lv in self.levels.items()}})
+                                      for k, lv in self.levels.items()}, "wide": self.wide})
 
     @staticmethod
     def from_json(s: str) -> "FeatureSchema":
         d = json.loads(s)
-        return FeatureSchema(d["names"], d["numeric"], d["levels"])
+        return FeatureSchema(d["names"], d["numeric"], d["levels"], d.get("wide", []))
 
 
 def fit_feature_schema(df: DataFrame, target: str = "serotype",
                        exclude: list[str] | None = None,
                        allow_label_features: bool = False, max_levels: int = 1000) -> FeatureSchema:
-    """Decide kinds once (frozen), collect one-hot levels, fix the column order."""
+    """Decide kinds once (frozen), collect the levels of narrow columns, list the wide ones, fix the column order."""
     exclude = list(exclude if exclude is not None else ["sample_id", "description"]) + [target]
     cols = [c for c in df.columns if c not in exclude]
     if not allow_label_features:
@@ -309,11 +326,11 @@ def fit_feature_schema(df: DataFrame, target: str = "serotype",
     kinds, found = _kinds_and_levels(df, cols, level_bound=max_levels)
     cats = [c for c in cols if kinds[c] == "categorical"]
     numeric = [c for c in cols if kinds[c] == "numeric"]
-    levels = {c: found[c] for c in cats}
+    levels = {c: found[c] for c in cats if c in found and len(found[c]) <= max_levels}
     names = list(numeric)
-    for c in cats:
+    for c in levels:
         names += [f"{c}_{_level_text(v)}" for v in levels[c][1:]]
-    return FeatureSchema(names, numeric, levels)
+    return FeatureSchema(names, numeric, levels, [c for c in cats if c not in levels])
 
 
 def prepare_features(df: DataFrame, schema: FeatureSchema, keep: list[str] | None = None) -> DataFrame:

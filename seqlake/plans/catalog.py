@@ -952,9 +952,9 @@ def q_random_forest_predictions(spark, sf_dir):
 
 @register("gbt_predictions")
 def q_gbt_predictions(spark, sf_dir):
-    """F2 + F12: one-vs-rest boosted trees (depth 6, rate 0.1, 100 rounds)."""
+    """F2 + F12: softmax-boosted trees (depth 6, rate 0.1, 100 rounds)."""
     schema, S = _task1_frames(spark, sf_dir)
-    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "gbt_ovr")
+    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "softmax_boost")
     return clf.predict(S.where(F.col("is_test")), keep=["sample_id", "serotype"])
 
 
