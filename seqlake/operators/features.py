@@ -32,6 +32,8 @@ LABEL_LEAK = ("_label",)
 # group, how a name matches, word; a group holds a name that meets any of its rules
 GROUP_RULES = [("X_seq", "starts", "kmer_"), ("X_seq", "is", "gc_content"), ("X_mut", "holds", "mut"), ("X_mut", "holds", "length_diff"),
                *[("X_prot", "holds", w) for w in PROTEIN_MARKERS], *[("X_meta", "is", w) for w in META_FEATURES]]
+STRICT_RULES = [*[r for r in GROUP_RULES if r[0] != "X_prot"], ("X_prot", "holds", "protein"),
+                *[("X_prot", "starts", f"{g}_") for g in ("E", "NS1", "NS2A", "NS2B", "NS3", "NS4A", "NS4B", "NS5")]]
 DETECTOR_RULES = [("X", "starts", "kmer_"), ("X", "is", "gc_content"), ("X", "holds", "mut")]
 _MATCH = {"starts": lambda name, word: name.startswith(word), "is": lambda name, word: name == word,
           "holds": lambda name, word: word in name.lower()}
@@ -45,21 +47,22 @@ def _matching(columns: list[str], rules: list[tuple[str, str, str]]) -> dict[str
     return out
 
 
-def group_features(columns: list[str]) -> dict[str, list[str]]:
-    """Name-rule groups (may overlap): X_seq, X_mut, X_prot, X_meta."""
-    return _matching(columns, GROUP_RULES)
+def group_features(columns: list[str], strict_names: bool = False) -> dict[str, list[str]]:
+    """Name-rule groups (may overlap): X_seq, X_mut, X_prot, X_meta.
 
+    The loose word ``e_`` also takes ``sample_id`` or ``genome_length`` for protein features; with
+    ``strict_names`` these need the word "protein" or the prefix of a gene (``E_``, ``NS1_`` ...).
+    """
+    return _matching(columns, STRICT_RULES if strict_names else GROUP_RULES)
 
-def features_for_task(feature_names: list[str], groups: dict[str, list[str]],
-                      task: str = "all", strict_names: bool = False) -> list[str]:
-    """``novelty``: names containing any X_seq/X_mut name; other tasks: all.
 
-    With ``strict_names`` only the names themselves count, not names that contain one.
-    """
+def features_for_task(feature_names: list[str], groups: dict[str, list[str]],
+                      task: str = "all") -> list[str]:
+    """``novelty``: names containing any X_seq/X_mut name; other tasks: all."""
     if task != "novelty":
         return list(feature_names)
     wanted = [*groups.get("X_seq", []), *groups.get("X_mut", [])]
-    return [f for f in feature_names if (f in wanted if strict_names else any(w in f for w in wanted))]
+    return [f for f in feature_names if any(w in f for w in wanted)]
 
 
 def novelty_feature_columns(columns: list[str]) -> list[str]:
@@ -92,6 +95,17 @@ def alignment_report(columns: list[str], expected: list[str]) -> dict[str, list[
             "extra": [c for c in columns if c not in exp]}
 
 
+def alignment_frame(df: DataFrame, expected: list[str], keep: list[str] | None = None) -> DataFrame:
+    """``feature, status, n_values``: each expected or extra column (``missing``, ``extra``, ``present``) with its non-null values."""
+    found = alignment_report([c for c in df.columns if c not in (keep or [])], expected)
+    status = {**{c: "present" for c in expected}, **{c: "missing" for c in found["missing"]}, **{c: "extra" for c in found["extra"]}}
+    count = lambda c: F.lit(0).cast("long") if status[c] == "missing" else F.count(F.col(c))
+    one = df.agg(*[count(c).alias(f"n{i}") for i, c in enumerate(status)])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(s).alias("status"), F.col(f"n{i}").alias("n_values"))
+                               for i, (c, s) in enumerate(status.items())])).alias("r")
+    return one.select(rows).select("r.*")
+
+
 def coerce_numeric(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """Each column as double: booleans -> 0/1, unparsable or null -> 0."""
     keep = [c for c in (keep or []) if c in df.columns]

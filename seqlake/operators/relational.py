@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,15 @@ def _suffix_overlaps(left: DataFrame, right: DataFrame, key: str, suffix: str) -
     return right.select(*[F.col(c).alias(c + suffix if c in clash else c) for c in right.columns])
 
 
+def null_id_counts(tables: dict[str, DataFrame | None], key: str = "sample_id") -> DataFrame:
+    """``table_name, n_rows, n_null_ids``: rows that no merge can match, per table given."""
+    parts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(key).isNull()).alias("n_null_ids"))
+             for name, df in tables.items() if df is not None]
+    if not parts:
+        raise ValueError("no table given")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def merge_tables(metadata: DataFrame, sequence_features: DataFrame | None = None,
                  mutation_profile: DataFrame | None = None, labels: DataFrame | None = None,
                  key: str = "sample_id") -> DataFrame:

@@ -75,8 +75,6 @@ def hash_sample(df: DataFrame, n: int, id_col: str = "sample_id", seed=42) -> Da
 
 def hash_head(df: DataFrame, n: int, id_col: str = "sample_id", seed=42) -> DataFrame:
     """Like :func:`hash_sample` for any ``n``: ranks with bounded tasks, no global sort."""
-    if n <= 10_000:
-        return hash_sample(df, n, id_col, seed)
     return hash_rank(df, None, id_col, seed).where(F.col("_rank") <= n).drop("_rank")
 
 
@@ -94,16 +92,29 @@ def _rest(df: DataFrame, column: str, train_values) -> DataFrame:
     return filter_membership(df.where(F.col(column).isNotNull()), column, train_values, negate=True)
 
 
+def _holdout(train: DataFrame, n_novel: int, novel: DataFrame, id_col: str, seed, truth_col: str):
+    """Known test rows taken out of ``train``: min(n_novel, n_train // 4) rows first in hash order."""
+    from seqlake.operators.relational import union_with_truth
+
+    n = min(n_novel, train.count() // 4)
+    ranked = hash_rank(train, None, id_col, seed)
+    known = ranked.where(F.col("_rank") <= n).drop("_rank")
+    return ranked.where(F.col("_rank") > n).drop("_rank"), union_with_truth(known, novel, truth_col)
+
+
 def novelty_split(df: DataFrame, train_values=None, test_values=None, column: str = "genotype",
-                  id_col: str = "sample_id", seed=42, truth_col: str = "y_true"):
+                  id_col: str = "sample_id", seed=42, truth_col: str = "y_true", known_from: str = "rest"):
     """Return ``(train, test)``; test carries 0 (known) / 1 (novel) truth.
 
     Known test rows are rows whose value is in neither list (nulls included),
     as many as there are novel rows, first in hash order. Without a test list
     every non-train row is novel. Defaults: first value by name vs the rest.
+    ``known_from='train_holdout'`` takes the known test rows out of the training rows instead.
     """
     from seqlake.operators.relational import filter_membership, union_with_truth
 
+    if known_from not in ("rest", "train_holdout"):
+        raise ValueError(f"unknown known_from {known_from!r}")
     default = train_values is None
     if default:
         names = _names(df, column, 2)
@@ -114,10 +125,14 @@ def novelty_split(df: DataFrame, train_values=None, test_values=None, column: st
     if default:  # every other named value is novel; known rows are the unnamed ones
         novel = _rest(df, column, train_values)
         n_novel = novel.count()
+        if known_from == "train_holdout":
+            return _holdout(train, n_novel, novel, id_col, seed, truth_col)
         known = hash_head(df.where(F.col(column).isNull()), n_novel, id_col, seed)
         return train, union_with_truth(known, novel, truth_col)
     if test_values:
         novel = filter_membership(df, column, test_values)
+        if known_from == "train_holdout":
+            return _holdout(train, novel.count(), novel, id_col, seed, truth_col)
         rest = filter_membership(filter_membership(df, column, train_values, negate=True),
                                  column, test_values, negate=True)
         n_novel = novel.count()
@@ -128,9 +143,10 @@ def novelty_split(df: DataFrame, train_values=None, test_values=None, column: st
 
 
 def open_set_split(df: DataFrame, train_values=None, test_values=None, column: str = "serotype",
-                   id_col: str = "sample_id", seed=42, truth_col: str = "y_true"):
+                   id_col: str = "sample_id", seed=42, truth_col: str = "y_true", known_from: str = "train"):
     """Return ``(train, test)``; known test rows are min(n_novel, n_train // 4)
-    train rows first in hash order. Defaults: first two values by name vs rest."""
+    train rows first in hash order. Defaults: first two values by name vs rest.
+    With ``known_from='train_holdout'`` these rows leave the training rows."""
     from seqlake.operators.relational import filter_membership, union_with_truth
 
     default = train_values is None
@@ -142,6 +158,8 @@ def open_set_split(df: DataFrame, train_values=None, test_values=None, column: s
     train = filter_membership(df, column, train_values)
     if (default and len(names) >= 3) or (not default and test_values):
         novel = _rest(df, column, train_values) if default else filter_membership(df, column, test_values)
+        if known_from == "train_holdout":
+            return _holdout(train, novel.count(), novel, id_col, seed, truth_col)
         n = min(novel.count(), train.count() // 4)
         known = hash_head(train, n, id_col, seed)
         return train, union_with_truth(known, novel, truth_col)

@@ -456,6 +456,73 @@ def q_prediction_summary(spark, sf_dir):
                  F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+_PREDICTED_SQL = _det_ctes("euclidean") + f"""
+, m_sc as (select e.vec_id, e.is_train, {_DIST_SQL['manhattan']} as err from emb e, c),
+  m_th as (select quantile_cont(err, 0.95) as t from m_sc where is_train),
+  pred as (select 'V' || fl.vec_id as sample_id, 'DENV-' || (label % 4 + 1) as predicted_serotype, is_novel as is_novel_genotype,
+                  score as anomaly_score, err > m_th.t as is_potential_new_serotype, err as reconstruction_error
+           from fl join m_sc using (vec_id), m_th)
+"""
+
+
+def _predictions(spark, sf_dir):
+    """Rows in the columns of the inference output, scored by two centroid detectors."""
+    e = embedding_rows(spark, sf_dir)
+    near = fit_centroid(e.where("is_train"), "features", "euclidean")
+    far = fit_centroid(e.where("is_train"), "features", "manhattan")
+    s = far.score(near.score(e.where(~F.col("is_train")), "features", "anomaly_score"), "features", "reconstruction_error")
+    return s.select(F.concat(F.lit("V"), "vec_id").alias("sample_id"),
+                    F.concat(F.lit("DENV-"), (F.col("label") % 4 + 1).cast("string")).alias("predicted_serotype"),
+                    (F.col("anomaly_score") > near.threshold).alias("is_novel_genotype"), "anomaly_score",
+                    F.lit(near.threshold).alias("novelty_threshold"),
+                    (F.col("reconstruction_error") > far.threshold).alias("is_potential_new_serotype"), "reconstruction_error",
+                    F.lit(far.threshold).alias("open_set_threshold"))
+
+
+def _flag_hist_sql(flag: str, score: str) -> str:
+    return f"""
+select '{score}' as section, null as key, {flag} as flag, bin, round(lo + bin * w, 6) as lo, round(lo + bin * w + w, 6) as hi, count(*) as count
+from (select {flag}, lo, w, case when w = 0 then 0 else least(floor(({score} - lo) / w)::int, 29) end as bin
+      from pred, (select min({score}) as lo, (max({score}) - min({score})) / 30 as w from pred) e) h
+group by {flag}, bin, lo, w"""
+
+
+@register("prediction_report", _PREDICTED_SQL + """
+select 'total' as section, null as key, null::boolean as flag, null::int as bin, null::double as lo, null::double as hi, count(*) as count from pred
+union all select 'serotype', predicted_serotype, null, null, null, null, count(*) from pred group by 2
+union all select 'novel_genotype', null, is_novel_genotype, null, null, null, count(*) from pred group by 3
+union all select 'potential_new_serotype', null, is_potential_new_serotype, null, null, null, count(*) from pred group by 3
+union all """ + _flag_hist_sql("is_novel_genotype", "anomaly_score") + " union all " + _flag_hist_sql(
+    "is_potential_new_serotype", "reconstruction_error"))
+def q_prediction_report(spark, sf_dir):
+    """I15 + I6: totals, serotypes, both flags and 30-bin score histograms by flag, from one scan of the inference columns."""
+    from seqlake.operators.report import prediction_report
+
+    r = prediction_report(_predictions(spark, sf_dir))
+    return r.select("section", "key", "flag", "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "count")
+
+
+@register("open_set_alerts", _PREDICTED_SQL + """
+select sample_id, round(reconstruction_error, 6) as reconstruction_error from pred where is_potential_new_serotype
+order by pred.reconstruction_error desc, sample_id limit 10""")
+def q_open_set_alerts(spark, sf_dir):
+    """Rows flagged as potential new serotypes, largest reconstruction error first, first 10."""
+    from seqlake.operators.relational import alert_list
+
+    a = alert_list(_predictions(spark, sf_dir), "is_potential_new_serotype", "reconstruction_error", "sample_id", 10)
+    return a.select("sample_id", F.round("reconstruction_error", 6).alias("reconstruction_error"))
+
+
+@register("svm_gamma", _det_ctes("euclidean") + """
+select round(1.0 / (64 * var_pop(v)), 9) as gamma from (select unnest(features) as v from emb where is_train) a""")
+def q_svm_gamma(spark, sf_dir):
+    """gamma 'scale' = 1 / (entries per row x population variance of all entries) of the training rows."""
+    from seqlake.operators.models.ocsvm import scale_gamma
+
+    train = embedding_rows(spark, sf_dir).where("is_train")
+    return train.select("vec_id").agg(F.count(F.lit(1)).alias("n")).select(F.round(F.lit(scale_gamma(train, "features")[0]), 9).alias("gamma"))
+
+
 # ------------------------------------- G1-G4: multiclass on the text rule --
 
 _PRED_SQL = f"""
@@ -883,6 +950,80 @@ def q_scaled_features(spark, sf_dir):
     return out.select("sample_id", *[F.round(x, 6).alias(x) for x in _SCALE_COLS])
 
 
+@register("class_weights", """
+, n as (select serotype, count(*) as c from cleaned group by serotype)
+select serotype, c as n_samples, round((select sum(c) from n)::double / ((select count(*) from n) * c), 9) as weight from n""")
+def q_class_weights(spark, sf_dir):
+    """balanced class weights n / (k x n_class) of the cleaned samples."""
+    from seqlake.operators.models.classify import class_weights
+
+    w = class_weights(derived.cleaned(spark, sf_dir).select("serotype"), "serotype")
+    return w.groupBy("serotype").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.max("weight"), 9).alias("weight"))
+
+
+@register("null_id_counts", """
+select 'metadata' as table_name, count(*) as n_rows, count(*) filter (where sample_id::bigint % 13 = 0) as n_null_ids from metadata
+union all select 'mutation_profile', count(*), count(*) filter (where sample_id::bigint % 13 = 0) from mutation""")
+def q_null_id_counts(spark, sf_dir):
+    """Rows per table whose id is null and which the merge therefore drops (every 13th id blanked)."""
+    blank = lambda d: d.withColumn("sample_id", F.when(F.col("sample_id").cast("long") % 13 != 0, F.col("sample_id")))
+    return relational.null_id_counts({"metadata": blank(derived.metadata(spark, sf_dir)),
+                                      "mutation_profile": blank(derived.mutation_profile(spark, sf_dir)), "labels": None})
+
+
+@register("alignment_report", """
+select unnest(['gc_content', 'kmer_AAA', 'kmer_ACG', 'kmer_NNN', 'genome_length', 'total_mutations', 'length_diff', 'mutation_density']) as feature,
+       unnest(['present', 'missing', 'missing', 'missing', 'missing', 'missing', 'extra', 'extra']) as status,
+       unnest([(select count(*) from raw), 0, 0, 0, 0, 0, (select count(*) from raw), (select count(*) from raw)])::bigint as n_values""")
+def q_alignment_report(spark, sf_dir):
+    """Expected columns that are present or missing and extra ones, with their non-null values."""
+    m = derived.mutation_profile(spark, sf_dir)
+    gc = derived.raw_sequences(spark, sf_dir).select("sample_id", sf.gc_content("sequence").alias("gc_content"))
+    return features.alignment_frame(m.join(gc, "sample_id"), EXPECTED_DEMO, keep=["sample_id"])
+
+
+@register("feature_meaning_means", """
+, m as (""" + " union all ".join(f"select '{c}' as feature, avg({c}) as mean from cleaned" for c in _KIND_NUMERIC) + """)
+select feature, round(mean, 6) as mean,
+       case when contains(lower(feature), 'gc_content') then 'GC Content - Overall nucleotide composition'
+            when contains(lower(feature), 'mutation_density') then 'Mutation Density - Rate of genetic variation'
+            when contains(lower(feature), 'kmer_') then 'k-mer frequencies - Sequence patterns'
+            else 'Other feature' end as biological_interpretation from m""")
+def q_feature_meaning_means(spark, sf_dir):
+    """H4: mean of every numeric feature of the cleaned samples with its meaning."""
+    m = eda.column_means(derived.cleaned(spark, sf_dir), _KIND_NUMERIC)
+    return interpret.map_features(m.select("feature", F.round("mean", 6).alias("mean")))
+
+
+@register("csv_input", """
+select sample_id, description, serotype, genotype, country, year, host, genome_length::varchar as genome_length,
+       is_complete::varchar as is_complete from metadata""")
+def q_csv_input(spark, sf_dir):
+    """A2: one CSV with a header, read as text columns."""
+    import uuid
+
+    from seqlake.session import ensure_checkpoint_dir
+    from seqlake.sources.tables import load_input, write_table
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/input-{uuid.uuid4().hex}.csv"
+    return load_input(spark, write_table(derived.metadata(spark, sf_dir), path, fmt="csv"))
+
+
+@register("novelty_split_holdout", f"""
+, tr as (select sample_id, genotype, row_number() over (order by {_HK}, sample_id) as rn, count(*) over () as n
+         from cleaned where genotype = (select min(genotype) from cleaned)),
+  nv as (select sample_id, genotype from cleaned where genotype is not null and genotype <> (select min(genotype) from cleaned)),
+  q as (select least((select count(*) from nv), max(n) // 4) as q from tr)
+select sample_id, genotype, case when rn <= q.q then 'test' else 'train' end as role, case when rn <= q.q then 0 end as y_true from tr, q
+union all select sample_id, genotype, 'test', 1 from nv""")
+def q_novelty_split_holdout(spark, sf_dir):
+    """E3 with known test rows held out of the training rows."""
+    c = derived.cleaned(spark, sf_dir).select("sample_id", "genotype")
+    train, test = splits.novelty_split(c, column="genotype", known_from="train_holdout")
+    return (train.select("sample_id", "genotype", F.lit("train").alias("role"), F.lit(None).cast("int").alias("y_true"))
+            .unionByName(test.select("sample_id", "genotype", F.lit("test").alias("role"), "y_true")))
+
+
 # ------------------------------------------------ A3: GenBank round trip ---
 
 @register("genbank_roundtrip", f"""
@@ -934,11 +1075,53 @@ def _task1_frames(spark, sf_dir):
     return _TASK1[key]
 
 
-@register("prepared_features")
+_PREP_NUMERIC = ["genome_length", "gc_content", *[f"kmer_{lv}" for lv in LEVELS], "length_diff", "mutation_density"]
+# levels of the derived samples, first one dropped; is_complete is a boolean
+_PREP_LEVELS = {"genotype": sorted(f"src{i}" for i in range(20))[1:], "country": [f"country_{i}" for i in range(1, 6)],
+                "year": [str(y) for y in range(1991, 2020)], "host": ["Homo sapiens"], "is_complete": ["True"]}
+_PREP_SQL = [(c, f"coalesce({c}::double, 0)") for c in _PREP_NUMERIC] + [
+    (f"{c}_{v}", f"coalesce(({c} = " + ("true" if v == "True" else f"'{v}'") + ")::int, 0)::double")
+    for c, lv in _PREP_LEVELS.items() for v in lv]
+
+
+@register("prepared_features", f"""
+, big as (select * from cleaned where serotype in (select serotype from cleaned group by serotype having count(*) >= 7)),
+  r as (select *, row_number() over (partition by serotype order by {_HK}, sample_id) as rn,
+               count(*) over (partition by serotype) as cn from big),
+  x as (select sample_id, serotype, rn <= round(cn * 0.2) as is_test, """ + ", ".join(f'{e} as "{n}"' for n, e in _PREP_SQL) + """ from r),
+  st as (select """ + ", ".join(f'avg("{n}") as m{i}, stddev_pop("{n}") as s{i}' for i, (n, _) in enumerate(_PREP_SQL)) + """ from x where not is_test)
+select sample_id, serotype, is_test, """ + ", ".join(
+    f'round(("{n}" - m{i}) / case when s{i} = 0 then 1 else s{i} end, 6) as "{n}"' for i, (n, _) in enumerate(_PREP_SQL)) + """
+from x, st""")
 def q_prepared_features(spark, sf_dir):
-    """Frozen schema (kinds, one-hot levels, order) applied to every row."""
-    _, S = _task1_frames(spark, sf_dir)
-    return S
+    """Frozen schema (kinds, one-hot levels, order) and scaling applied to every row."""
+    schema, S = _task1_frames(spark, sf_dir)
+    return S.select("sample_id", "serotype", "is_test", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in schema.names])
+
+
+@register("sparse_features", f"""
+, big as (select * from cleaned where serotype in (select serotype from cleaned group by serotype having count(*) >= 7)),
+  n as (select count(*) as n from big),
+  cells as (select sample_id, 'country' as c, country as v from big union all select sample_id, 'genotype', genotype from big
+            union all select sample_id, 'year', year from big),
+  lv as (select c, v, count(*) as k, row_number() over (order by c, v) - 1 as place,
+                min(v) over (partition by c) as low, dense_rank() over (order by c) as ci from cells where v is not null group by c, v),
+  slots as (select c, v, place - ci + 2 as pos, 1 / sqrt((k / n.n) * (1 - k / n.n)) as value from lv, n where v <> low)
+select b.sample_id, s.pos::int as slot, round(s.value, 6) as value
+from cells b join slots s on s.c = b.c and s.v = b.v
+union all
+select sample_id, p as slot, round((x - avg(x) over (partition by p)) / stddev_pop(x) over (partition by p), 6) as value
+from (select sample_id, 0 as p, coalesce(gc_content, 0) as x from big union all select sample_id, 1, genome_length::double from big) y""")
+def q_sparse_features(spark, sf_dir):
+    """D4 + D7: sparse one-hot of any number of levels, one row per filled slot (two numeric slots first)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from seqlake.operators.sparse import fit_sparse
+
+    big = relational.filter_min_class(derived.cleaned(spark, sf_dir), "serotype")
+    enc = fit_sparse(big, ["gc_content", "genome_length"], ["country", "genotype", "year"])
+    v = enc.vectors(big, ["sample_id"]).select("sample_id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return v.where("value <> 0 or slot < 2").select("sample_id", "slot", F.round("value", 6).alias("value"))
 
 
 @register("random_forest_predictions")
@@ -1011,30 +1194,38 @@ def q_autoencoder_errors(spark, sf_dir):
         "vec_id", "label", "y_true", "reconstruction_error", "is_potential_new")
 
 
-@register("shapley_attributions")
-def q_shapley_attributions(spark, sf_dir):
-    """H2 + H3: sampled Shapley values of the forest's first-class probability
-    for 100 hash-sampled rows against 50 background rows; mean |value| top 20."""
-    from seqlake.operators.models.shapley import sampled_shapley
-
+def _explained(spark, sf_dir):
+    """The forest, and exact attributions of its first class for 100 hash-sampled rows."""
     schema, S = _task1_frames(spark, sf_dir)
     clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest")
-    rows = splits.hash_sample(S, 100, seed=42)
-    bg = splits.hash_sample(S.where(~F.col("is_test")), 50, seed=7)
-    attr = sampled_shapley(clf, rows, bg)
+    return clf, S
+
+
+@register("shapley_attributions")
+def q_shapley_attributions(spark, sf_dir):
+    """H2 + H3: exact tree Shapley values of the forest's first-class probability
+    for 100 hash-sampled rows; mean |value| top 20."""
+    clf, S = _explained(spark, sf_dir)
+    attr, _ = clf.attributions(splits.hash_sample(S, 100, seed=42))
     return interpret.attribution_summary(attr, 20)
 
 
+@register("attribution_breakdown")
+def q_attribution_breakdown(spark, sf_dir):
+    """H3: the way of one row (first in hash order) from the forest's base value to its probability."""
+    from seqlake.operators.models.pathshap import breakdown
+
+    clf, S = _explained(spark, sf_dir)
+    attr, base = clf.attributions(splits.hash_sample(S, 1, seed=42))
+    return breakdown(attr, base, "sample_id")
+
+
 @register("interpretation_report")
 def q_interpretation_report(spark, sf_dir):
     """H5: importance and attribution sections with meanings, one tidy table."""
-    from seqlake.operators.models.shapley import sampled_shapley
-
-    schema, S = _task1_frames(spark, sf_dir)
-    clf = fit_classifier(S.where(~F.col("is_test")), schema.names, "serotype", "random_forest")
+    clf, S = _explained(spark, sf_dir)
     imp = interpret.top_importances(clf.importances(), spark, 20)
-    attr = sampled_shapley(clf, splits.hash_sample(S, 100, seed=42),
-                           splits.hash_sample(S.where(~F.col("is_test")), 50, seed=7))
+    attr, _ = clf.attributions(splits.hash_sample(S, 100, seed=42))
     return interpret.interpretation_report(imp, attr, 20)
 
 
