@@ -77,4 +77,42 @@ def materialize(df, name: str):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._table_path = path
+    return out
+
+
+def materialize_by(df, name: str, column: str):
+    """Like :func:`materialize`, in buckets of ``column``: joins on it read the table without a shuffle.
+
+    ``spark.sql.shuffle.partitions`` buckets of one file each; the table is an external one of a unique name.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{base}/tables/{table}"
+    df.repartition(buckets, column).write.format("parquet").option("path", path).bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+    out = spark.table(table)
+    out._table_path, out._table_name = path, table
+    return out
+
+
+def discard(*frames) -> None:
+    """Delete stored tables that nothing needs any more: their dependents are stored, or fully read.
+
+    Call it only with the very frames that :func:`materialize` or :func:`materialize_by` returned.
+    """
+    for df in frames:
+        path = getattr(df, "_table_path", None)
+        if path is None:
+            continue
+        spark = df.sparkSession
+        name = getattr(df, "_table_name", None)
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        df._table_path = None
