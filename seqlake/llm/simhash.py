@@ -20,15 +20,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlake.operators.ids import dense_index
 from seqlake.session import materialize
 
 LANE_BITS, LANES = 21, 3
 LANE_MASK = (1 << LANE_BITS) - 1
 SUMS = -(-64 // LANES)
-ROWS_PER_RANGE = 4000
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEX_ONES = {f"{v:x}": bin(v).count("1") for v in range(16)}
@@ -83,11 +83,11 @@ def likeness(a: Column, b: Column) -> Column:
     return (F.lit(64) - distance(a, b)) / F.lit(64.0)
 
 
-def near_pairs(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def near_pairs(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """``query, fingerprint, distance``: for every distinct query all distinct fingerprints within ``radius`` bits.
 
-    Both frames have the column ``fingerprint``. Blocks are runs of bits of the
-    64-character bit string; one table per choice of ``blocks - radius`` blocks.
+    Both frames have the column ``fingerprint``. Blocks are runs of bits; one table per choice of
+    ``blocks - radius`` blocks, whose bits are hashed to one key.
     """
     if not 0 < radius < blocks <= 16:
         raise ValueError("need 0 < radius < blocks <= 16")
@@ -96,47 +96,13 @@ def near_pairs(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
         df = df.select("fingerprint").filter("fingerprint is not null").distinct().withColumn("_bits", bits)
-        keys = [F.concat_ws("|", F.lit(str(t)), *[F.substring("_bits", edge[i] + 1, edge[i + 1] - edge[i]) for i in chosen])
+        keys = [F.xxhash64(F.lit(t), *[F.substring("_bits", edge[i] + 1, edge[i + 1] - edge[i]) for i in chosen])
                 for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
         return df.select(F.col("fingerprint").alias(name), F.explode(F.array(*keys)).alias("_key"))
 
-    hit = keyed(queries, "query").join(keyed(fps, "fingerprint"), "_key").select("query", "fingerprint").distinct()
+    hit = keyed(queries, "query").join(keyed(fps, "fingerprint"), "_key").select("query", "fingerprint")
     hit = hit.withColumn("distance", distance(F.col("query"), F.col("fingerprint")))
-    return hit.filter(F.col("distance") <= radius)
-
-
-def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``row, next_row, doc_id, text, next_text`` in descending doc_id; the last is followed by the first.
-
-    Ids are cut into ranges at quantiles, ordered inside each range, and the
-    first row of a range (one per range) follows the last of the range before.
-    """
-    rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = n // ROWS_PER_RANGE + 1
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0]
-    cuts = sorted(set(cuts or []), reverse=True)
-    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
-        raise TypeError("doc_id must be an integer")
-    below = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0),
-                        lambda k, c: k + F.when(F.col("doc_id") < c, 1).otherwise(0))
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(below))
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-    rows = materialize(rows.withColumn("last", F.lead(F.lit(1)).over(order).isNull()), "simhash-rows")
-    heads = rows.filter("at = 1").select(F.col("range").alias("head"), F.col("text").alias("head_text"))
-    # one row per range that has rows, numbered in order: their count is rows / ROWS_PER_RANGE
-    each = heads.select("head").distinct()
-    turn = Window.partitionBy(F.lit(0)).orderBy("head")
-    follows = each.select("head", F.coalesce(F.lead("head").over(turn), F.first("head").over(turn)).alias("after"))
-    follows = follows.join(heads.select(F.col("head").alias("after"), "head_text"), "after").select(
-        F.col("head").alias("range"), F.lit(True).alias("last"), "after", "head_text")
-    rows = rows.join(follows, ["range", "last"], "left")
-    return rows.select(
-        F.struct("range", "at").alias("row"),
-        F.when(F.col("last"), F.struct(F.col("after").alias("range"), F.lit(1).alias("at"))).otherwise(
-            F.struct(F.col("range"), (F.col("at") + 1).alias("at"))).alias("next_row"),
-        "doc_id", "text", F.when(F.col("last"), F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"))
+    return hit.filter(F.col("distance") <= radius).distinct()
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -146,20 +112,69 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(other, F.lit(1), half))
 
 
-def fingerprint_report(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Fingerprints of every text and its edited text, and their likenesses."""
-    rows = with_next(docs, text).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    pair = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")),
-                   F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
-    prints = fingerprints(rows.select("row", F.explode(pair).alias("e")).select("row", "e.kind", F.col("e.t").alias("text")),
-                          ["row", "kind"])
-    own = prints.groupBy("row").agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"),
-                                    F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    own = materialize(own, "simhash-prints")
-    facts = rows.select("row", "next_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"),
-                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    following = own.select(F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
-    out = facts.join(own, "row").join(following, "next_row")
+def in_order(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``h1, h2, doc_id, n, m, p, b1, b2, half``: the distinct rows in descending id, without their texts.
+
+    ``h1, h2`` tell rows of other id or text apart, ``n`` is the length in code points, ``m`` how often the row
+    occurs and ``p`` its place from 0. ``b1, b2`` name the row before (the first's is the last), which takes the first
+    ``half`` code points. The order is a range sort of these short rows.
+    """
+    keys = _row_keys(docs, text)
+    rows = keys.groupBy("h1", "h2").agg(F.first("doc_id").alias("doc_id"), F.first(F.char_length("text")).cast("long").alias("n"),
+                                        F.count(F.lit(1)).alias("m"))
+    rows = dense_index(rows, order_by=[F.col("doc_id").desc_nulls_last(), F.col("h1"), F.col("h2")], col="p", start=0)
+    rows = materialize(rows, "simhash-order")
+    size = rows.count()
+    before = rows.select(F.pmod(F.col("p") + 1, F.lit(max(size, 1))).alias("p"), F.col("h1").alias("b1"), F.col("h2").alias("b2"),
+                         F.floor(F.col("n") / 2).cast("int").alias("half"))
+    return materialize(rows.join(before, "p"), "simhash-order")
+
+
+def _row_keys(docs: DataFrame, text: str) -> DataFrame:
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64("text", F.lit(7), "doc_id").alias("h2"))
+
+
+def _asked() -> Column:
+    return F.col("doc_id").cast("string").try_cast("long") % 100 == 0
+
+
+def fingerprint_report(docs: DataFrame, text: str = "text", radius: int = 3) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likenesses.
+
+    Each distinct row's text moves once, to its key; a row sends on to the row before only the part of
+    its text that replaces the other's end. Equal rows follow each other, so all but the last of
+    them are edited with their own text. ``n_near`` counts the other fingerprints within ``radius`` bits, for the ids divisible by 100.
+    """
+    order = in_order(docs, text)
+    own = _row_keys(docs, text).groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    own = own.join(order.select("h1", "h2", "m", "b1", "b2", "half"), ["h1", "h2"])
+    lent = own.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.substring("text", F.lit(1), F.col("half")).alias("lent"))
+    both = own.select("h1", "h2", "m", "text").join(lent, ["h1", "h2"])
+
+    def changed(kind: int, other: Column) -> Column:
+        t = edited(F.col("text"), other)
+        return F.struct(F.lit(kind).alias("kind"), t.alias("t"), F.sha2(t.cast("binary"), 256).alias("sha"))
+
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"), F.lit(None).cast("string").alias("sha")), changed(1, F.col("lent")))
+    kinds = F.when(F.col("m") > 1, F.concat(kinds, F.array(changed(2, F.col("text"))))).otherwise(kinds)
+    each = both.select("h1", "h2", F.explode(kinds).alias("e")).select("h1", "h2", "e.kind", "e.sha", F.col("e.t").alias("text"))
+    prints = materialize(fingerprints(each, ["h1", "h2", "kind", "sha"]), "simhash-prints")
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    wide = prints.groupBy("h1", "h2").agg(of(0, "fingerprint").alias("fingerprint"), *[
+        of(k, c).alias(f"{c}{k}") for k in (1, 2) for c in ("fingerprint", "sha")])
+    rows = order.select("h1", "h2", "doc_id", "n", "m", "b1", "b2").join(wide, ["h1", "h2"])
+    following = rows.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("fingerprint").alias("next_fingerprint"))
+    rows = rows.join(following, ["h1", "h2"]).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    last = F.col("i") == F.col("m")
+    pick = lambda c: F.when(last, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
+    out = rows.select("doc_id", F.col("n").alias("n_chars"), pick("sha").alias("edited_sha256"), "fingerprint",
+                      pick("fingerprint").alias("edited_fingerprint"), F.when(last, F.col("next_fingerprint")).otherwise(F.col("fingerprint")).alias("next"))
+    base = prints.filter("kind = 0")
+    asked = order.filter(_asked()).join(base, ["h1", "h2"]).select("fingerprint")
+    near = near_pairs(base, asked, radius).filter("query <> fingerprint").groupBy("query").agg(F.count(F.lit(1)).alias("found"))
+    out = out.join(near, out["fingerprint"] == near["query"], "left")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                       likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                      likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+                      likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
+                      F.when(_asked(), F.coalesce("found", F.lit(0))).cast("long").alias("n_near"))
