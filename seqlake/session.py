@@ -82,10 +82,11 @@ def materialize(df, name: str):
     return out
 
 
-def materialize_by(df, name: str, column: str):
+def materialize_by(df, name: str, column: str, dealt: bool = False):
     """Like :func:`materialize`, in buckets of ``column``: joins on it read the table without a shuffle.
 
     ``spark.sql.shuffle.partitions`` buckets of one file each; the table is an external one of a unique name.
+    ``dealt`` says that the rows come hash-partitioned by the column already (a grouping by it).
     """
     import uuid
 
@@ -94,7 +95,8 @@ def materialize_by(df, name: str, column: str):
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{base}/tables/{table}"
-    df.repartition(buckets, column).write.format("parquet").option("path", path).bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+    df = df if dealt else df.repartition(buckets, column)
+    df.write.format("parquet").option("path", path).bucketBy(buckets, column).sortBy(column).saveAsTable(table)
     out = spark.table(table)
     out._table_path, out._table_name = path, table
     return out
