@@ -1185,10 +1185,9 @@ def q_oneclass_svm_scores(spark, sf_dir):
 @register("autoencoder_errors")
 def q_autoencoder_errors(spark, sf_dir):
     """F7 + F8: two-stage ReLU autoencoder (64-32-32 / 32-64-d), reconstruction
-    error and 95th-percentile flag (500 Adam steps per stage, 5 local steps per
-    weight average: 100 Spark jobs per stage)."""
+    error and 95th-percentile flag (up to 500 epochs of minibatch Adam per stage, 10 a Spark job)."""
     train, e = _detector_frames(spark, sf_dir)
-    m = fit_autoencoder(train, "features", steps=500, local_steps=5)
+    m = fit_autoencoder(train, "features")
     s = m.score(e, "features")
     return flag(s, "reconstruction_error", m.threshold, "is_potential_new").select(
         "vec_id", "label", "y_true", "reconstruction_error", "is_potential_new")
@@ -1239,7 +1238,7 @@ def _trained(spark, sf_dir):
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
-        _TRAINED[key] = train_all(derived.cleaned(spark, sf_dir), tasks=(1, 2, 3), ae_steps=500, ae_local_steps=5)
+        _TRAINED[key] = train_all(derived.cleaned(spark, sf_dir), tasks=(1, 2, 3))
     return _TRAINED[key]
 
 

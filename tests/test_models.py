@@ -79,3 +79,38 @@ def test_autoencoder_local_steps_loss_falls(spark):
     m = fit_autoencoder(df.repartition(4), steps=40, local_steps=5, hidden_layers=(8, 4), encoding_dim=4)
     enc_hist = m.history[: len(m.history) // 2]
     assert enc_hist[-1] < enc_hist[0]
+
+
+def test_autoencoder_equal_at_any_partitioning(spark, monkeypatch):
+    from seqlake.operators.models import autoencoder
+
+    monkeypatch.setattr(autoencoder, "BUCKET", 60)  # several buckets
+    monkeypatch.setattr(autoencoder, "FAN", 2)  # averaged in two levels
+    df = _blob(spark, n=250)
+    df = df.union(df.limit(30))
+    few = fit_autoencoder(df.repartition(2), steps=12, local_steps=3, hidden_layers=(6, 4), encoding_dim=3)
+    many = fit_autoencoder(df.repartition(16), steps=12, local_steps=3, hidden_layers=(6, 4), encoding_dim=3)
+    assert np.array_equal(few.encoder.theta, many.encoder.theta) and np.array_equal(few.decoder.theta, many.decoder.theta)
+    assert few.history == many.history and few.threshold == many.threshold
+
+
+def test_autoencoder_carries_moments_and_stops(spark):
+    from seqlake.operators.models.autoencoder import _layout, train_mlp
+
+    rows, buckets = _layout(_blob(spark, n=120), "features")
+    assert buckets == 1
+    one, split = MLP([5, 4, 5]).init(3), MLP([5, 4, 5]).init(3)
+    a = train_mlp(rows, 1, one, 12, 1e-2, per_round=12)
+    b = train_mlp(rows, 1, split, 12, 1e-2, per_round=3)
+    assert np.array_equal(one.theta, split.theta) and a == b  # rounds go on where the last ended
+    assert len(train_mlp(rows, 1, MLP([5, 4, 5]).init(3), 500, 1e-9, per_round=10)) == 20  # no progress: stops
+
+
+def test_weighted_rows_equal_repeated_rows():
+    m = MLP([3, 4, 3]).init(2)
+    X = np.random.default_rng(1).normal(size=(5, 3))
+    w = np.array([1.0, 3.0, 1.0, 2.0, 1.0])
+    g, loss = m.grad(X, X, w)
+    R = np.repeat(X, w.astype(int), axis=0)
+    g2, loss2 = m.grad(R, R)
+    assert np.abs(g - g2).max() < 1e-12 and abs(loss - loss2) < 1e-12
