@@ -2,41 +2,45 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Every distinct base
 value is a protected entity. All words (letters and digits, two or more) of a text outside its
-base spans are terms. Over the whole corpus, a term discloses an entity when observing it leaves little doubt:
-``PMI(term, entity) >= THRESHOLD * IC(entity)``, where IC is ``-log2`` of the share of documents with the
-entity and PMI the log ratio of their joint share to the product of shares, both over
-documents. A term also has to be seen with the entity in ``MIN_SUPPORT`` documents of different
-texts, so chance neighbours of a rare entity and copies of one text do not count.
+base spans are terms. Over the distinct texts of the whole corpus, a term discloses an entity when observing it leaves
+little doubt: ``PMI(term, entity) >= THRESHOLD * IC(entity)``, where IC is ``-log2`` of the share of texts with
+the entity and PMI the log ratio of their joint share to the product of shares. The
+term's count is smoothed by ``PRIOR / both``, where ``both`` counts the texts with term and entity: one joint text is weak evidence, several
+are strong. So an entity of a single text is disclosed by that text's words that (nearly) no other text has, once
+the corpus is large enough to make that telling; a common word never discloses.
 Every occurrence of a disclosing term in a text that holds its entity becomes a span of the kind ``term``.
 
-Joint counts are taken only for entities in ``MIN_SUPPORT`` distinct texts, as no other can reach
-the support. They are summed per task before they are shuffled by entity and term, so a very
-common entity is spread over its terms.
+Each distinct text is stored once, compressed; all counts are of these. An entity of one text has
+``both = 1``, so its terms follow from their counts alone, and each rare term brings the few
+texts that hold it. Joint counts are taken only for entities of several texts, summed per task before they
+are shuffled by entity and term, so a very common entity is spread over its terms.
 
 ``sanitise`` generalises base spans to their kind (``[EMAIL]`` ...) and removes disclosing terms
 (``[TERM]``).
 
 Edge cases: null and empty texts have no spans; texts are scanned whole; repeated texts count
-once for support and shares; repeated rows and ids are kept; an empty table gives an empty result;
-extra columns are ignored by ``report`` and kept by ``sanitise``.
+once; repeated rows and ids are kept; an empty table gives an empty result;
+extra columns, of any name and type, are ignored by ``report`` and kept by ``sanitise``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.jaccardjoin import CELL, bitmap
 from seqlake.session import materialize
 
-THRESHOLD, MIN_SUPPORT = 0.9, 3
+THRESHOLD, PRIOR = 0.9, 1.0
 PAIRS = 1 << 20  # entity-term pairs that a task holds at a time
+WORDS = 400_000  # distinct words that a task counts before it sends them on
 KINDS = ["email", "ip", "card", "phone", "term"]
 # fixed values: the patterns of the contract
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -113,146 +117,166 @@ def _text_key(column):
     return F.unhex(F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256))
 
 
-def _once(docs: DataFrame, scanned: DataFrame, text: str) -> DataFrame:
-    """``txt, x``: each distinct text once. Only texts that have copies are grouped; the others stay where they are."""
-    copied = scanned.groupBy("txt").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("txt")
-    copied = materialize(copied, "pii-copied")
-    rows = docs.select(_text_key(docs[text]).alias("txt"), docs[text].alias("x"))
-    return rows.join(copied, "txt", "left_anti").union(rows.join(copied, "txt", "left_semi").dropDuplicates(["txt"]))
+SPANS = "array<struct<k:int,s:int,e:int>>"
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, txt, base, entities``: text key, base spans, and the distinct entities in them."""
-    rows = docs.select(docs["doc_id"], docs[text], _text_key(docs[text]))
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``txt, t, z, base, entities``: each distinct text once, compressed, with its base spans and the distinct entities in them.
+
+    ``txt`` is the sha256 of the text and ``t`` its first 8 bytes.
+    """
+    rows = docs.select(_text_key(docs[text]), docs[text])
     span = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 
     def batches(it):
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in it:
-            spans, entities = [], []
+            spans, entities, z = [], [], []
             for x in batch.column(1).to_pylist():
                 x = x or ""
                 found = base_spans(x)
                 spans.append([{"k": k, "s": a, "e": b} for k, a, b in found])
                 entities.append(list({_key(f"{k}:{x[a:b]}") for k, a, b in found}))
+                z.append(squeeze.compress(x.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.int64()))],
-                names=["doc_id", "txt", "base", "entities"])
+                [batch.column(0), pa.array(z, pa.binary()), pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.int64()))],
+                names=["txt", "z", "base", "entities"])
+
+    found = rows.mapInArrow(batches, f"txt binary, z binary, base {SPANS}, entities array<long>")
+    found = found.groupBy("txt").agg(F.first(F.struct("z", "base", "entities")).alias("x"))  # copies merge before they move
+    head = F.conv(F.hex(F.substring("txt", 1, 8)), 16, -10).cast("long")
+    return materialize(found.select("txt", head.alias("t"), "x.*"), "pii-texts")
 
-    return rows.mapInArrow(batches, f"doc_id {doc_type}, txt binary, base array<struct<k:int,s:int,e:int>>, entities array<long>")
 
+def _plain(z: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
 
-def _pair_counts(held: DataFrame) -> DataFrame:
-    """``entity, term, both``: distinct texts that hold both, from rows ``x, entities``; summed per task first."""
 
-    def summed(es, ts):
-        t = pa.table({"entity": np.concatenate(es), "term": np.concatenate(ts)}).group_by(["entity", "term"]).aggregate([([], "count_all")])
-        return t.select(["entity", "term", "count_all"]).rename_columns(["entity", "term", "both"]).combine_chunks().to_batches()
+def _term_counts(texts: DataFrame, bound: int) -> DataFrame:
+    """``term, df, holders``: in how many texts a term occurs, and of terms in at most ``bound`` texts those with an entity."""
 
     def batches(it):
-        es, ts, n = [], [], 0
+        count: dict[str, int] = {}
+        holders: dict[str, list[int]] = {}
+
+        def flush():
+            words = list(count)
+            held = [holders.get(w, []) if count[w] <= bound else [] for w in words]
+            out = pa.RecordBatch.from_arrays([pa.array([_key(w) for w in words], pa.int64()), pa.array(list(count.values()), pa.int64()),
+                                              pa.array(held, pa.list_(pa.int64()))], names=["term", "df", "holders"])
+            count.clear(), holders.clear()
+            return out
+
         for batch in it:
-            for x, entities in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                terms = np.array(list({_key(w) for w in {w for w, _, _ in _terms(x, _union(base_spans(x)))}}), np.int64)
+            for z, t, some in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                x = _plain(z)
+                words = {w for w, _, _ in _terms(x, _union(base_spans(x)))} if some else {m.casefold() for m in WORD.findall(x)}
+                for w in words:
+                    count[w] = count.get(w, 0) + 1
+                if some:
+                    for w in words:
+                        if count[w] <= bound:
+                            holders.setdefault(w, []).append(t)
+                if len(count) > WORDS:
+                    yield flush()
+        yield flush()
+
+    rows = texts.select("z", "t", F.size("entities") > 0).mapInArrow(batches, "term long, df long, holders array<long>")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.flatten(F.collect_list(F.when(F.size("holders") > 0, F.col("holders")))).alias("holders"))
+
+
+def _pairs(held: DataFrame, counted: bool) -> DataFrame:
+    """Pairs of the entities and terms of each text ``z, t, entities``: ``entity, term, both`` summed per task, or ``entity, term, t``."""
+    last = "both" if counted else "t"
+
+    def out(es, ts, xs):
+        cols = {"entity": np.concatenate(es), "term": np.concatenate(ts)}
+        if not counted:
+            return pa.table({**cols, "t": np.concatenate(xs)}).to_batches()
+        got = pa.table(cols).group_by(["entity", "term"]).aggregate([([], "count_all")])
+        return got.select(["entity", "term", "count_all"]).rename_columns(["entity", "term", "both"]).combine_chunks().to_batches()
+
+    def batches(it):
+        es, ts, xs, n = [], [], [], 0
+        for batch in it:
+            for z, t, entities in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                x = _plain(z)
+                terms = np.array([_key(w) for w in {w for w, _, _ in _terms(x, _union(base_spans(x)))}], np.int64)
                 step = max(1, PAIRS // max(1, len(terms)))
                 for i in range(0, len(entities) if len(terms) else 0, step):
                     part = np.array(entities[i:i + step], np.int64)
                     es.append(np.repeat(part, len(terms)))
                     ts.append(np.tile(terms, len(part)))
+                    xs.append(np.full(len(es[-1]), t, np.int64))
                     n += len(es[-1])
                     if n >= PAIRS:
-                        yield from summed(es, ts)
-                        es, ts, n = [], [], 0
+                        yield from out(es, ts, xs)
+                        es, ts, xs, n = [], [], [], 0
         if n:
-            yield from summed(es, ts)
-
-    pairs = held.select("x", "entities").mapInArrow(batches, "entity long, term long, both long")
-    return pairs.groupBy("entity", "term").agg(F.sum("both").alias("both"))
-
-
-def _occurrences(held: DataFrame, flagged: DataFrame) -> DataFrame:
-    """``txt, terms``: spans of all occurrences of the flagged terms of a text's entities."""
-    bits = held.sparkSession.sparkContext.broadcast(
-        np.packbits(bitmap(flagged.select(F.col("entity").bitwiseXOR(F.col("term"))))))
-    at = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+            yield from out(es, ts, xs)
+
+    return held.select("z", "t", "entities").mapInArrow(batches, f"entity long, term long, {last} long")
+
+
+def disclosing(texts: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
+    """``t, term``: the disclosing terms of each text, from ``texts`` of :func:`distinct_texts`."""
+    n = texts.count()
+    held = texts.filter(F.size("entities") > 0)
+    pairs = held.select("t", F.explode("entities").alias("entity"))
+    entity_df = materialize(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("edf"), F.min("t").alias("t")), "pii-entities")
+    # one text: both = 1 and edf = 1, so PMI >= threshold * IC is df + prior <= n ** (1 - threshold)
+    bound = max(int(math.floor(n ** (1 - threshold) - prior + 1e-9)), 0) if n else 0
+    terms = materialize(_term_counts(texts, bound), "pii-terms")
+    rare = terms.filter(F.col("df") <= bound).select(F.explode("holders").alias("t"), "term")
+    found = rare.join(entity_df.filter("edf = 1").select("t").distinct(), "t", "left_semi")
+    several = entity_df.filter("edf > 1").select("entity", "edf")
+    common = pairs.join(several, "entity", "left_semi").groupBy("t").agg(F.collect_set("entity").alias("entities"))
+    common = materialize(held.select("t", "z").join(common, "t"), "pii-common")
+    joint = _pairs(common, True).groupBy("entity", "term").agg(F.sum("both").alias("both"))
+    j = joint.join(several, "entity").join(terms.select("term", "df"), "term")
+    pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("edf") * (F.col("df") + F.lit(prior) / F.col("both"))))
+    ic = -F.log2(F.col("edf") / F.lit(float(max(n, 1))))
+    flagged = materialize(j.filter((ic > 0) & (pmi >= threshold * ic)).select("entity", "term"), "pii-flagged")
+    more = _pairs(common, False).join(flagged, ["entity", "term"], "left_semi").select("t", "term")
+    return found.union(more).distinct()
+
+
+def term_spans(texts: DataFrame) -> DataFrame:
+    """``txt, terms``: the spans of all occurrences of a text's disclosing terms, for texts that have any."""
+    marked = disclosing(texts).groupBy("t").agg(F.collect_set("term").alias("chosen"))
+    marked = texts.filter(F.size("entities") > 0).select("txt", "t", "z").join(marked, "t")
+    span = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 
     def batches(it):
-        chosen = np.unpackbits(bits.value).astype(bool)
-        names = ["txt", "entity", "term", "at"]
         for batch in it:
-            rows = []
-            for txt, x, entities in zip(*(c.to_pylist() for c in batch.columns)):
-                places: dict[str, list] = {}
+            out = []
+            for z, chosen in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                x, chosen = _plain(z), set(chosen)
+                known: dict[str, bool] = {}
+                spans = []
                 for w, a, b in _terms(x, _union(base_spans(x))):
-                    places.setdefault(w, []).append({"s": a, "e": b})
-                words = list(places)
-                terms = np.array([_key(w) for w in words], np.int64)
-                for e in entities:
-                    rows += [(txt, e, int(terms[i]), places[words[i]]) for i in np.flatnonzero(chosen[(terms ^ np.int64(e)) & CELL])]
-            cols = zip(*rows) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), at))], names=names)
-
-    found = held.select("txt", "x", "entities").mapInArrow(
-        batches, "txt binary, entity long, term long, at array<struct<s:int,e:int>>")
-    found = found.join(flagged, ["entity", "term"], "left_semi").select("txt", F.explode("at").alias("p"))
-    return found.groupBy("txt").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("k"), "p.s", "p.e"))).alias("terms"))
+                    if w not in known:
+                        known[w] = _key(w) in chosen
+                    if known[w]:
+                        spans.append({"k": 4, "s": a, "e": b})
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], names=["txt", "terms"])
 
-
-def _term_documents(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``term, df``: in how many distinct texts each candidate term occurs (counts leave a task per batch)."""
-
-    def batches(it):
-        for batch in it:
-            total: dict[int, int] = {}
-            seen: dict[str, int] = {}
-            for x in batch.column(0).to_pylist():
-                for w in {m.casefold() for m in WORD.findall(x or "")}:
-                    seen[w] = seen.get(w, 0) + 1
-            for w, k in seen.items():
-                total[_key(w)] = total.get(_key(w), 0) + k
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
-                                             names=["term", "df"])
-
-    counts = texts.select("x").mapInArrow(batches, "term long, df long")
-    return counts.join(candidates, "term", "left_semi").groupBy("term").agg(
-        F.sum("df").alias("df"))
-
-
-def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text", threshold: float = THRESHOLD,
-               min_support: int = MIN_SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """``entity, term`` pairs above the disclosure threshold, all counts of distinct texts; and the texts
-    ``txt, x, entities`` with the entities that reach the support."""
-    texts = _once(docs, scanned, text)
-    pairs = scanned.select("txt", F.explode("entities").alias("entity")).distinct()
-    entity_df = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("edf")).filter(F.col("edf") >= min_support)
-    entity_df = materialize(entity_df, "pii-entities")
-    holders = pairs.join(entity_df, "entity", "left_semi").groupBy("txt").agg(F.collect_set("entity").alias("entities"))
-    held = texts.join(materialize(holders, "pii-holders"), "txt")
-    joint = materialize(_pair_counts(held).filter(F.col("both") >= min_support), "pii-joint")
-    term_df = _term_documents(texts, joint.select("term").distinct())
-    n = float(scanned.select("txt").distinct().count())
-    j = joint.join(entity_df, "entity").join(term_df, "term")
-    pmi = F.log2(F.col("both") * F.lit(n) / (F.col("edf") * F.col("df")))
-    ic = -F.log2(F.col("edf") / F.lit(n))
-    return j.filter((ic > 0) & (pmi >= threshold * ic)).select("entity", "term"), held
-
-
-def _term_spans(docs: DataFrame, scanned: DataFrame, text: str) -> DataFrame:
-    """``txt, terms``: the spans of disclosing terms per distinct text that has any."""
-    flagged, held = disclosing(docs, scanned, text)
-    return materialize(_occurrences(held, materialize(flagged, "pii-flagged")), "pii-terms")
+    return materialize(marked.select("txt", "z", "chosen").mapInArrow(batches, f"txt binary, terms {SPANS}"), "pii-spans")
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, txt, base, terms`` per row: base spans and the spans of disclosing terms."""
-    scanned = materialize(scan(docs, text), "pii-scan")
-    return scanned.select("doc_id", "txt", "base").join(_term_spans(docs, scanned, text), "txt", "left")
+    texts = distinct_texts(docs, text)
+    some = texts.filter(F.size("base") > 0).select("txt", "base").join(term_spans(texts), "txt", "left")
+    rows = docs.select(docs["doc_id"], _text_key(docs[text]).alias("txt"))
+    none = F.array().cast(SPANS)
+    return rows.join(some, "txt", "left").select("doc_id", "txt", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
 
 
 def report(docs: DataFrame, text: str = "text") -> DataFrame:
     """Counts per kind, digest of the base spans and the list of all spans per document."""
-    found = spans(docs, text).withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<k:int,s:int,e:int>>")))
+    found = spans(docs, text)
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def listed(c):
@@ -273,23 +297,23 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     Documents that hold disclosing terms meet them by the digest of their text; the patterns
     are found again in the text at hand. Overlapping spans become one, named by the first.
     """
-    scanned = materialize(scan(docs, text), "pii-scan")
-    extra = _term_spans(docs, scanned, text).select(F.col("txt").alias("_txt"), F.col("terms").alias("_terms"))
-    joined = docs.withColumn("_txt", _text_key(docs[text])).join(extra, "_txt", "left").select(*docs.columns, "_terms")
-    at = joined.columns.index(text)
+    extra = term_spans(distinct_texts(docs, text)).filter(F.size("terms") > 0)
+    at = docs.columns.index(text)
+    # the row travels as one struct, so no name of it can clash with ours
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("r"), _text_key(docs[text]).alias("txt"))
+    joined = rows.join(extra, "txt", "left").select("r", "terms")
 
     def batches(it):
         for batch in it:
-            new = []
-            for x, found in zip(batch.column(at).to_pylist(), batch.column(len(batch.schema) - 1).to_pylist()):
-                new.append(None if x is None else _rewrite(x, found))
-            arrays = [pa.array(new, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(len(batch.schema) - 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
+            row = batch.column(0)
+            new = [None if x is None else _rewrite(x, found) for x, found in zip(row.field(at).to_pylist(), batch.column(1).to_pylist())]
+            fields = [pa.array(new, row.type.field(i).type) if i == at else row.field(i) for i in range(row.type.num_fields)]
+            yield pa.RecordBatch.from_arrays(fields, names=[row.type.field(i).name for i in range(row.type.num_fields)])
 
     out = joined.mapInArrow(batches, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _rewrite(x: str, found) -> str:
