@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions.sequence import gc_content
+from seqlake.operators.ids import dense_index
+from seqlake.operators.sparse import ACTIVE, NUMERIC, VALUES, to_vectors
+from seqlake.session import materialize
 
 ACGT = "ACGT"
 _ACGT_LUT = np.full(256, -1, np.int64)
@@ -213,13 +216,44 @@ def _strip_as_strings(seq, k):
 
 
 def discover_levels(df: DataFrame, k: int = 3, mode: str = "skip_n", seq_col: str = "sequence",
-                    id_col: str = "sample_id", max_levels: int = 4096) -> list[str]:
-    """Distinct observed k-mers, sorted, with a checked size bound (one aggregate)."""
+                    id_col: str = "sample_id", max_levels: int = 4096) -> list[str] | None:
+    """Distinct observed k-mers, sorted; None where they are too many for a table column each (see :func:`sequence_vectors`)."""
     long_df = kmer_counts(df, k=k, mode=mode, seq_col=seq_col, id_col=id_col)
     rows = long_df.select("kmer").distinct().orderBy("kmer").limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"more than {max_levels} distinct k-mers; pass levels explicitly")
-    return [r[0] for r in rows]
+    return None if len(rows) > max_levels else [r[0] for r in rows]
+
+
+def kmer_dictionary(counts: DataFrame) -> DataFrame:
+    """``kmer, slot``: the observed k-mers of a long table, numbered densely in order by a range sort."""
+    return dense_index(counts.select("kmer").distinct(), order_by="kmer", col="slot", start=0).select("kmer", "slot")
+
+
+def sequence_parts(df: DataFrame, k: int = 3, mode: str = "skip_n", seq_col: str = "sequence", id_col: str = "sample_id",
+                   dictionary: DataFrame | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(id, gc_content, keep, slots and frequencies as arrays; dictionary)`` for any k and alphabet.
+
+    The dictionary is a stored table that the long counts join; no list of k-mers passes through the driver. With a
+    trained ``dictionary`` k-mers outside it are left out. Every input row is kept; one without a window has an empty vector.
+    """
+    keep = list(keep or [])
+    base = materialize(df.select(id_col, seq_col, *keep).withColumn("_row", F.monotonically_increasing_id()), "kmer-rows")
+    counts = materialize(kmer_counts(base.select("_row", seq_col), k, mode, seq_col, "_row"), "kmer-counts")
+    dictionary = kmer_dictionary(counts) if dictionary is None else dictionary
+    dictionary = materialize(dictionary, "kmer-dictionary")
+    cells = counts.join(dictionary, "kmer").groupBy("_row").agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("s"), "freq")).alias("c"))
+    rows = base.join(cells.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left")
+    parts = rows.select(id_col, gc_content(F.col(seq_col)).alias("gc_content"), *keep, F.array().cast("array<double>").alias(NUMERIC),
+                        F.coalesce(F.col("c.s"), F.array().cast("array<int>")).alias(ACTIVE),
+                        F.coalesce(F.col("c.freq"), F.array().cast("array<double>")).alias(VALUES))
+    return parts, dictionary
+
+
+def sequence_vectors(df: DataFrame, k: int = 3, mode: str = "skip_n", seq_col: str = "sequence", id_col: str = "sample_id",
+                     dictionary: DataFrame | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(id, gc_content, kmers SparseVector, keep; dictionary)``: the vector form of :func:`sequence_parts`."""
+    parts, dictionary = sequence_parts(df, k, mode, seq_col, id_col, dictionary, keep)
+    size = dictionary.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
+    return to_vectors(parts, int(size), "kmers").select(id_col, "gc_content", "kmers", *(keep or [])), dictionary
 
 
 def sequence_features(df: DataFrame, k: int = 3, mode: str = "strip",
@@ -228,13 +262,15 @@ def sequence_features(df: DataFrame, k: int = 3, mode: str = "strip",
     """Wide table: id, gc_content, one ``kmer_*`` column per level (0-filled), ``keep``.
 
     Every input row is kept, so a sequence shorter than k keeps a row of zeros.
-    Strip mode uses the fixed 4^k ACGT levels; skip_n discovers the observed
-    levels (bounded) unless ``levels`` is given.
+    Strip mode uses the fixed 4^k ACGT levels; skip_n the observed levels unless
+    ``levels`` is given. Observed levels too many for a column each come as one sparse ``kmers`` column.
     """
     if levels is None:
         levels = kmer_levels(k) if mode == "strip" else discover_levels(
             df, k, mode, seq_col, id_col)
     keep = list(keep or [])
+    if levels is None:
+        return sequence_vectors(df, k, mode, seq_col, id_col, keep=keep)[0]
     base = df.select(id_col, gc_content(F.col(seq_col)).alias("gc_content"), *keep, seq_col)
     wide = kmer_wide_counts(base, levels, k=k, mode=mode, seq_col=seq_col,
                             keep=[id_col, "gc_content", *keep])

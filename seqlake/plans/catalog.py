@@ -134,6 +134,21 @@ def q_sequence_features_wide(spark, sf_dir):
     return kmers.extract_features(derived.raw_sequences(spark, sf_dir), k=3)
 
 
+@register("kmer_sparse_vectors", """
+, w as (select sample_id, substring(sequence, i, 8) as kmer from (select sample_id, sequence, unnest(range(1, length(sequence) - 6)) as i from samples) a),
+  c as (select sample_id, kmer, count(*) as n, sum(count(*)) over (partition by sample_id) as total from w where not contains(kmer, 'N') group by sample_id, kmer),
+  d as (select kmer, row_number() over (order by kmer) - 1 as slot from (select distinct kmer from c) x)
+select s.sample_id, count(d.slot) as n_kmers, min(d.slot)::int as first_slot, max(d.slot)::int as last_slot,
+       round(coalesce(sum(n::double / total * slot), 0), 1) as weighted
+from samples s left join (select sample_id, n, total, slot from c join d using (kmer)) d on d.sample_id = s.sample_id group by s.sample_id""")
+def q_kmer_sparse_vectors(spark, sf_dir):
+    """B4 + B6: sparse 8-mer vectors over the observed alphabet; per sample the filled slots and their weighted sum."""
+    p, _ = kmers.sequence_parts(samples(spark, sf_dir), k=8, mode="skip_n")
+    share = F.aggregate(F.zip_with("_active", "_values", lambda s, f: s * f), F.lit(0.0), lambda a, x: a + x)
+    return p.select("sample_id", F.size("_active").cast("long").alias("n_kmers"), F.array_min("_active").alias("first_slot"),
+                    F.array_max("_active").alias("last_slot"), F.round(share, 1).alias("weighted"))
+
+
 @register("mutation_profile", "select * from mutation")
 def q_mutation_profile(spark, sf_dir):
     """length_diff and mutation_density against a 10,700-base reference."""
@@ -1264,6 +1279,25 @@ def q_inference_from_sequences(spark, sf_dir):
     return infer_from_sequences(res, derived.raw_sequences(spark, sf_dir))
 
 
+@register("saved_pipeline_scores")
+def q_saved_pipeline_scores(spark, sf_dir):
+    """J2 + A7: the three tasks as one pyspark.ml pipeline (novelty and open-set stages at full size, forest only as
+    classifier), written, read back and applied to the cleaned samples."""
+    import uuid
+
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from seqlake.plans.stages import training_stages
+    from seqlake.session import ensure_checkpoint_dir
+
+    c = derived.cleaned(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipelines/{uuid.uuid4().hex}"
+    Pipeline(stages=training_stages(kinds=("random_forest",), cv_folds=5)).fit(c).write().save(path)
+    out = PipelineModel.load(path).transform(c)
+    return out.select("sample_id", "serotype", "predicted_serotype", "prediction_confidence", "is_novel_genotype", "anomaly_score",
+                      "is_potential_new_serotype", "reconstruction_error")
+
+
 # ------------------------------------------ A1 + A6 + J1 from written files ---
 
 @register("table_set_roundtrip", """

@@ -84,3 +84,26 @@ def test_to_numeric(spark):
     df = spark.createDataFrame([("3.5", True), ("abc", False), (None, None)], "a string, b boolean")
     rows = df.select(sf.to_numeric(F.col("a")), sf.to_numeric(F.col("b"))).collect()
     assert [tuple(r) for r in rows] == [(3.5, 1.0), (0.0, 0.0), (0.0, 0.0)]
+
+
+def test_sparse_kmers_of_an_open_alphabet(spark):
+    import random
+
+    from seqlake.operators import kmers
+
+    r = random.Random(3)
+    rows = [(f"s{i}", "".join(r.choice("ACGTRYKMNacgé") for _ in range(r.choice([0, 5, 8, 300])))) for i in range(160)] + [("none", None)]
+    df = spark.createDataFrame(rows, "sample_id string, sequence string").repartition(3)
+    vec, dictionary = kmers.sequence_vectors(df, k=8)
+    names = {r["slot"]: r["kmer"] for r in dictionary.collect()}
+    assert len(names) > 4096 and sorted(names) == list(range(len(names))) and [names[i] for i in range(len(names))] == sorted(names.values())
+    got = {r["sample_id"]: r["kmers"] for r in vec.collect()}
+    assert set(got) == {i for i, _ in rows}
+    for i, seq in rows:
+        windows = [seq[j:j + 8] for j in range(len(seq or "") - 7) if "N" not in seq[j:j + 8]]
+        want = {w: windows.count(w) / len(windows) for w in windows}
+        assert {names[int(s)]: v for s, v in zip(got[i].indices, got[i].values)} == want and got[i].size == len(names)
+    wide = kmers.sequence_features(df, k=8, mode="skip_n")
+    assert wide.columns == ["sample_id", "gc_content", "kmers"] and wide.count() == 161
+    few = dictionary.where("slot < 50")
+    assert all(int(s) < 50 for r in kmers.sequence_vectors(df, k=8, dictionary=few)[0].collect() for s in r["kmers"].indices)
