@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.session import materialize
+from seqlake.session import discard, materialize
 
 MAX_STEPS = 60
 
@@ -31,10 +31,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     seen = None
     for _ in range(MAX_STEPS):
-        edges = materialize(_star(_star(edges, True), False), "cc")
+        last, edges = edges, materialize(_star(_star(edges, True), False), "cc")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = state
+        discard(last)
     raise RuntimeError(f"no fixed point after {MAX_STEPS} steps")

@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 
 from seqlake.llm import wordhash
 from seqlake.llm.components import components
-from seqlake.session import materialize
+from seqlake.llm.repeats import shared_seeds
+from seqlake.session import discard, materialize, materialize_by
 
 SKETCH_BITS = 20
 SLICES = 64
 FRAGMENTS = 4
 HUB_ROUNDS, HUBS = 2, 2
-FILTER_BITS = 24
-CELL = (1 << FILTER_BITS) - 1
+MAX_BITS = 27
+HOT = 2_000  # pairs of one hub that a task takes
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -98,33 +99,42 @@ def _order(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts, fragment
 
 
-def _prefixes(rows: DataFrame, id_type: str, order, num: int, den: int) -> DataFrame:
+def _tokens(rows: DataFrame, order, num: int, den: int) -> DataFrame:
+    """``h, t, lo, m``: n-gram, class, place and set size, for the rare end of every row's set."""
+
     def batches(it):
         counts = order.value[0]
         for batch in it:
-            c, n, prefix = [], [], []
+            h, t, lo, m = [], [], [], []
             for _, key, s in _sets(batch.column(1)):
-                m = len(s)
-                keep = m - (-(-num * m // den)) + 1 if m else 0
-                rank = np.lexsort((s, counts[(s & _MASK).astype(np.int64)]))[:keep]
-                c.append(key)
-                n.append(m)
-                prefix.append(s[rank].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "c", "n", "prefix"])
+                if key is None:
+                    continue
+                n = len(s)
+                keep = n - (-(-num * n // den)) + 1
+                h.append(s[np.lexsort((s, counts[(s & _MASK).astype(np.int64)]))[:keep]].view(np.int64))
+                t.append(np.full(keep, key, np.int64))
+                lo.append(np.arange(keep, dtype=np.int32))
+                m.append(np.full(keep, n, np.int32))
+            if h:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (h, t, lo, m)], names=["h", "t", "lo", "m"])
+
+    return rows.mapInArrow(batches, "h long, t long, lo int, m int")
 
-    return rows.mapInArrow(batches, f"doc_id {id_type}, c long, n long, prefix array<long>")
 
+def bitmap(hashes: DataFrame, count: int) -> np.ndarray:
+    """Packed bitmap over the one long column of ``count`` rows: false positives only cost work, none is missed.
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size over the one long column: false positives only cost work, none is missed."""
+    Eight bits a row, up to ``2**MAX_BITS`` in all (16 MB); beyond that more rows pass and do the full work.
+    """
+    bits = min(MAX_BITS, max(16, (8 * max(count, 1)).bit_length()))
+    cell = np.int64((1 << bits) - 1)
 
     def batches(it):
-        bits = np.zeros(1 << FILTER_BITS, np.uint8)
+        held = np.zeros(1 << (bits - 3), np.uint8)
         for batch in it:
-            bits[batch.column(0).to_numpy() & CELL] = 1
-        for i, part in enumerate(np.packbits(bits).reshape(SLICES, -1)):
+            at = batch.column(0).to_numpy() & cell
+            np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for i, part in enumerate(held.reshape(SLICES, -1)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
                                                  names=["slice", "bits"])
@@ -134,76 +144,82 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
         return pd.DataFrame({"slice": [key[0]], "bits": [np.bitwise_or.reduce(parts).tobytes()]})
 
     parts = hashes.mapInArrow(batches, "slice int, bits binary")
-    out = np.zeros((SLICES, (1 << FILTER_BITS) // 8 // SLICES), np.uint8)
+    out = np.zeros((SLICES, (1 << (bits - 3)) // SLICES), np.uint8)
     for row in parts.groupBy("slice").applyInPandas(either, "slice int, bits binary").collect():  # SLICES rows
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return np.unpackbits(out.reshape(-1)).astype(bool)
+    return out.reshape(-1)
+
 
+def in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.int64(8 * len(packed) - 1)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-def _segments(rows: DataFrame, order, ids: DataFrame) -> DataFrame:
-    """``c, f, seg``: the sets of (at least) the rows whose id is in ``ids(rep)``, cut into fragments.
 
-    A class may come more than once; its segments are equal then.
+def _segments(rows: DataFrame, order, wanted: DataFrame) -> DataFrame:
+    """``c, parts``: each class of ``wanted(c, rep)`` once, its set cut into fragments of the global order; stored in buckets of ``c``.
+
+    Cut from the rows whose id is a class's first; copies of a class merge before they move.
     """
-    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap(ids.select(F.xxhash64("rep")))))
+    spark = rows.sparkSession
+    count = wanted.count()
+    sent = spark.sparkContext.broadcast((bitmap(wanted.select(F.xxhash64("rep")), count), bitmap(wanted.select("c"), count)))
 
     def batches(it):
-        fragment, chosen = order.value[1], np.unpackbits(wanted.value).astype(bool)
+        fragment, (ids, classes) = order.value[1], sent.value
         for batch in it:
-            batch = batch.filter(pa.array(chosen[batch.column(2).to_numpy() & CELL]))
-            c, f, seg = [], [], []
+            batch = batch.filter(pa.array(in_bitmap(ids, batch.column(2).to_numpy())))
+            c, parts, seen = [], [], set()
             for _, key, s in _sets(batch.column(1)):
+                if key is None or key in seen or not in_bitmap(classes, np.array([key]))[0]:
+                    continue
+                seen.add(key)
                 part = fragment[(s & _MASK).astype(np.int64)]
-                for k in np.unique(part).tolist():
-                    c.append(key)
-                    f.append(k)
-                    seg.append(s[part == k].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], names=["c", "f", "seg"])
-
-    return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(batches, "c long, f int, seg array<long>")
-
-
-def _linked(pairs: DataFrame, rows: DataFrame, order, firsts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b, na, nb`` that reach the threshold: overlaps per fragment, summed per pair."""
-    name = firsts.select("k", "rc", "rep")
-    pairs = pairs.join(name.select(F.col("k").alias("a"), F.col("rc").alias("ca"), F.col("rep").alias("ra")), "a")
-    pairs = materialize(pairs.join(name.select(F.col("k").alias("b"), F.col("rc").alias("cb"), F.col("rep").alias("rb")), "b"),
-                        "jaccard-pairs")
-    ends = pairs.select(F.col("ra").alias("rep")).union(pairs.select(F.col("rb").alias("rep"))).distinct()
-    segments = materialize(_segments(rows, order, ends), "jaccard-segments")
-    left = segments.select(F.col("c").alias("ca"), "f", F.col("seg").alias("x"))
-    hubs = pairs.select(F.col("cb").alias("_c")).distinct()
-    right = segments.join(hubs, segments["c"] == hubs["_c"], "left_semi").select(F.col("c").alias("cb"), "f", F.col("seg").alias("y"))
-    # pairs are small (two ids a row): Spark broadcasts them below its size threshold and shuffles the segments above
-    part = left.join(pairs, "ca").join(right, ["cb", "f"]).select(
-        "a", "b", "na", "nb", "f", F.size(F.array_intersect("x", "y")).cast("long").alias("n"))
-    part = part.groupBy("a", "b", "na", "nb", "f").agg(F.max("n").alias("n"))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
-    return total.filter(F.col("n") * den >= (F.col("na") + F.col("nb") - F.col("n")) * num).select("a", "b")
+                c.append(key)
+                parts.append([s[part == k].view(np.int64) for k in range(FRAGMENTS)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], names=["c", "parts"])
+
+    cut = rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(batches, "c long, parts array<array<long>>")
+    return materialize_by(cut.groupBy("c").agg(F.first("parts").alias("parts")), "jaccard-segments", "c", dealt=True)
+
+
+def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` of ``a, b, na, nb`` that reach the threshold: overlaps counted per fragment, summed per pair.
+
+    Sets lie in buckets of their class. Only ``a``'s travels, to ``b``; a ``b`` of many pairs is salted.
+    """
+    pairs = materialize(pairs, "jaccard-pairs")
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("salts"))
+    many = materialize(many, "jaccard-hubs")
+    hot = many.filter("salts > 1")
+    pairs_ = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    left = segments.select(F.col("c").alias("a"), F.col("parts").alias("x")).join(pairs_, "a")
+    right = segments.join(many, segments["c"] == many["b"]).select("b", F.col("parts").alias("y"), F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    each = F.zip_with("x", "y", lambda p, q: F.size(F.array_intersect(p, q)).cast("long"))
+    total = left.join(right, ["b", "salt"]).select("a", "b", "na", "nb", F.aggregate(each, F.lit(0).cast("long"), lambda n, k: n + k).alias("n"))
+    found = materialize(total.filter(F.col("n") * den >= (F.col("na") + F.col("nb") - F.col("n")) * num).select("a", "b"), "jaccard-links")
+    discard(pairs, many)
+    return found
 
 
 def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(doc_id, n, k per row; links a, b between classes; node, component of linked classes)``; ``k`` numbers classes."""
+    """``(doc_id, n, k per row; links a, b between classes; node, component of linked classes)``; ``k`` is the class of equal sets."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], docs[text])
     scan = materialize(_scan(rows, id_type), "jaccard-scan")
-    members = scan.filter("slice is null").select("doc_id", "n", "c")
+    members = scan.filter("slice is null").select("doc_id", "n", F.col("c").alias("k"))
     order = spark.sparkContext.broadcast(_order(scan))
-    firsts = members.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")).withColumnRenamed("c", "rc")
-    firsts = materialize(firsts.withColumn("k", F.monotonically_increasing_id()), "jaccard-classes")
-    members = members.join(firsts.select("rc", "k"), members["c"] == F.col("rc"), "left").select("doc_id", "n", "k")
-
-    pre = _prefixes(rows, id_type, order, num, den)
-    pre = pre.join(firsts, (pre["c"] == firsts["rc"]) & pre["doc_id"].eqNullSafe(firsts["rep"]))
-    tokens = pre.select("k", "n", F.posexplode("prefix").alias("at", "tok"))
-    same = Window.partitionBy("tok")
-    # an n-gram occurs once per class and only in its rare end, so no n-gram holds a large share of these rows
-    shared = tokens.withColumn("m", F.count(F.lit(1)).over(same)).filter("m > 1")
+
+    # n-grams of at least two classes, found between neighbours of a range sort: a common n-gram lies over many tasks
+    found = shared_seeds(_tokens(rows, order, num, den)).select(
+        F.col("h").alias("tok"), F.col("t").alias("k"), F.col("m").cast("long").alias("n"), F.col("lo").alias("at"), F.col("n").alias("m"))
     ends = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     central = (F.sum("m").over(Window.partitionBy("k")) / ends).alias("central")
-    shared = materialize(shared.select("tok", "k", "n", "at", central, F.col("k").alias("comp")), "jaccard-shared")
+    shared = materialize(found.select("tok", "k", "n", "at", central, F.col("k").alias("comp")), "jaccard-shared")
+    reps = members.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
+    wanted = materialize(reps.join(shared.select("k").distinct(), "k").select(F.col("k").alias("c"), "rep"), "jaccard-classes")
+    segments = _segments(rows, order, wanted)
 
     fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     band = F.floor(F.log("n") / math.log(den / num)).alias("band")
@@ -219,13 +235,15 @@ def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4
         # these rounds only shorten the last one: each class tries its likeliest hubs
         best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("hits"), "b"))
         pairs = pairs.filter(F.col("hits") * 50 >= F.least("na", "nb")).withColumn("r", best).filter(F.col("r") <= HUBS)
-        found = _linked(pairs.drop("r", "hits"), rows, order, firsts, num, den)
-        links = materialize(found if links is None else links.union(found), "jaccard-links")
+        new = _linked(pairs.drop("r", "hits"), segments, num, den)
+        links = new if links is None else materialize(links.union(new), "jaccard-links")
         comp = components(links)
         named = shared.drop("comp").join(comp, F.col("k") == F.col("node"), "left").select(
             "tok", "k", "n", "at", "central", F.coalesce("component", "k").alias("comp"))
-        named = named.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).filter("lo != hi")
-        open_ = materialize(named.select("tok", "k", "n", "at", "central", "comp"), "jaccard-open")
+        named = materialize(named, "jaccard-named")
+        mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("tok")
+        open_ = materialize(named.join(mixed, "tok", "left_semi"), "jaccard-open")
+        discard(named)
     # (num + den) * overlap >= num * (na + nb) is the threshold; the first shared n-gram has the whole overlap at or behind it
     x = open_.filter(f"(n - at) * {num + den} >= 2 * n * {num}").select(
         "tok", F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("comp").alias("ca"))
@@ -233,8 +251,10 @@ def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4
     behind = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (num + den) >= (F.col("na") + F.col("nb")) * num
     rest = x.join(y, "tok").filter("ca != cb and (na < nb or na = nb and a < b)").filter(fits).filter(behind)
     rest = rest.select("a", "b", "na", "nb").distinct()
-    links = materialize(links.union(_linked(rest, rows, order, firsts, num, den)), "jaccard-links")
-    return members, links, components(links)
+    links = materialize(links.union(_linked(rest, segments, num, den)), "jaccard-links")
+    comp = components(links)
+    discard(segments, shared, open_, wanted)
+    return members, links, comp
 
 
 def groups(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4) -> DataFrame:
@@ -259,5 +279,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     found = groups(rows.select(key.alias("doc_id"), text), text)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
     # grouped first: copies of one row are merged before they meet in one task
-    rows = rows.groupBy(key.alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.lit(0).alias("_")))  # any type has an order as text
+    rows = rows.groupBy(key.alias("_key")).agg(F.min_by(every, rest).alias("_row"))
     return rows.join(kept, "_key", "left_semi").select("_row.*").unionByName(docs.filter(~worded))

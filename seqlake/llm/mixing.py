@@ -158,14 +158,17 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     The texts move once, to meet their key's number of passes; equal rows share theirs.
     """
     timed, cut = schedule(docs, seed)
-    passes = timed.groupBy("_h").agg(F.sum(taken_passes(cut)).alias("_passes"), F.count(F.lit(1)).alias("_rows"))
-    each = docs.drop("_h", "_passes", "_rows", "_rn", "_pass").withColumn("_h", shuffle_key(seed))
-    each = each.join(passes.filter("_passes > 0"), "_h")
-    each = each.withColumn("_rn", F.row_number().over(Window.partitionBy("_h").orderBy("_passes")))
-    own = F.floor(F.col("_passes") / F.col("_rows")) + F.when(
-        F.col("_rn") <= F.pmod(F.col("_passes"), F.col("_rows")), 1).otherwise(0)
-    each = each.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.greatest(own, F.lit(1)).cast("int"))))
-    return each.filter(F.col("_pass") <= own).select(*docs.columns)
+    passes = timed.groupBy("_h").agg(F.sum(taken_passes(cut)).alias("_passes"), F.count(F.lit(1)).alias("_rows")).filter("_passes > 0")
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    other = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("_")))
+    # wholly equal rows merge before they move; rows of one id, source and text may still differ in other columns
+    each = docs.select(shuffle_key(seed).alias("_h"), F.xxhash64(other).alias("_x"), F.struct(*every).alias("_r"))
+    each = each.groupBy("_h", "_x").agg(F.first("_r").alias("_r"), F.count(F.lit(1)).alias("_n")).join(passes, "_h")
+    ahead = Window.partitionBy("_h").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.pmod(F.col("_passes"), F.col("_rows")) - F.coalesce(F.sum("_n").over(ahead), F.lit(0))
+    own = F.floor(F.col("_passes") / F.col("_rows")) * F.col("_n") + F.least(F.greatest(left, F.lit(0)), F.col("_n"))
+    each = each.withColumn("_own", own).filter("_own > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own"))))
+    return each.select("_r.*")
 
 
 def mix_report(docs: DataFrame, seed: int = 42) -> DataFrame:

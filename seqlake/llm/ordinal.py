@@ -13,7 +13,7 @@ id hashes; a documented bound, every other step covers all rows) and sent to the
 its size is fixed by ``BITS``.
 
 Edge cases: null texts are empty; labels that are null or of unknown documents are not
-used; without two grades in the sample no document can be told from another and all are
+used; of several ratings of one id the lowest grade counts, of several texts the one of the smallest sha256 (ties are equal); without two grades in the sample no document can be told from another and all are
 kept with the only grade known (or 0); repeated rows and ids are all scored; an empty table
 gives an empty result; extra columns pass through ``keep``.
 """
@@ -32,7 +32,7 @@ BITS, MAX_LABELS, STEPS, RATE, L2, KEEP = 18, 10_000, 150, 0.05, 1e-3, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s.,;:'\"()-]+")
 _known: dict[str, int] = {}
-MAX_KNOWN = 1_000_000
+MAX_KNOWN = 200_000
 
 
 def _bucket(word: str) -> int:
@@ -117,19 +117,21 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, text:
     """Fit on at most ``max_labels`` rated documents."""
     g = default_grade() if grade is None else grade
     rated = labels.select(F.col("doc_id").alias("_id"), g.cast("int").alias("_grade")).filter("_grade is not null and _id is not null")
-    rated = rated.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id", F.lit(42)), "_id").limit(max_labels)
+    rated = rated.groupBy("_id").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_id", F.lit(42)), "_id").limit(max_labels)
     # at most max_labels rows of two numbers
     rows = docs.select(docs["doc_id"], docs[text]).join(F.broadcast(rated), F.col("doc_id") == F.col("_id")).select(
-        "_id", "_grade", F.col(text))
+        "_id", "_grade", F.col(text), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
     def batches(it):
         for batch in it:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([features(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int32()))],
-                names=["id", "grade", "f"])
+                [batch.column(0), batch.column(1), pa.array([features(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int32())),
+                 batch.column(3)], names=["id", "grade", "f", "sha"])
+        _known.clear()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(batches, f"id {id_type}, grade int, f array<int>").dropDuplicates(["id"]).orderBy("id").toArrow()
+    found = rows.mapInArrow(batches, f"id {id_type}, grade int, f array<int>, sha string")
+    found = found.groupBy("id").agg(F.min("grade").alias("grade"), F.min_by("f", "sha").alias("f")).orderBy("id").toArrow()
     return OrdinalModel.fit([np.array(x, np.int32) for x in found.column("f").to_pylist()], found.column("grade").to_numpy())
 
 
@@ -147,6 +149,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(m.floor + p.sum(axis=1)), pa.array(list(p), pa.list_(pa.float64()))],
                 names=[*batch.schema.names, "expected_grade", "tails"])
+        _known.clear()
 
     from pyspark.sql.types import ArrayType, DoubleType, StructType
     schema = StructType(list(rows.schema.fields)).add("expected_grade", DoubleType()).add("tails", ArrayType(DoubleType()))
@@ -159,8 +162,21 @@ def selected(threshold: float = KEEP) -> Column:
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = KEEP) -> DataFrame:
-    """The documents that the classifier selects, columns as they are."""
-    return score(docs, train(docs, labels)).filter(selected(threshold)).select(*docs.columns)
+    """The documents that the classifier selects, columns as they are, whatever their names."""
+    m = train(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast((m.weights.astype(np.float32), m.thresholds, m.floor))
+    at = docs.columns.index("text")
+
+    def batches(it):
+        m = OrdinalModel(*sent.value)
+        for batch in it:
+            if len(m.thresholds):
+                s = np.array([float(m.weights[features(x)].sum(dtype=np.float64)) for x in batch.column(at).to_pylist()])
+                batch = batch.filter(pa.array(m.tails(s.reshape(-1))[:, -1] >= threshold))
+            yield batch
+        _known.clear()
+
+    return docs.mapInArrow(batches, docs.schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = KEEP) -> DataFrame:

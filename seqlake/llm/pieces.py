@@ -125,6 +125,9 @@ class PieceModel:
     def encode(self, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Yield ``(first row, last row + 1, ids, ids per row, rows that decode to themselves)``."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        marked = pc.match_substring(column, SPACE).to_numpy(zero_copy_only=False)  # this sign decodes to a space
         column = pc.replace_substring(column, pattern=SPACE, replacement=" ")
         space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
         column = pc.if_else(pc.equal(column, none), none, pc.binary_join_element_wise(space, column, none))
@@ -134,7 +137,7 @@ class PieceModel:
             count = row_counts(per_span, np.searchsorted(starts, off))
             out, _ = self.decode_bytes(ids)
             same = len(out) == len(data) and bool((out == data).all())
-            yield a, b, ids, count, np.full(b - a, same) if same else self._same(ids, count, data, off)
+            yield a, b, ids, count, (np.full(b - a, same) if same else self._same(ids, count, data, off)) & ~marked[a:b]
 
     def decode_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(bytes of all ids in order, bytes per id)``, the space in front included."""

@@ -64,7 +64,7 @@ targets as (
            cast(least(cap, (select max(level) from levels where ratio >= level) * weight) as double) as target from levels),
 timed as (
     select s.doc_id, s.source, s.size, t.source_size, t.target, t.total,
-           sum(s.size) over (partition by s.source order by s.h) as cum
+           sum(s.size) over (partition by s.source order by s.h rows between unbounded preceding and current row) as cum
     from sized s join targets t on s.source is not distinct from t.source),
 copies as (
     select (cast((e - 1) * source_size + cum as double)) / target as v, size
