@@ -16,10 +16,13 @@ def columns_to_array(cols: list[str]) -> Column:
 
 
 def mean_vector(df: DataFrame, vec_col: str) -> list[float]:
-    """Element-wise mean. One aggregate; the result has one value per dimension."""
-    ex = df.select(F.posexplode(vec_col).alias("_p", "_v"))
-    rows = ex.groupBy("_p").agg(F.avg(F.col("_v").cast("double")).alias("_m")).orderBy("_p").collect()
-    return [float(r["_m"]) for r in rows]
+    """Element-wise mean of one partial-aggregated pass; the result has one value per dimension."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    v = array_to_vector(F.transform(vec_col, lambda x: x.cast("double")))
+    row = df.where(F.col(vec_col).isNotNull()).select(Summarizer.mean(v).alias("m")).first()
+    return [float(x) for x in row["m"]] if row and row["m"] is not None else []
 
 
 def _lit_array(values) -> Column:

@@ -114,3 +114,35 @@ def test_weighted_rows_equal_repeated_rows():
     R = np.repeat(X, w.astype(int), axis=0)
     g2, loss2 = m.grad(R, R)
     assert np.abs(g - g2).max() < 1e-12 and abs(loss - loss2) < 1e-12
+
+
+def _exact_svm(K, nu, steps=60000):
+    """Dual one-class SVM on the full kernel by pairwise steps."""
+    n = len(K)
+    cap = 1.0 / (nu * n)
+    a = np.full(n, 1.0 / n)
+    g = K @ a
+    for _ in range(steps):
+        up, down = np.flatnonzero(a < cap - 1e-15), np.flatnonzero(a > 1e-15)
+        i, j = up[np.argmin(g[up])], down[np.argmax(g[down])]
+        if g[j] - g[i] < 1e-9:
+            break
+        t = min(cap - a[i], a[j], (g[j] - g[i]) / max(K[i, i] + K[j, j] - 2 * K[i, j], 1e-12))
+        a[i] += t
+        a[j] -= t
+        g += t * (K[i] - K[j])
+    return a
+
+
+def test_ocsvm_ranks_like_the_exact_solver(spark):
+    rng = np.random.default_rng(9)
+    X = np.vstack([rng.normal(size=(250, 4)), rng.normal(size=(200, 4)) * 0.5 + 3, rng.uniform(-5, 8, size=(50, 4))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id int, features array<double>").repartition(4)
+    m = fit_oneclass_svm(df, nu=0.1, n_components=200)
+    assert m.gaps[-1] <= 1e-3 * float(m.w @ m.w) and len(m.gaps) < 100
+    K = np.exp(-m.gamma * ((X[:, None] - X[None]) ** 2).sum(axis=2))
+    want = -(K @ _exact_svm(K, 0.1))
+    got = np.array([r["score"] for r in m.score(df).orderBy("id").collect()])
+    rank = lambda v: np.argsort(np.argsort(v)).astype(float)
+    assert np.corrcoef(rank(got), rank(want))[0, 1] > 0.95
+    assert abs(m.gamma - 1 / (4 * X.var())) < 1e-9 * m.gamma
