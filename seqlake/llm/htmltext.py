@@ -97,6 +97,9 @@ class Page:
         self.nodes: list[tuple[int, int, int, int]] = []
         self.blocks: list[list[tuple[int, str]]] = [[]]  # node (-1: white space) and text
         self.block_at: list[int] = [0]
+        #: places in the stack of the open elements of a tag, and of all block elements
+        self.open_at: dict[str, list[int]] = defaultdict(list)
+        self.open_blocks: list[int] = []
         self._read(html)
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
@@ -110,8 +113,23 @@ class Page:
         self.hint.append(hint)
         self.inside.append(inside or tag in ("article", "main"))
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
+        self.open_at[tag].append(len(stack))
+        if tag in BLOCK:
+            self.open_blocks.append(len(stack))
         stack.append(len(self.tag) - 1)
 
+    def _cut(self, stack: list[int], k: int) -> None:
+        """Close the elements from place ``k`` of the stack on."""
+        for element in stack[k:]:
+            self.open_at[self.tag[element]].pop()
+            if self.tag[element] in BLOCK:
+                self.open_blocks.pop()
+        del stack[k:]
+
+    def _last(self, names) -> int:
+        """Place of the last open element of these tags (0: none; the root is never closed)."""
+        return max((at[-1] for at in (self.open_at.get(n) for n in names) if at), default=0)
+
     def _block(self, element: int) -> None:
         if self.blocks[-1]:
             self.blocks.append([])
@@ -120,13 +138,9 @@ class Page:
             self.block_at[-1] = element
 
     def _close(self, stack: list[int], names, barriers) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[k]]
-            if t in names:
-                del stack[k:]
-                return
-            if t in barriers:
-                return
+        k = self._last(names)
+        if k and k >= self._last(barriers):
+            self._cut(stack, k)
 
     def _text(self, element: int, raw: str) -> None:
         if self.out[element]:
@@ -153,24 +167,18 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1]:
+                k = self._last((tag,))
                 if tag in BLOCK:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == tag:
-                            del stack[k:]
-                            break
+                    if k:
+                        self._cut(stack, k)
                     self._block(stack[-1])
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == tag:
-                            del stack[k:]
-                            break
-                        if self.tag[stack[k]] in BLOCK:
-                            break
+                elif k and k > (self.open_blocks[-1] if self.open_blocks else 0):
+                    self._cut(stack, k)
                 continue
             if tag in RAW:
-                closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 if m[3].endswith("/") and tag in ("svg", "math", "object"):
                     continue
+                closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 at = closing.end() if closing else end
                 continue
             if tag == "br":
@@ -226,19 +234,13 @@ class Page:
 
     def article(self, on: np.ndarray) -> int:
         """The element that holds the article: the lowest container above all content nodes, or its landmark."""
-        at = None
+        held = [0] * len(self.tag)
         for (element, _, _, _), c in zip(self.nodes, on):
-            if not c:
-                continue
-            if at is None:
-                at = element
-                continue
-            while at != element:  # a parent has the smaller number
-                if at > element:
-                    at = self.parent[at]
-                else:
-                    element = self.parent[element]
-        at = at or 0
+            held[element] += bool(c)
+        for e in range(len(self.tag) - 1, 0, -1):  # a parent has the smaller number
+            held[self.parent[e]] += held[e]
+        # the elements above all content nodes are one line from the root down; the last of them is the lowest
+        at = max((e for e in range(len(self.tag)) if held[e] == held[0]), default=0) if held[0] else 0
         while at and self.tag[at] not in CONTAINER:
             at = self.parent[at]
         for names in (("article",), ("main",)):
@@ -263,6 +265,9 @@ class Page:
         inside[root] = True
         for e in range(root + 1, len(self.tag)):
             inside[e] = inside[self.parent[e]]
+        in_link = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            in_link[e] = self.tag[e] not in BLOCK and (self.tag[e] == "a" or in_link[self.parent[e]])
         linked: dict[int, int] = defaultdict(int)
         size: dict[int, int] = defaultdict(int)
         kept: set[int] = set()
@@ -278,12 +283,8 @@ class Page:
             kept.add(block)
             size[block] += length
             marks[block] += punctuation
-            e = element
-            while e > 0 and self.tag[e] not in BLOCK:
-                if self.tag[e] == "a":
-                    linked[block] += length
-                    break
-                e = self.parent[e]
+            if in_link[element]:
+                linked[block] += length
         out = []
         for b in sorted(kept):
             if linked[b] == size[b] and not marks[b] and self.tag[self.block_at[b]] in ("li", "ul", "ol", "td", "div"):
