@@ -41,7 +41,7 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    mutation_profile(spark, sf_dir), label_table(spark, sf_dir))
 
 
-_CLEANED: dict[tuple[str, str], DataFrame] = {}
+_CLEANED: dict[tuple, DataFrame] = {}
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +49,9 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     under ``spark.checkpoint.dir``), like the original's saved
     cleaned table; later aggregates, splits and fits read it instead of
     recounting k-mers."""
-    from seqlake.session import materialize
+    from seqlake.session import input_key, materialize
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = input_key(spark, sf_dir)
     if key not in _CLEANED:
         # write the merged table once; the quantile action and every later
         # query read that copy, and the two filters stay lazy on top of it

@@ -63,6 +63,13 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def input_key(spark: SparkSession, directory: str, table: str = "documents") -> tuple:
+    """Key for what is kept per input: the application, the folder, and the table's time and size, so changed input is read anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{table}.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return spark.sparkContext.applicationId, directory, status.getModificationTime(), status.getLen()
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 

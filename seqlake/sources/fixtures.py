@@ -31,7 +31,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_MATERIALIZED: dict[tuple[str, str], DataFrame] = {}
+_MATERIALIZED: dict[tuple, DataFrame] = {}
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +43,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     survives executor loss), so later scans read plain, prunable columns
     instead of re-deriving them.
     """
-    from seqlake.session import materialize
+    from seqlake.session import input_key, materialize
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = input_key(spark, sf_dir)
     if key not in _MATERIALIZED:
         _MATERIALIZED[key] = materialize(derive_samples(spark, sf_dir), "samples")
     return _MATERIALIZED[key]
