@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from seqlake.llm import wordhash
 from seqlake.llm.components import components
 from seqlake.llm.repeats import shared_seeds
-from seqlake.session import discard, materialize, materialize_by
+from seqlake.operators.common import bounded_broadcast
+from seqlake.session import discard, materialize
 
 SKETCH_BITS = 20
 SLICES = 64
@@ -41,6 +42,7 @@ FRAGMENTS = 4
 HUB_ROUNDS, HUBS = 2, 2
 MAX_BITS = 27
 HOT = 2_000  # pairs of one hub that a task takes
+FEW = 500_000  # rows of a few numbers that are broadcast (at most 20 MB)
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -100,7 +102,7 @@ def _order(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokens(rows: DataFrame, order, num: int, den: int) -> DataFrame:
-    """``h, t, lo, m``: n-gram, class, place and set size, for the rare end of every row's set."""
+    """``h, t, lo, m``: n-gram, class, place and 0, for the rare end of every row's set."""
 
     def batches(it):
         counts = order.value[0]
@@ -114,7 +116,7 @@ def _tokens(rows: DataFrame, order, num: int, den: int) -> DataFrame:
                 h.append(s[np.lexsort((s, counts[(s & _MASK).astype(np.int64)]))[:keep]].view(np.int64))
                 t.append(np.full(keep, key, np.int64))
                 lo.append(np.arange(keep, dtype=np.int32))
-                m.append(np.full(keep, n, np.int32))
+                m.append(np.zeros(keep, np.int32))  # the size follows from the class
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (h, t, lo, m)], names=["h", "t", "lo", "m"])
 
@@ -155,20 +157,21 @@ def in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _segments(rows: DataFrame, order, wanted: DataFrame) -> DataFrame:
-    """``c, parts``: each class of ``wanted(c, rep)`` once, its set cut into fragments of the global order; stored in buckets of ``c``.
+def _sets_of(rows: DataFrame, order, wanted: DataFrame) -> DataFrame:
+    """``c, parts``: the classes of ``wanted(c, rep)``, their sets cut into fragments of the global order.
 
-    Cut from the rows whose id is a class's first; copies of a class merge before they move.
+    Cut from the rows whose id is a class's first, and only those are read as words. A class comes once a task at most; a class whose first row
+    is repeated may come from several tasks, with equal fragments.
     """
-    spark = rows.sparkSession
     count = wanted.count()
-    sent = spark.sparkContext.broadcast((bitmap(wanted.select(F.xxhash64("rep")), count), bitmap(wanted.select("c"), count)))
+    sent = rows.sparkSession.sparkContext.broadcast((bitmap(wanted.select(F.xxhash64("rep")), count), bitmap(wanted.select("c"), count)))
 
     def batches(it):
         fragment, (ids, classes) = order.value[1], sent.value
+        seen: set[int] = set()
         for batch in it:
             batch = batch.filter(pa.array(in_bitmap(ids, batch.column(2).to_numpy())))
-            c, parts, seen = [], [], set()
+            c, parts = [], []
             for _, key, s in _sets(batch.column(1)):
                 if key is None or key in seen or not in_bitmap(classes, np.array([key]))[0]:
                     continue
@@ -178,27 +181,29 @@ def _segments(rows: DataFrame, order, wanted: DataFrame) -> DataFrame:
                 parts.append([s[part == k].view(np.int64) for k in range(FRAGMENTS)])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], names=["c", "parts"])
 
-    cut = rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(batches, "c long, parts array<array<long>>")
-    return materialize_by(cut.groupBy("c").agg(F.first("parts").alias("parts")), "jaccard-segments", "c", dealt=True)
+    return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(batches, "c long, parts array<array<long>>")
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, rows: DataFrame, order, reps: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` of ``a, b, na, nb`` that reach the threshold: overlaps counted per fragment, summed per pair.
 
-    Sets lie in buckets of their class. Only ``a``'s travels, to ``b``; a ``b`` of many pairs is salted.
+    The sets of both ends travel to ``b``; a ``b`` of many pairs is salted, its own set sent to each salt.
     """
     pairs = materialize(pairs, "jaccard-pairs")
-    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("salts"))
-    many = materialize(many, "jaccard-hubs")
-    hot = many.filter("salts > 1")
-    pairs_ = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1)))).drop("salts")
-    left = segments.select(F.col("c").alias("a"), F.col("parts").alias("x")).join(pairs_, "a")
-    right = segments.join(many, segments["c"] == many["b"]).select("b", F.col("parts").alias("y"), F.explode(
+    ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    wanted = materialize(reps.join(ends, "k").select(F.col("k").alias("c"), "rep"), "jaccard-ends")
+    many = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("salts")), "jaccard-hubs")
+    salted = pairs.join(many.filter("salts > 1"), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    sets = _sets_of(rows, order, wanted)
+    # two ids a row: sent to the sets while they are few, else the sets meet them by a shuffle
+    left = sets.select(F.col("c").alias("a"), F.col("parts").alias("x")).join(bounded_broadcast(salted, FEW), "a")
+    right = sets.join(bounded_broadcast(many, FEW), sets["c"] == many["b"]).select("b", F.col("parts").alias("y"), F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     each = F.zip_with("x", "y", lambda p, q: F.size(F.array_intersect(p, q)).cast("long"))
     total = left.join(right, ["b", "salt"]).select("a", "b", "na", "nb", F.aggregate(each, F.lit(0).cast("long"), lambda n, k: n + k).alias("n"))
-    found = materialize(total.filter(F.col("n") * den >= (F.col("na") + F.col("nb") - F.col("n")) * num).select("a", "b"), "jaccard-links")
-    discard(pairs, many)
+    total = total.filter(F.col("n") * den >= (F.col("na") + F.col("nb") - F.col("n")) * num)
+    found = materialize(total.select("a", "b").distinct(), "jaccard-links")
+    discard(pairs, many, wanted)
     return found
 
 
@@ -213,33 +218,41 @@ def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4
 
     # n-grams of at least two classes, found between neighbours of a range sort: a common n-gram lies over many tasks
     found = shared_seeds(_tokens(rows, order, num, den)).select(
-        F.col("h").alias("tok"), F.col("t").alias("k"), F.col("m").cast("long").alias("n"), F.col("lo").alias("at"), F.col("n").alias("m"))
+        F.col("h").alias("tok"), F.col("t").alias("k"), F.col("lo").alias("at"), F.col("n").alias("m"))
+    found = materialize(found, "jaccard-found")
+    reps = materialize(members.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
+    # one short row per class with a shared n-gram: sent to the n-grams while they are few, else they meet by a shuffle
+    about = found.groupBy("k").agg(F.sum("m").alias("s")).join(reps.select("k", "n"), "k")
     ends = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    central = (F.sum("m").over(Window.partitionBy("k")) / ends).alias("central")
-    shared = materialize(found.select("tok", "k", "n", "at", central, F.col("k").alias("comp")), "jaccard-shared")
-    reps = members.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
-    wanted = materialize(reps.join(shared.select("k").distinct(), "k").select(F.col("k").alias("c"), "rep"), "jaccard-classes")
-    segments = _segments(rows, order, wanted)
+    about = materialize(about.select("k", "n", (F.col("s") / ends).alias("central")), "jaccard-about")
+    shared = materialize(found.select("tok", "k", "at").join(bounded_broadcast(about, FEW), "k"), "jaccard-shared")
+    discard(found)
 
     fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     band = F.floor(F.log("n") / math.log(den / num)).alias("band")
-    links, open_ = None, shared
+    links, open_ = None, shared.withColumn("comp", F.col("k"))
     for r in range(HUB_ROUNDS):
         grouped = open_.withColumn("band", band)
         first = F.xxhash64("k", F.pmod("tok", F.lit(2)), F.lit(r)) if r else -F.col("central")
-        pick = F.struct(first.alias("h"), F.col("k").alias("b"),
-                        F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        hubs = grouped.groupBy("tok", "band").agg(F.min(pick).alias("hub")).select("tok", "band", "hub.b", "hub.nb", "hub.cb")
+        pick = F.struct(first.alias("h"), F.col("k").alias("b"))
+        hubs = grouped.groupBy("tok", "band").agg(F.min(pick).alias("hub")).select("tok", "band", "hub.b")
+        whose = about.select(F.col("k").alias("b"), F.col("n").alias("nb"))
+        if r:
+            named_b = bounded_broadcast(comp, FEW).select(F.col("node").alias("nb_"), F.col("component"))
+            hubs = hubs.join(named_b, F.col("b") == F.col("nb_"), "left").select("tok", "band", "b", F.coalesce("component", "b").alias("cb"))
+        else:
+            hubs = hubs.withColumn("cb", F.col("b"))
+        hubs = hubs.join(bounded_broadcast(whose, FEW), "b")
         pairs = grouped.join(hubs, ["tok", "band"]).select(F.col("k").alias("a"), "b", F.col("n").alias("na"), "nb", "comp", "cb")
         pairs = pairs.filter("a != b and comp != cb").filter(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("hits"))
         # these rounds only shorten the last one: each class tries its likeliest hubs
         best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("hits"), "b"))
         pairs = pairs.filter(F.col("hits") * 50 >= F.least("na", "nb")).withColumn("r", best).filter(F.col("r") <= HUBS)
-        new = _linked(pairs.drop("r", "hits"), segments, num, den)
+        new = _linked(pairs.drop("r", "hits"), rows, order, reps, num, den)
         links = new if links is None else materialize(links.union(new), "jaccard-links")
-        comp = components(links)
-        named = shared.drop("comp").join(comp, F.col("k") == F.col("node"), "left").select(
-            "tok", "k", "n", "at", "central", F.coalesce("component", "k").alias("comp"))
+        comp = materialize(components(links), "jaccard-comp")
+        named = shared.drop("central")
+        named = named.join(bounded_broadcast(comp, FEW), F.col("k") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "k")).drop("node", "component")
         named = materialize(named, "jaccard-named")
         mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("tok")
         open_ = materialize(named.join(mixed, "tok", "left_semi"), "jaccard-open")
@@ -251,9 +264,9 @@ def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4
     behind = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (num + den) >= (F.col("na") + F.col("nb")) * num
     rest = x.join(y, "tok").filter("ca != cb and (na < nb or na = nb and a < b)").filter(fits).filter(behind)
     rest = rest.select("a", "b", "na", "nb").distinct()
-    links = materialize(links.union(_linked(rest, segments, num, den)), "jaccard-links")
+    links = materialize(links.union(_linked(rest, rows, order, reps, num, den)), "jaccard-links")
     comp = components(links)
-    discard(segments, shared, open_, wanted)
+    discard(shared, open_, reps, about)
     return members, links, comp
 
 
