@@ -15,8 +15,8 @@ Equal word sequences are one text, judged by its first document; its other docum
 whole (if they have a window at all).
 
 Skew: the range sort of seeds splits an equal run over tasks (runs at the edges of tasks are summed from a
-table of two rows a task). A seed of more than ``HOT`` occurrences is salted: its phrases are counted by
-a grouped aggregate and sent to each salt, and its segments are dealt over the salts. A task then holds one shard's
+table of two rows a task). A seed of more than ``HOT`` occurrences is salted: its windows are merged
+per task, its phrases counted by a grouped aggregate and sent to each salt, and its segments are dealt over the salts. A task then holds one shard's
 segments, or one hot seed's distinct recurring phrases, at a time.
 
 Edge cases: null and blank texts have no words; texts under 20 words keep all; a null doc_id comes
@@ -44,6 +44,7 @@ WINDOW, GRAM = 20, 5
 REACH = WINDOW - GRAM + 1  # shingles per window
 SHARD, HOT = 4_000, 20_000
 STEP = 4_000  # rows of an Arrow batch sent on
+HELD = 50_000  # distinct windows of hot seeds that a task holds before it sends them on
 NOTHING = hashlib.sha256(b"").hexdigest()
 _MULT = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(GRAM)]
 
@@ -203,26 +204,45 @@ def _segments(texts: DataFrame) -> DataFrame:
     return texts.select("no", "z", "spots").mapInArrow(cut, "h long, n long, no long, at int, m int, words binary")
 
 
-def _hot_phrases(hot: DataFrame) -> DataFrame:
-    """``h, n, no, at, words``: recurring windows of hot seeds with their first occurrence, counted by a grouped aggregate."""
+def _hot_windows(hot: DataFrame) -> DataFrame:
+    """``h, n, no, at, last_no, last_at, words``: the windows of hot seeds; equal ones of a task are one row, with their first and last place."""
+    fields = ["h", "n", "no", "at", "last_no", "last_at", "words"]
 
     def windows(batches):
+        places: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+
+        def flush():
+            keys, spans = list(places), list(places.values())
+            places.clear()
+            for i in range(0, len(keys), STEP):
+                k, s = keys[i:i + STEP], spans[i:i + STEP]
+                first, last = [x[0] for x in s], [x[1] for x in s]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in k], pa.int64()), pa.array([x[1] for x in k], pa.int64()), pa.array([x[0] for x in first], pa.int64()),
+                     pa.array([x[1] for x in first], pa.int32()), pa.array([x[0] for x in last], pa.int64()),
+                     pa.array([x[1] for x in last], pa.int32()), pa.array([x[2] for x in k], pa.binary())], names=fields)
+
         for batch in batches:
-            hs, ns, nos, ats, ms, segs = (batch.column(i).to_pylist() for i in range(6))
-            out = []
-            for j, (h, n, no, at, m, seg) in enumerate(zip(hs, ns, nos, ats, ms, segs), 1):
+            for h, n, no, at, m, seg in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 w = seg.split(b" ")
-                out.extend((h, n, no, at + i, b" ".join(w[i:i + WINDOW])) for i in range(m))
-                if len(out) >= STEP or j == len(hs):
-                    c = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()),
-                         pa.array(c[4], pa.binary())], names=["h", "n", "no", "at", "words"])
-                    out = []
-
-    each = hot.mapInArrow(windows, "h long, n long, no long, at int, words binary")
-    place = F.struct("no", "at")
-    return each.groupBy("h", "n", "words").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select(
+                for i in range(m):
+                    place = (no, at + i)
+                    have = places.setdefault((h, n, b" ".join(w[i:i + WINDOW])), [place, place])
+                    if place < have[0]:
+                        have[0] = place
+                    elif place > have[1]:
+                        have[1] = place
+                if len(places) >= HELD:
+                    yield from flush()
+        yield from flush()
+
+    return hot.mapInArrow(windows, "h long, n long, no long, at int, last_no long, last_at int, words binary")
+
+
+def _hot_phrases(hot: DataFrame) -> DataFrame:
+    """``h, n, no, at, words``: recurring windows of hot seeds with their first occurrence, counted by a grouped aggregate."""
+    first, last = F.min(F.struct("no", "at")), F.max(F.struct(F.col("last_no").alias("no"), F.col("last_at").alias("at")))
+    return _hot_windows(hot).groupBy("h", "n", "words").agg(first.alias("a"), last.alias("b")).filter("a != b").select(
         "h", "n", F.col("a.no").alias("no"), F.col("a.at").alias("at"), "words")
 
 

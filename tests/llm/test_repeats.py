@@ -102,3 +102,23 @@ def test_shard_locates_each_occurrence():
     shard, numbers = confirm([(5, 0, 11, w), (9, 3, 6, w[5:30])])
     assert shard.size == 6
     assert shard.repeats(numbers[0], 5, 0) == [] and shard.repeats(numbers[1], 9, 3) == [(3, 28)]
+
+
+def test_equal_windows_of_a_hot_seed_are_merged_in_their_task(spark):
+    line = ["is", "onhe."] * 400
+    rows = [(7, 900, no, at, 2, " ".join(line[at:at + 21]).encode()) for no in range(30) for at in range(0, 60, 2)]
+    hot = spark.createDataFrame(rows, "h long, n long, no long, at int, m int, words binary").repartition(3)
+    assert repeats._hot_windows(hot).count() <= 2 * 3  # two distinct windows, three tasks
+    found = sorted((r.h, r.n, r.no, r["at"], bytes(r.words).split()[0]) for r in repeats._hot_phrases(hot).collect())
+    assert found == [(7, 900, 0, 0, b"is"), (7, 900, 0, 1, b"onhe.")]
+    once = hot.where("no = 3 and at = 4")  # windows that come once are no phrases
+    assert repeats._hot_windows(once).count() == 2 and repeats._hot_phrases(once).count() == 0
+
+
+def test_hot_windows_are_right_when_a_task_sends_them_on_early(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HELD", 1)
+    monkeypatch.setattr(repeats, "HOT", 3)
+    line = " ".join(["is", "onhe."] * 40)
+    rows = [(i, f"{line} {i}") for i in range(12)]
+    got = dedup_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=repr) == _brute(rows)
