@@ -40,7 +40,7 @@ from seqlake.session import materialize
 
 THRESHOLD, PRIOR = 0.9, 1.0
 PAIRS = 1 << 20  # entity-term pairs that a task holds at a time
-WORDS = 400_000  # distinct words that a task counts before it sends them on
+WORDS = 100_000  # distinct words that a task counts before it sends them on
 KINDS = ["email", "ip", "card", "phone", "term"]
 # fixed values: the patterns of the contract
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

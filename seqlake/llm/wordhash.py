@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 2 << 20
+RUN_BYTES = 512 << 10
 LONG = 64
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -21,7 +21,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []  # the largest tables so far, at most 16 bytes for each of 2 * RUN_BYTES; they stay in the worker
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,15 +35,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int) -> "list[np.ndarray]":
     size = 1 << max(16, (n + 1).bit_length())
-    if size not in _powers:
-        if size > 8 * RUN_BYTES:  # a single huge document: not kept
-            return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, dtype=np.uint64))))
-                         for b in (_BASE, _INVERSE))
-        _powers[size] = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, dtype=np.uint64))))
-                              for b in (_BASE, _INVERSE))
-    return _powers[size]
+    if _powers and size <= len(_powers[0]):
+        return _powers
+    made = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, dtype=np.uint64)))) for b in (_BASE, _INVERSE)]
+    if size <= 2 * RUN_BYTES:  # else a single huge document: not kept
+        _powers[:] = made
+    return made
 
 
 def runs(column) -> "list[tuple[int, int, np.ndarray, np.ndarray]]":
