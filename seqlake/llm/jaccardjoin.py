@@ -34,7 +34,7 @@ from seqlake.llm import wordhash
 from seqlake.llm.components import components
 from seqlake.llm.repeats import shared_seeds
 from seqlake.operators.common import bounded_broadcast
-from seqlake.session import discard, materialize
+from seqlake.session import discard, materialize, short_batches
 
 SKETCH_BITS = 20
 SLICES = 64
@@ -209,6 +209,11 @@ def _linked(pairs: DataFrame, rows: DataFrame, order, reps: DataFrame, num: int,
 
 def join_classes(docs: DataFrame, text: str = "text", num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(doc_id, n, k per row; links a, b between classes; node, component of linked classes)``; ``k`` is the class of equal sets."""
+    with short_batches(docs.sparkSession):  # every step on texts ends inside
+        return _join_classes(docs, text, num, den)
+
+
+def _join_classes(docs: DataFrame, text: str, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], docs[text])

@@ -5,6 +5,8 @@ import pyarrow as pa
 
 from seqlake.llm import wordhash
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def _hashes(texts):
     out = []
@@ -27,3 +29,47 @@ def test_hashes_do_not_depend_on_the_runs():
     together = _hashes([text, None, text * 14, text, "the fox"])
     assert together == [*_hashes([text]), [], *_hashes([text * 14]), *_hashes([text]), *_hashes(["the fox"])]
     assert together[0] == together[3] == together[2][:len(together[0])] and together[4] == [together[0][0], together[0][3]]
+
+
+def _widths(spark, monkeypatch, module):
+    """Largest batch setting that a module's jobs ran with."""
+    seen, write = [], module.materialize
+
+    def noted(df, name, **kw):
+        seen.append(int(spark.conf.get(ROWS)))
+        return write(df, name, **kw)
+
+    monkeypatch.setattr(module, "materialize", noted)
+    return seen
+
+
+def test_jobs_on_texts_run_in_short_batches(spark, docs_of, monkeypatch):
+    from seqlake.llm import disclosure, jaccardjoin
+
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, "10000")
+    try:
+        docs = docs_of([(i, f"one two three four five six seven {i // 2} mail a{i // 3}@b.org", "x") for i in range(12)])
+        joins, found = _widths(spark, monkeypatch, jaccardjoin), _widths(spark, monkeypatch, disclosure)
+        assert len({r["component_id"] for r in jaccardjoin.groups(docs).collect()}) == 8
+        assert disclosure.report(docs).where("n_email = 1").count() == 12
+        assert joins and found and max(joins[:-1]) <= 2048 and max(found) <= 2048  # groups stores the components last, no texts
+        assert spark.conf.get(ROWS) == "10000"
+    finally:
+        spark.conf.set(ROWS, before)
+
+
+def test_a_smaller_setting_stays(spark):
+    from seqlake.session import short_batches
+
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, "7")
+    try:
+        with short_batches(spark):
+            assert spark.conf.get(ROWS) == "7"
+        spark.conf.set(ROWS, "0")  # no bound
+        with short_batches(spark):
+            assert spark.conf.get(ROWS) == "2048"
+        assert spark.conf.get(ROWS) == "0"
+    finally:
+        spark.conf.set(ROWS, before)
