@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.session import materialize
+from seqlake.session import materialize, short_batches
 
 THRESHOLD, PRIOR = 0.9, 1.0
 PAIRS = 1 << 20  # entity-term pairs that a task holds at a time
@@ -145,7 +145,8 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     found = rows.mapInArrow(batches, f"txt binary, z binary, base {SPANS}, entities array<long>")
     found = found.groupBy("txt").agg(F.first(F.struct("z", "base", "entities")).alias("x"))  # copies merge before they move
     head = F.conv(F.hex(F.substring("txt", 1, 8)), 16, -10).cast("long")
-    return materialize(found.select("txt", head.alias("t"), "x.*"), "pii-texts")
+    with short_batches(docs.sparkSession):
+        return materialize(found.select("txt", head.alias("t"), "x.*"), "pii-texts")
 
 
 def _plain(z: bytes) -> str:
@@ -243,6 +244,11 @@ def disclosing(texts: DataFrame, threshold: float = THRESHOLD, prior: float = PR
 
 def term_spans(texts: DataFrame) -> DataFrame:
     """``txt, terms``: the spans of all occurrences of a text's disclosing terms, for texts that have any."""
+    with short_batches(texts.sparkSession):  # every step on texts ends inside
+        return _term_spans(texts)
+
+
+def _term_spans(texts: DataFrame) -> DataFrame:
     marked = disclosing(texts).groupBy("t").agg(F.collect_set("term").alias("chosen"))
     marked = texts.filter(F.size("entities") > 0).select("txt", "t", "z").join(marked, "t")
     span = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
