@@ -32,7 +32,8 @@ BITS, MAX_LABELS, STEPS, RATE, L2, KEEP = 18, 10_000, 150, 0.05, 1e-3, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s.,;:'\"()-]+")
 _known: dict[str, int] = {}
-MAX_KNOWN = 200_000
+MAX_KNOWN = 50_000
+PIECE = 1_024  # texts that a task holds as Python strings at a time
 
 
 def _bucket(word: str) -> int:
@@ -44,6 +45,13 @@ def _bucket(word: str) -> int:
     return b
 
 
+def _pieces(batches):
+    """The batches in slices of ``PIECE`` rows: a worker keeps the memory it once took, also for the stages that follow."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, PIECE):
+            yield batch.slice(a, PIECE)
+
+
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers of a whole text."""
     text = text or ""
@@ -123,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, text:
         "_id", "_grade", F.col(text), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
     def batches(it):
-        for batch in it:
+        for batch in _pieces(it):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([features(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int32())),
                  batch.column(3)], names=["id", "grade", "f", "sha"])
@@ -143,7 +151,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
 
     def batches(it):
         m = OrdinalModel(*sent.value)
-        for batch in it:
+        for batch in _pieces(it):
             s = np.array([float(m.weights[features(x)].sum(dtype=np.float64)) for x in batch.column(at).to_pylist()])
             p = m.tails(s.reshape(-1))
             yield pa.RecordBatch.from_arrays(
@@ -169,7 +177,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = KEEP) -> DataFra
 
     def batches(it):
         m = OrdinalModel(*sent.value)
-        for batch in it:
+        for batch in _pieces(it):
             if len(m.thresholds):
                 s = np.array([float(m.weights[features(x)].sum(dtype=np.float64)) for x in batch.column(at).to_pylist()])
                 batch = batch.filter(pa.array(m.tails(s.reshape(-1))[:, -1] >= threshold))

@@ -73,3 +73,12 @@ def test_a_smaller_setting_stays(spark):
         assert spark.conf.get(ROWS) == "0"
     finally:
         spark.conf.set(ROWS, before)
+
+
+def test_the_classifier_takes_texts_in_slices():
+    from seqlake.llm import ordinal
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_500))], names=["x"])
+    cut = list(ordinal._pieces([batch, batch.slice(0, 0), batch.slice(0, 3)]))
+    assert [b.num_rows for b in cut] == [1_024, 1_024, 452, 3]
+    assert pa.Table.from_batches(cut).column("x").to_pylist() == [*range(2_500), 0, 1, 2]
